@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import packing
+from roadgrain.llm import mixing, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
+    "op3_sharding": sharding.query,
+    "op6_mixing": mixing.query,
+    "op7_secrets": secrets.query,
+    "op8_quality": quality.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle()}
