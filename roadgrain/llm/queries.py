@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import mixing, packing, quality, secrets, sharding
+from roadgrain.llm import mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_sharding": sharding.query,
+    "op5_ngram_join": ngram_join.query,
     "op6_mixing": mixing.query,
     "op7_secrets": secrets.query,
     "op8_quality": quality.query,
