@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import mixing, ngram_join, packing, quality, secrets, sharding
+from roadgrain.llm import embeddings, mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_mixing": mixing.query,
     "op7_secrets": secrets.query,
     "op8_quality": quality.query,
+    "op9_embeddings": embeddings.query,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle()}
