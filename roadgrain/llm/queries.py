@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import embeddings, mixing, ngram_join, packing, quality, secrets, sharding
+from roadgrain.llm import embeddings, line_dedup, mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_sharding": sharding.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_ngram_join": ngram_join.query,
     "op6_mixing": mixing.query,
     "op7_secrets": secrets.query,
