@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import embeddings, line_dedup, mixing, ngram_join, packing, quality, secrets, sharding
+from roadgrain.llm import embeddings, line_dedup, mixing, ngram_join, packing, quality, secrets, sharding, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
     "op2_packing": packing.query,
     "op3_sharding": sharding.query,
     "op4_line_dedup": line_dedup.query,
