@@ -204,8 +204,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
     return pack_pieces(pieces, capacity, documents=docs.count())
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """pack_documents with a CRC-32 (unsigned, of the little-endian ids) in place of the ids."""
     pieces = encode_documents(docs, public_tokenizers.path(TOKENIZER_FILE))
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack_pieces(digest, documents=docs.count())
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

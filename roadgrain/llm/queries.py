@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import embeddings, line_dedup, mixing, ngram_join, packing, quality, secrets, sharding, token_counts
+from roadgrain.llm import embeddings, html_text, line_dedup, mixing, ngram_join, packing, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_secrets": secrets.query,
     "op8_quality": quality.query,
     "op9_embeddings": embeddings.query,
+    "op10_html_text": html_text.query,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle()}
