@@ -3,8 +3,8 @@
 A document is the set of hashes of its 5-word shingles; two link when their
 Jaccard similarity is at least 0.8, in integers 9 * shared >= 4 * (a + b).
 
-1. Every text gives its set's size, digest, a 2048-bit token bitmap and its 16
-   smallest hashes. Equal sets are one node from here on.
+1. Every text gives its set's size, digest, a token bitmap (its length by classes
+   of size, so that none is ever full) and its 16 smallest hashes. Equal sets are one node from here on.
 2. Nodes that share one of those hashes meet in a task. Linked sets of up to 75
    shingles always share one (their 16 hold the exact prefix of the prefix
    filter); larger ones miss with a chance under 0.2 ** 16 a link. A signature
@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from roadgrain.llm.shared import connected_components, stored
 from roadgrain.llm.words import chunks, shingle_sets
 
-KEYS, BITS, WIDTH = 16, 2048, 5
+KEYS, WIDTH = 16, 5
+#: Sets of up to LEAST shingles have bitmaps of 2 * LEAST bits; every quadrupling of the
+#: size is a class of its own, with bitmaps of four times the bits.
+LEAST = 1024
 BLOCK = 8192
 FANOUT = 16
 #: Node pairs tried in one numpy step.
@@ -40,11 +43,27 @@ STEP = 256
 NODE = "coalesce(cast(doc_id as long), 4611686018427387904 + pmod(xxhash64(coalesce(text, '')), 4611686018427387904))"
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """BITS bits with one set for each token, as uint64 words."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens >> np.uint64(20)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).view(np.uint64)
+def size_classes(n: int) -> list[int]:
+    """The classes in which a set of n shingles is compared: its own, and the one below if a
+    set of that class could be similar enough."""
+    own = 0
+    while n > LEAST << 2 * own:
+        own += 1
+    return [own - 1, own] if own and 4 * n <= 5 * (LEAST << 2 * (own - 1)) else [own]
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The bits of a set's tokens, as many as its class asks for."""
+    width = 2 * LEAST << 2 * size_classes(len(tokens))[-1]
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens >> np.uint64(20)) % np.uint64(width)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of uint64 words, all folded to the shortest one's length."""
+    words = min(map(len, bitmaps)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), 0) for x in bitmaps])
 
 
 class SignatureTree:
@@ -171,15 +190,17 @@ def tree_links(tasks: DataFrame, exact: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins in _groups(batches):
             node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+            bits = table.column("bits").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()] if exact else None
             label = np.arange(len(n))
             size = np.diff(begins)
             two = begins[:-1][size == 2]
-            if not exact and len(two):  # all tasks of two nodes at once
-                sig = SignatureTree.__new__(SignatureTree)
-                sig.levels = [(bits, n, n, n - np.bitwise_count(bits).sum(1).astype(np.int64))]
-                label[two + 1] = np.where(sig.may_link(0, two, two + 1), two, two + 1)
+            least = np.array([min(len(bits[k]), len(bits[k + 1])) for k in two.tolist()])
+            for width in [] if exact else np.unique(least).tolist():  # all tasks of two nodes at once
+                k = two[least == width]
+                rows = np.arange(len(k))
+                pair = SignatureTree(np.concatenate([n[k], n[k + 1]]), folded([bits[x] for x in k.tolist()] + [bits[x + 1] for x in k.tolist()]))
+                label[k + 1] = np.where(pair.may_link(0, rows, rows + len(k)), k, k + 1)
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 if b - a > 2 or (exact and b - a > 1):
                     part = sets[a:b] if exact else None
@@ -188,7 +209,7 @@ def tree_links(tasks: DataFrame, exact: bool) -> DataFrame:
                         shared = len(part[x]) + len(part[y]) - len(np.union1d(part[x], part[y]))
                         return 9 * shared >= 4 * (len(part[x]) + len(part[y]))
 
-                    label[a:b] = a + components(n[a:b], bits[a:b], verify if exact else None)
+                    label[a:b] = a + components(n[a:b], folded(bits[a:b]), verify if exact else None)
             joined = np.flatnonzero(label != np.arange(len(n)))
             yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[label[joined]])], ["src", "dst"])
 
@@ -196,14 +217,14 @@ def tree_links(tasks: DataFrame, exact: bool) -> DataFrame:
 
 
 def _tasks(members: DataFrame, key: str, count: str) -> DataFrame:
-    """members with the task(s) in which each meets the others of its key: one, or one for
-    every two blocks where the key has more than BLOCK members."""
+    """members with the task(s) in which each meets the others of its key and size class: one,
+    or one for every two blocks where the key has more than BLOCK members."""
     blocks = F.ceil(F.col(count) / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__other")
-    out = members.select("*", mine.alias("__mine"), other)
-    task = F.xxhash64(key, F.least("__mine", "__other"), F.greatest("__mine", "__other"))
-    return out.withColumn("task", task).drop("__mine", "__other", key, count)
+    out = members.select("*", mine.alias("__mine"), other).withColumn("__class", F.explode("classes"))
+    task = F.xxhash64(key, "__class", F.least("__mine", "__other"), F.greatest("__mine", "__other"))
+    return out.withColumn("task", task).drop("__mine", "__other", "__class", "classes", key, count)
 
 
 def _dealt(tasks: DataFrame) -> DataFrame:
@@ -212,7 +233,7 @@ def _dealt(tasks: DataFrame) -> DataFrame:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, n, digest, keys, bits) of every row's whole text (null: empty)."""
+    """(node, doc_id, n, digest, keys, bits, classes) of every row's whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,16 +244,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                     part.column("node"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([s[:KEYS].view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([size_classes(len(s)) for s in sets], pa.list_(pa.int32())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "n", "digest", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "n", "digest", "keys", "bits", "classes"])
 
-    schema = "node long, doc_id long, n long, digest binary, keys array<long>, bits binary"
+    schema = "node long, doc_id long, n long, digest binary, keys array<long>, bits binary, classes array<int>"
     return docs.selectExpr(f"{NODE} as node", "cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
 
 
 def _token_sets(texts: DataFrame) -> DataFrame:
-    """(node, cluster, size, n, bits, tokens) of texts(node, cluster, size, text)."""
+    """(node, cluster, size, n, bits, classes, tokens) of texts(node, cluster, size, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,12 +262,13 @@ def _token_sets(texts: DataFrame) -> DataFrame:
                 part = batch.slice(chunk.first, len(chunk))
                 columns = [part.column(c) for c in ("node", "cluster", "size")] + [
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([bitmap(s) for s in sets], pa.binary()),
+                    pa.array([size_classes(len(s)) for s in sets], pa.list_(pa.int32())),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "size", "n", "bits", "tokens"])
+                yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "size", "n", "bits", "classes", "tokens"])
 
-    return texts.select("node", "cluster", "size", "text").mapInArrow(run, "node long, cluster long, size long, n long, bits binary, tokens binary")
+    return texts.select("node", "cluster", "size", "text").mapInArrow(run, "node long, cluster long, size long, n long, bits binary, classes array<int>, tokens binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -260,12 +282,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no rows.
     """
     rows = stored(sketch(docs), "ngram-sketch")
-    sets = rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    sets = rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("classes").alias("classes"))
     sets = stored(sets, "ngram-sets")
     held = sets.select("node", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
     members = held.join(shared, "key")
-    groups = _tasks(members.join(sets.select("node", "n", "bits"), "node"), "key", "count")
+    groups = _tasks(members.join(sets.select("node", "n", "bits", "classes"), "node"), "key", "count")
     candidates = tree_links(_dealt(groups), exact=False).distinct()
     clusters = stored(connected_components(candidates), "ngram-clusters").withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
