@@ -1,6 +1,615 @@
-"""The registered queries over the trajectory operators, and their DuckDB SQL."""
+"""The registered queries over the trajectory operators, and their DuckDB SQL.
+
+Each query runs an operator over a whole view of the given tables (see
+plans.views). Reals are rounded to six digits, since the engines add in
+different orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadgrain.functions import geometry as g
+from roadgrain.functions import scalars as s
+from roadgrain.operators import eda, evaluation, intervals, kinematics, poses, review, risk, rules, runs, sampling, signals, validation, zones
+from roadgrain.plans import views
+from roadgrain.sources import documents
+from roadgrain.streaming import windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, plain: bool = False) -> Callable[[Query], Query]:
+    """Registers a query under its name, with DuckDB SQL over the views (plain: the tables)."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql if plain else views.duckdb(sql)
+        return f
+
+    return add
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def _seg(df: DataFrame) -> DataFrame:
+    return df.select("video_id", "label", r6("start").alias("start"), r6("end").alias("end"))
+
+
+# SQL for runs of the rows of a table `flagged`(keys, frame_idx)
+def _runs_sql(keys: str, gap_sec: float, min_sec: float, label: str) -> str:
+    return f"""
+    , stepped AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY {keys} ORDER BY frame_idx) > {gap_sec}e0 * 30e0 + 15 THEN 1 ELSE 0 END AS fresh FROM flagged),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS island FROM stepped),
+    runs AS (SELECT {keys}, min(frame_idx) AS s, max(frame_idx) AS e FROM islands GROUP BY {keys}, island)
+    SELECT video_id, '{label}' AS label, round(s / 30e0, 6) AS "start", round((e + 15) / 30e0, 6) AS "end" FROM runs WHERE (e - s + 15) / 30e0 >= {min_sec}e0"""
+
+
+def _with(ctes: str, rest: str) -> str:
+    """A statement whose own CTEs follow those of the views."""
+    return f", {ctes} {rest}"
+
+
+_ROAD = "gx BETWEEN 0 AND 1920 AND gy BETWEEN 290 AND 762"
+_CROSSING = "gx BETWEEN 900 AND 1020 AND gy BETWEEN 290 AND 762"
+_QUEUE = "gx BETWEEN 1100 AND 1500 AND gy BETWEEN 290 AND 460"
+_LANE = "CASE WHEN gx BETWEEN 0 AND 1920 AND gy BETWEEN 290 AND 762 THEN CAST(least(7, greatest(0, ceil((gy - 290) / 59e0) - 1)) AS INT) ELSE -1 END"
+_RECT = "least(CASE WHEN gx BETWEEN {x1} AND {x2} THEN least(abs(gy - {y1}), abs(gy - {y2})) ELSE sqrt(least(abs(gx - {x1}), abs(gx - {x2}))**2 + greatest({y1} - gy, 0, gy - {y2})**2) END, CASE WHEN gy BETWEEN {y1} AND {y2} THEN least(abs(gx - {x1}), abs(gx - {x2})) ELSE 1e9 END, CASE WHEN gx BETWEEN {x1} AND {x2} AND NOT gy BETWEEN {y1} AND {y2} THEN least(abs(gy - {y1}), abs(gy - {y2})) ELSE 1e9 END)"
+_KERB = _RECT.format(x1=0, y1=290, x2=1920, y2=762)
+_ZEBRA = _RECT.format(x1=900, y1=290, x2=1020, y2=762)
+
+
+@query(_with(
+    f"""walkers AS (SELECT * FROM tracks WHERE cls = 0 AND track_id >= 0 AND {_ROAD} AND NOT ({_CROSSING}) AND conf >= 0.45e0
+        AND NOT (x1 <= 2 OR x2 >= 1918 OR y2 >= 1078) AND {_KERB} >= 0.75e0 * greatest(y2 - y1, 1) AND {_ZEBRA} >= 0.25e0 * greatest(y2 - y1, 1)),
+    flagged AS (SELECT * FROM walkers p WHERE NOT EXISTS (SELECT 1 FROM tracks v WHERE v.cls IN (2, 3, 5, 7) AND v.video_id = p.video_id AND v.frame_idx = p.frame_idx
+        AND greatest(0, least(v.x2, p.x2) - greatest(v.x1, p.x1)) * greatest(0, least(v.y2, p.y2) - greatest(v.y1, p.y1)) / greatest((p.x2 - p.x1) * (p.y2 - p.y1), 1e-6) >= 0.5e0))""",
+    _runs_sql("video_id, track_id", 1.0, 2.0, "jaywalking"),
+))
+def jaywalking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: pedestrians on the carriageway outside a crossing."""
+    return _seg(rules.to_segments(rules.jaywalking(views.tracks(spark, sf_dir), views.scene())))
+
+
+_KINEMATICS = """near AS (SELECT *, first_value({t_sec: t_sec, gx: gx, gy: gy}) OVER w AS p, last_value({t_sec: t_sec, gx: gx, gy: gy}) OVER w AS q FROM tracks WHERE track_id >= 0
+      WINDOW w AS (PARTITION BY video_id, track_id ORDER BY t_sec, frame_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+    moving AS (SELECT *, CASE WHEN q.t_sec - p.t_sec > 1e-6 THEN (q.gx - p.gx) / (q.t_sec - p.t_sec) ELSE 0e0 END AS vx, CASE WHEN q.t_sec - p.t_sec > 1e-6 THEN (q.gy - p.gy) / (q.t_sec - p.t_sec) ELSE 0e0 END AS vy FROM near)"""
+
+
+@query(_with(_KINEMATICS, "SELECT video_id, track_id, count(*) AS n, round(avg(vx), 6) + 0e0 AS vx, round(avg(vy), 6) + 0e0 AS vy, round(max(sqrt(vx*vx + vy*vy)), 6) AS top FROM moving GROUP BY video_id, track_id"))
+def kinematics_by_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kinematics.with_kinematics(views.tracks(spark, sf_dir)).where("track_id >= 0")
+    return rows.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), r6(F.avg("vx")).alias("vx"), r6(F.avg("vy")).alias("vy"), r6(F.max("speed")).alias("top"))
+
+
+@query(_with(
+    _KINEMATICS + f""", judged AS (SELECT *, {_LANE} AS lane FROM moving WHERE cls IN (2, 3, 5, 7)),
+    opposed AS (SELECT *, CASE WHEN lane < 4 THEN 1e0 ELSE -1e0 END AS dx FROM judged WHERE lane >= 0 AND conf >= 0.30e0 AND sqrt(vx*vx + vy*vy) >= 0.3e0 * greatest(y2 - y1, 1)
+      AND degrees(acos(greatest(-1, least(1, vx * (CASE WHEN lane < 4 THEN 1e0 ELSE -1e0 END) / greatest(sqrt(vx*vx + vy*vy), 1e-9))))) >= 120),
+    stepped AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx) > 45 THEN 1 ELSE 0 END AS fresh FROM opposed),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS island FROM stepped),
+    found AS (SELECT video_id, track_id, min(frame_idx) AS s, max(frame_idx) AS e, count(*) AS n, avg(dx) AS ax, min_by(gx, frame_idx) AS g0, max_by(gx, frame_idx) AS g1, median(greatest(y2 - y1, 1)) AS unit FROM islands GROUP BY video_id, track_id, island)""",
+    """SELECT video_id, 'wrong_way' AS label, round(s / 30e0, 6) AS "start", round((e + 15) / 30e0, 6) AS "end" FROM found
+    WHERE (e - s + 15) / 30e0 >= 1.5e0 AND n >= 2 AND abs(ax) >= 1e-6 AND -(g1 - g0) * ax / abs(ax) >= unit""",
+))
+def wrong_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With relaxed thresholds: the view's samples are half a second apart."""
+    rows = kinematics.with_kinematics(views.tracks(spark, sf_dir))
+    return _seg(rules.to_segments(rules.wrong_way(rows, views.scene(), rules.RELAXED_WRONG_WAY)))
+
+
+_SUSTAINED = """spots AS (SELECT *, {t_sec: t_sec, gx: gx, gy: gy} AS o FROM %s WHERE track_id >= 0),
+    sides AS (SELECT *, last_value(o) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 1e0 PRECEDING) AS bo, first_value(o) OVER (w RANGE BETWEEN 1e0 PRECEDING AND CURRENT ROW) AS bi,
+      first_value(o) OVER (w RANGE BETWEEN 1e0 FOLLOWING AND UNBOUNDED FOLLOWING) AS ao, last_value(o) OVER (w RANGE BETWEEN CURRENT ROW AND 1e0 FOLLOWING) AS ai FROM spots WINDOW w AS (PARTITION BY video_id, track_id ORDER BY t_sec)),
+    lerp AS (SELECT *, CASE WHEN bo.t_sec IS NOT NULL AND bo.t_sec <> bi.t_sec THEN (t_sec - 1e0 - bo.t_sec) / (bi.t_sec - bo.t_sec) END AS wb, CASE WHEN ao.t_sec IS NOT NULL AND ao.t_sec <> ai.t_sec THEN (t_sec + 1e0 - ao.t_sec) / (ai.t_sec - ao.t_sec) END AS wa FROM sides),
+    ends AS (SELECT *, CASE WHEN wb IS NULL THEN bi.t_sec ELSE t_sec - 1e0 END AS tb, CASE WHEN wb IS NULL THEN bi.gx ELSE bo.gx + wb * (bi.gx - bo.gx) END AS xb, CASE WHEN wb IS NULL THEN bi.gy ELSE bo.gy + wb * (bi.gy - bo.gy) END AS yb,
+      CASE WHEN wa IS NULL THEN ai.t_sec ELSE t_sec + 1e0 END AS ta, CASE WHEN wa IS NULL THEN ai.gx ELSE ao.gx + wa * (ai.gx - ao.gx) END AS xa, CASE WHEN wa IS NULL THEN ai.gy ELSE ao.gy + wa * (ai.gy - ao.gy) END AS ya FROM lerp),
+    slow AS (SELECT *, CASE WHEN ta - tb > 1e-9 THEN sqrt((xa - xb)**2 + (ya - yb)**2) / (ta - tb) ELSE 'Infinity'::DOUBLE END AS speed FROM ends)"""
+
+
+@query(_with(_SUSTAINED % "tracks", "SELECT video_id, track_id, count(*) AS n, round(avg(CASE WHEN speed < 1e300 THEN speed END), 6) AS mean, round(min(CASE WHEN speed < 1e300 THEN speed END), 6) AS least FROM slow GROUP BY video_id, track_id"))
+def sustained_speed_by_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kinematics.with_sustained_speed(views.tracks(spark, sf_dir)).where("track_id >= 0")
+    finite = F.when(F.col("sustained_speed") < 1e300, F.col("sustained_speed"))
+    return rows.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), r6(F.avg(finite)).alias("mean"), r6(F.min(finite)).alias("least"))
+
+
+_VEHICLE_TRACKS = "cars AS (SELECT * FROM tracks WHERE cls IN (2, 3, 5, 7))"
+_SLOW = _VEHICLE_TRACKS + ", " + _SUSTAINED % "cars" + """, crawl AS (SELECT *, speed <= 0.35e0 * greatest(y2 - y1, 1) AS now FROM slow),
+    marks AS (SELECT *, CASE WHEN NOT now OR NOT coalesce(lag(now) OVER w, FALSE) OR coalesce(t_sec - lag(t_sec) OVER w > 1.25e0, FALSE) THEN 1 ELSE 0 END AS fresh FROM crawl WINDOW w AS (PARTITION BY video_id, track_id ORDER BY t_sec, frame_idx)),
+    spans AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, track_id ORDER BY t_sec, frame_idx ROWS UNBOUNDED PRECEDING) AS span FROM marks),
+    held AS (SELECT *, now AND t_sec - min(t_sec) OVER (PARTITION BY video_id, track_id, span) >= 1.499e0 AS persistent FROM spans)"""
+
+
+@query(_with(_SLOW, "SELECT video_id, track_id, count(*) AS n, count(*) FILTER (persistent) AS persistent FROM held GROUP BY video_id, track_id"))
+def persistent_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kinematics.with_sustained_speed(rules.vehicles(views.tracks(spark, sf_dir))).withColumn("slow_now", F.col("sustained_speed") <= 0.35 * s.box_height())
+    held = runs.persistent(rows, "slow_now", 1.5).where("track_id >= 0")
+    return held.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), F.count_if("persistent").alias("persistent"))
+
+
+@query(_with(
+    _SLOW + f""", placed AS (SELECT *, {_LANE} AS lane, {_QUEUE} AS queued FROM held),
+    grid AS (SELECT video_id, frame_idx, direction FROM (SELECT DISTINCT video_id, frame_idx FROM cars), (VALUES ('east'), ('west')) d(direction)),
+    n AS (SELECT video_id, frame_idx, CASE WHEN lane < 4 THEN 'east' ELSE 'west' END AS direction, count(*) AS total, count(*) FILTER (persistent) AS slow FROM placed WHERE lane >= 0 AND NOT queued GROUP BY 1, 2, 3),
+    filled AS (SELECT g.video_id, g.frame_idx, g.direction, coalesce(total, 0) AS total, coalesce(slow, 0) AS slow FROM grid g LEFT JOIN n USING (video_id, frame_idx, direction)),
+    summed AS (SELECT *, count(*) OVER w AS frames, sum(total) OVER w AS w_total, sum(slow) OVER w AS w_slow FROM filled WINDOW w AS (PARTITION BY video_id, direction ORDER BY frame_idx RANGE BETWEEN 75 PRECEDING AND 75 FOLLOWING)),
+    dense AS (SELECT s.*, (SELECT count(DISTINCT track_id) FROM placed p WHERE p.video_id = s.video_id AND p.lane >= 0 AND NOT p.queued AND p.persistent AND (CASE WHEN p.lane < 4 THEN 'east' ELSE 'west' END) = s.direction AND p.frame_idx BETWEEN s.frame_idx - 75 AND s.frame_idx + 75) AS ids
+      FROM summed s WHERE w_total >= 3 * frames AND w_total > 0 AND w_slow >= 0.6e0 * w_total),
+    flagged AS (SELECT * FROM dense WHERE ids >= 4)""",
+    _runs_sql("video_id, direction", 3.0, 15.0, "congestion"),
+))
+def congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seg(rules.to_segments(rules.congestion(views.tracks(spark, sf_dir), views.scene(), rules.RELAXED_CONGESTION)))
+
+
+@query()
+def stopped_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-dependent clustering: checked against a sequential version in the tests."""
+    return _seg(rules.to_segments(rules.stopped_vehicle(views.tracks(spark, sf_dir), views.scene())))
+
+
+@query()
+def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over one set of tracks, finalised per video."""
+    rows = kinematics.with_kinematics(views.tracks(spark, sf_dir))
+    found = rules.run_rules(rows, views.scene(), thresholds={"wrong_way": rules.RELAXED_WRONG_WAY, "congestion": rules.RELAXED_CONGESTION})
+    return _seg(intervals.finalise(found.withColumn("duration", F.lit(100.0))))
+
+
+@query(_with("walk AS (SELECT * FROM tracks WHERE cls = 0 AND track_id >= 0 AND gy BETWEEN 290 AND 762), grid AS (SELECT unnest([1e0, 2e0, 4e0]) AS least)", """, stepped AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx) > 30e0 + 15 THEN 1 ELSE 0 END AS fresh FROM walk),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS island FROM stepped),
+    found AS (SELECT video_id, track_id, min(frame_idx) AS s, max(frame_idx) AS e, count(*) AS samples FROM islands GROUP BY video_id, track_id, island)
+    SELECT video_id, track_id, s AS start_frame, e AS end_frame, samples, least FROM found, grid WHERE (e - s + 15) / 30e0 >= least"""))
+def flag_runs_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a condition under three least lengths, in one job: the runs are found once."""
+    rows = views.tracks(spark, sf_dir).where("cls = 0 and track_id >= 0")
+    found = runs.flag_runs(rows, ["video_id", "track_id"], F.col("gy").between(290, 762), 1.0, 1.0)
+    long_enough = s.span_seconds(F.col("start_frame"), F.col("end_frame"), F.col("fps"), F.col("frame_stride")) >= F.col("least")
+    return found.withColumn("least", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)))).where(long_enough).select("video_id", "track_id", "start_frame", "end_frame", "samples", "least")
+
+
+@query(f"SELECT video_id, count(*) AS n, count(*) FILTER ({_ROAD}) AS on_road, count(*) FILTER ({_CROSSING}) AS in_crossing, count(*) FILTER ({_QUEUE}) AS in_queue, CAST(sum({_LANE}) AS BIGINT) AS lanes FROM tracks GROUP BY video_id")
+def zone_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = zones.zone_index(views.tracks(spark, sf_dir), views.scene())
+    return rows.groupBy("video_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in ("on_road", "in_crossing", "in_queue")], F.sum("lane_ord").cast("long").alias("lanes"))
+
+
+@query(f"SELECT video_id, count(*) FILTER ({_ROAD}) AS on_road, count(*) FILTER ({_LANE} BETWEEN 0 AND 3) AS east FROM tracks GROUP BY video_id")
+def zone_membership_by_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against a table of scenes, one per camera."""
+    rows = views.tracks(spark, sf_dir).withColumn("camera_id", F.lit("c0"))
+    ring = lambda p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p])
+    sc = views.scene()
+    lanes = F.array(*[F.struct(F.lit(x.id).alias("id"), ring(x.polygon).alias("polygon"), F.lit(x.direction[0]).alias("dx"), F.lit(x.direction[1]).alias("dy"), F.lit(x.group).alias("grp")) for x in sc.lanes])
+    table = spark.range(1).select(F.lit("c0").alias("camera_id"), F.array(ring(sc.carriageway[0])).alias("carriageway"), F.array(ring(sc.crossings[0])).alias("crossings"), F.array(ring(sc.queues[0])).alias("queues"), lanes.alias("lanes"))
+    out = zones.zone_index_by_camera(rows, table)
+    return out.groupBy("video_id").agg(F.count_if("on_road").alias("on_road"), F.count_if(F.col("lane_group") == "east").alias("east"))
+
+
+@query(f"SELECT video_id, round(min({_KERB}), 6) AS least, round(avg({_ZEBRA}), 6) AS zebra FROM tracks GROUP BY video_id")
+def boundary_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sc = views.scene()
+    rows = views.tracks(spark, sf_dir).select("video_id", zones.border_distance(sc, "carriageway").alias("kerb"), zones.border_distance(sc, "crossings").alias("zebra"))
+    return rows.groupBy("video_id").agg(r6(F.min("kerb")).alias("least"), r6(F.avg("zebra")).alias("zebra"))
+
+
+_HOOK = ((100.0, 100.0), (1800.0, 150.0), (1700.0, 900.0), (1200.0, 880.0), (1150.0, 420.0), (700.0, 460.0), (650.0, 950.0), (150.0, 800.0))
+_HOOK_SQL = ", ".join(f"({i}, {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)".replace(".0e0", "e0") for i, (a, b) in enumerate(zip(_HOOK, [*_HOOK[1:], _HOOK[0]], strict=True)))
+
+
+@query(_with(f"sides(i, ax, ay, bx, by_) AS (VALUES {_HOOK_SQL}), spots AS (SELECT DISTINCT gx, gy FROM tracks)", "SELECT gx, gy FROM (SELECT gx, gy, count(*) FILTER ((by_ > gy) <> (ay > gy) AND gx < (ax - bx) * (gy - by_) / (ay - by_ + 1e-9) + bx) % 2 AS odd FROM spots, sides GROUP BY gx, gy) WHERE odd = 1"))
+def points_in_concave_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spots = views.tracks(spark, sf_dir).select("gx", "gy").distinct()
+    return spots.where(g.point_in_polygon("gx", "gy", _HOOK))
+
+
+@query("SELECT video_id, track_id, round(sum(step), 6) AS length FROM (SELECT video_id, track_id, coalesce(sqrt((gx - lag(gx) OVER w)**2 + (gy - lag(gy) OVER w)**2), 0) AS step FROM tracks WHERE track_id >= 0 WINDOW w AS (PARTITION BY video_id, track_id ORDER BY t_sec, frame_idx)) GROUP BY video_id, track_id")
+def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinematics.path_lengths(views.tracks(spark, sf_dir)).withColumn("length", r6("length"))
+
+
+@query("SELECT video_id, track_id, frame_idx, CASE WHEN gx < 960.25e0 THEN 1 ELSE -1 END AS side, gx >= 960.25e0 AS inbound FROM (SELECT *, lag(gx) OVER (PARTITION BY video_id, track_id ORDER BY t_sec, frame_idx) AS px FROM tracks WHERE track_id >= 0 AND cls <> 0 AND gy BETWEEN 200 AND 800) WHERE px IS NOT NULL AND ((px < 960.25e0) <> (gx < 960.25e0))")
+def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles over a line at x = 960.25, which no point lies on."""
+    rows = views.tracks(spark, sf_dir).where("cls <> 0 and gy between 200 and 800")
+    return kinematics.line_crossings(rows, (960.25, 0.0, 960.25, 1080.0)).select("video_id", "track_id", "frame_idx", "side", "inbound")
+
+
+@query("""SELECT video_id, track_id, count(*) AS n, round(sum(x), 6) AS x FROM (SELECT video_id, track_id, CASE WHEN nt IS NULL THEN gx ELSE gx + (t0 + k * 0.2e0 - t_sec) / (nt - t_sec) * (nx - gx) END AS x
+    FROM (SELECT *, unnest(range(CAST(ceil((t_sec - t0) / 0.2e0 - 1e-9) AS BIGINT), CAST(CASE WHEN nt IS NULL THEN ceil((t_sec - t0 + 0.1e0) / 0.2e0 - 1e-9) ELSE ceil((nt - t0) / 0.2e0 - 1e-9) END AS BIGINT))) AS k
+      FROM (SELECT *, lead(t_sec) OVER w AS nt, lead(gx) OVER w AS nx, min(t_sec) OVER (PARTITION BY video_id, track_id) AS t0 FROM tracks WHERE track_id >= 0 WINDOW w AS (PARTITION BY video_id, track_id ORDER BY t_sec)))) GROUP BY video_id, track_id""")
+def resampled_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kinematics.resample_tracks(views.tracks(spark, sf_dir), 0.2)
+    return rows.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), r6(F.sum("gx")).alias("x"))
+
+
+_MERGED = """before AS (SELECT *, max("end") OVER (PARTITION BY video_id, label ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {source}),
+    grouped AS (SELECT *, sum(CASE WHEN "start" - m {test} THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, label ORDER BY "start", "end" RANGE UNBOUNDED PRECEDING) AS grp FROM before)"""
+
+
+@query(_with(_MERGED.format(source="predicted", test="> 1"), 'SELECT video_id, label, round(min("start"), 6) AS "start", round(max("end"), 6) AS "end" FROM grouped GROUP BY video_id, label, grp'))
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seg(intervals.merge(views.predicted(spark, sf_dir), 1.0))
+
+
+@query(_with(
+    'cut AS (SELECT video_id, label, greatest("start", 0) AS "start", least("end", 90e0) AS "end" FROM predicted WHERE least("end", 90e0) > greatest("start", 0)), ' + _MERGED.format(source="cut", test="> 1")
+    + ', joined AS (SELECT video_id, label, min("start") AS "start", max("end") AS "end" FROM grouped GROUP BY video_id, label, grp)',
+    'SELECT video_id, label, round("start", 6) AS "start", round("end", 6) AS "end" FROM joined WHERE "end" - "start" >= 0.5e0',
+))
+def finalised_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seg(intervals.finalise(views.predicted(spark, sf_dir).drop("a").withColumn("duration", F.lit(90.0))))
+
+
+@query('SELECT video_id, label, round("start", 6) AS "start", round("end", 6) AS "end", round(p, 6) AS previous_end FROM (SELECT *, lag("end") OVER (PARTITION BY video_id, label ORDER BY "start", "end") AS p FROM truth) WHERE "start" < p')
+def overlapping_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intervals.overlaps(views.truth(spark, sf_dir))
+    return found.select("video_id", "label", r6("start").alias("start"), r6("end").alias("end"), r6("previous_end").alias("previous_end"))
+
+
+@query()
+def cleaned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold (keep the earlier of overlapping ones): checked against a loop in the tests."""
+    rows = views.predicted(spark, sf_dir).select("video_id", "label", "start", "end", F.col("a").cast("int").alias("pos"), F.lit(90.0).alias("duration"))
+    return intervals.clean_events(rows, eda.LABELS).select("video_id", "label", "start", "end", "pos", "kept", "reason")
+
+
+_ASKED = "asked AS (SELECT video_id, t_sec + 1800e0 AS at FROM risk WHERE score > 0.5e0)"
+
+
+@query(_with(_ASKED, "SELECT q.video_id, q.at, r.score FROM asked q ASOF LEFT JOIN risk r ON q.video_id = r.video_id AND q.at >= r.t_sec"))
+def risk_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = views.risk(spark, sf_dir)
+    return intervals.as_of_backward(curve, curve.where("score > 0.5").selectExpr("video_id", "t_sec + 1800e0 as at"))
+
+
+@query(_with(_ASKED + ", ends AS (SELECT video_id, max_by(score, t_sec) AS l FROM risk GROUP BY video_id)", "SELECT q.video_id, q.at, coalesce(r.score, e.l, 0e0) AS score FROM asked q ASOF LEFT JOIN risk r ON q.video_id = r.video_id AND q.at <= r.t_sec LEFT JOIN ends e ON e.video_id = q.video_id"))
+def risk_as_of_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = views.risk(spark, sf_dir)
+    return intervals.as_of_forward(curve, curve.where("score > 0.5").selectExpr("video_id", "t_sec + 1800e0 as at"))
+
+
+@query('SELECT t.video_id, t.frame_idx, g.label, count(*) AS n FROM (SELECT DISTINCT video_id, frame_idx, t_sec FROM tracks) t JOIN truth g ON g.video_id = t.video_id AND g."start" <= t.t_sec AND t.t_sec < g."end" GROUP BY 1, 2, 3')
+def active_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = views.tracks(spark, sf_dir).select("video_id", "frame_idx", "t_sec").distinct()
+    return eda.active_at(views.truth(spark, sf_dir), times, width=10.0).groupBy("video_id", "frame_idx", "label").agg(F.count("*").alias("n"))
+
+
+@query('SELECT g.video_id, g.a, count(*) AS n FROM truth g JOIN tracks t ON t.video_id = g.video_id AND abs(t.t_sec - g."start") <= 0.251e0 GROUP BY 1, 2')
+def rows_near_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = views.truth(spark, sf_dir).select("video_id", "a", F.col("start").alias("at"))
+    rows = intervals.rows_near(points, views.tracks(spark, sf_dir).select("video_id", "t_sec"), F.lit(0.251))
+    return rows.groupBy("video_id", "a").agg(F.count("*").alias("n"))
+
+
+@query('SELECT video_id, round(greatest(0, "start" - 2), 6) AS clip_start, round(least(100e0, "end" + 2), 6) AS clip_end, CAST(2 * ceil((least(100e0, "end" + 2) - greatest(0, "start" - 2)) / 20e0) AS BIGINT) AS playback, a FROM truth')
+def review_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = intervals.padded(views.truth(spark, sf_dir).withColumn("duration", F.lit(100.0)))
+    return rows.select("video_id", r6("clip_start").alias("clip_start"), r6("clip_end").alias("clip_end"), F.col("playback").cast("long").alias("playback"), "a")
+
+
+@query("SELECT label, count(*) AS n FROM predicted GROUP BY label")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.event_counts(views.predicted(spark, sf_dir))
+
+
+@query("SELECT video_id, t_sec, " + ", ".join(f"count(*) FILTER (cls = {c}) AS {n}" for c, n in s.CLASS_NAMES.items()) + " FROM tracks GROUP BY video_id, t_sec")
+def object_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.object_counts(views.tracks(spark, sf_dir))
+
+
+@query(f"SELECT video_id, t_sec, count(*) FILTER ({_LANE} BETWEEN 0 AND 3) AS east, count(*) FILTER ({_LANE} > 3) AS west, count(*) FILTER ({_LANE} < 0) AS other FROM tracks WHERE cls IN (2, 3, 5, 7) GROUP BY video_id, t_sec")
+def direction_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sc = views.scene()
+    rows = rules.with_lane_direction_group(zones.zone_index(rules.vehicles(views.tracks(spark, sf_dir)), sc), sc)
+    return eda.density(rows, ["east", "west"])
+
+
+@query(_with(_SUSTAINED % "tracks", "SELECT video_id, CAST(least(239, floor(gx / 8e0)) AS BIGINT) AS bx, CAST(least(134, floor(gy / 8e0)) AS BIGINT) AS by, count(*) AS n FROM slow WHERE speed > 0.5e0 * greatest(y2 - y1, 1) AND speed < 1e300 AND gx BETWEEN 0 AND 1920 AND gy BETWEEN 0 AND 1080 GROUP BY 1, 2, 3"))
+def motion_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = eda.motion_heatmap(views.tracks(spark, sf_dir), views.WIDTH, views.HEIGHT)
+    return rows.select("video_id", F.col("bx").cast("long").alias("bx"), F.col("by").cast("long").alias("by"), "n")
+
+
+@query("SELECT video_id, count(DISTINCT CASE WHEN track_id >= 0 THEN track_id END) AS tracks, count(*) AS boxes, count(DISTINCT t_sec) AS samples, round(count(*) / count(DISTINCT t_sec), 6) AS per_sample, " + ", ".join(f"count(DISTINCT CASE WHEN track_id >= 0 AND cls = {c} THEN track_id END) AS {n}_tracks" for c, n in s.CLASS_NAMES.items()) + " FROM tracks GROUP BY video_id")
+def clip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.clip_summary(views.tracks(spark, sf_dir)).withColumn("per_sample", r6("per_sample"))
+
+
+@query("SELECT video_id, CAST(floor(t_sec / 5e0) AS BIGINT) AS bin, count(DISTINCT track_id) AS n FROM tracks WHERE track_id >= 0 GROUP BY 1, 2")
+def tracks_per_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.tracks_per_bin(views.tracks(spark, sf_dir)).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query("SELECT video_id, track_id, count(*) AS n, round(atan2(max_by(gy, t_sec) - min_by(gy, t_sec), max_by(gx, t_sec) - min_by(gx, t_sec)), 6) + 0e0 AS net_heading FROM tracks WHERE track_id >= 0 GROUP BY 1, 2 HAVING count(*) >= 4")
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.trajectories(views.tracks(spark, sf_dir)).select("video_id", "track_id", "n", r6("net_heading").alias("net_heading"))
+
+
+@query('SELECT v.video_id, round(greatest(coalesce(g.e, 0), coalesce(t.e, 0), v.duration, 1), 6) AS extent, coalesce(g.k, 0) AS lanes FROM videos v LEFT JOIN (SELECT video_id, max("end") AS e, count(DISTINCT label) AS k FROM predicted GROUP BY 1) g USING (video_id) LEFT JOIN (SELECT video_id, max(t_sec) AS e FROM tracks GROUP BY 1) t USING (video_id)')
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = views.tracks(spark, sf_dir).select("video_id", "t_sec", F.lit(0.0).alias("score"))
+    rows = eda.timeline(views.predicted(spark, sf_dir), times, views.videos(spark, sf_dir).withColumnRenamed("duration", "hint"))
+    return rows.select("video_id", r6("extent").alias("extent"), F.coalesce(F.size("lanes"), F.lit(0)).cast("long").alias("lanes"))
+
+
+@query("SELECT video_id, max(abs(score)) = 0 AS all_zero FROM risk GROUP BY video_id")
+def all_zero_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.all_zero_risk(views.risk(spark, sf_dir))
+
+
+@query("SELECT video_id, count(*) AS n, CAST(sum(frame_idx) AS BIGINT) AS frames FROM tracks WHERE frame_idx % 60 = 0 GROUP BY video_id")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.every_nth_frame(views.tracks(spark, sf_dir), 60).groupBy("video_id").agg(F.count("*").alias("n"), F.sum("frame_idx").cast("long").alias("frames"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT DISTINCT l_suppkey AS v, CAST(l_orderkey AS BIGINT) AS x FROM lineitem), r AS (SELECT v, min(x) AS x FROM f GROUP BY v UNION ALL SELECT r.v, (SELECT min(f.x) FROM f WHERE f.v = r.v AND f.x >= r.x + 700) FROM r WHERE r.x IS NOT NULL)
+    SELECT 's' || CAST(v AS VARCHAR) AS video_id, x AS frame_idx FROM r WHERE x IS NOT NULL""", plain=True)
+def min_step_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = views.read(spark, sf_dir, "lineitem").selectExpr("'s' || cast(l_suppkey as string) as video_id", "l_orderkey as frame_idx")
+    return sampling.min_step(frames, 700)
+
+
+@query("SELECT video_id, greatest(1, median(gap)) AS step FROM (SELECT video_id, frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS gap FROM (SELECT DISTINCT video_id, frame_idx FROM tracks)) GROUP BY video_id")
+def sample_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_step_of(views.tracks(spark, sf_dir))
+
+
+@query("SELECT video_id, t_sec, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_sec) - 1 AS rn FROM risk) WHERE rn % 6 = 0")
+def decimated_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.decimated(views.risk(spark, sf_dir).withColumn("fps", F.lit(30.0))).select("video_id", "t_sec", "score")
+
+
+@query("""SELECT video_id, t_sec, score FROM (SELECT *, min(rn) OVER b AS e0, max(rn) OVER b AS e1, first_value(rn) OVER (PARTITION BY video_id, bk ORDER BY score, rn) AS e2, first_value(rn) OVER (PARTITION BY video_id, bk ORDER BY score DESC, rn) AS e3
+    FROM (SELECT *, CAST(floor(rn / ceil(n / 5e0)) AS INT) AS bk FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_sec) - 1 AS rn, count(*) OVER (PARTITION BY video_id) AS n FROM risk)) WINDOW b AS (PARTITION BY video_id, bk)) WHERE n <= 20 OR rn IN (e0, e1, e2, e3)""")
+def min_max_decimated_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.min_max_decimated(views.risk(spark, sf_dir), 20).select("video_id", "t_sec", "score")
+
+
+@query("""SELECT DISTINCT v.video_id, (SELECT min(t.frame_idx) FROM tracks t WHERE t.video_id = v.video_id AND t.t_sec >= i * v.duration / 9) AS frame_idx FROM videos v, (SELECT unnest(range(0, 9)) AS i)
+    WHERE EXISTS (SELECT 1 FROM tracks t WHERE t.video_id = v.video_id AND t.t_sec >= i * v.duration / 9)""")
+def alignment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = views.tracks(spark, sf_dir).select("video_id", "frame_idx", "t_sec").distinct()
+    return sampling.times_to_frames(views.videos(spark, sf_dir), frames)
+
+
+_PACKETS = "packets AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS video_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag) AS pos, l_partkey AS pts, l_quantity >= 45 AS is_keyframe, l_returnflag AS picture FROM lineitem)"
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "lineitem").selectExpr("'s' || cast(l_suppkey as string) as video_id", "row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag) as pos", "l_partkey as pts", "l_quantity >= 45 as is_keyframe", "l_returnflag as picture")
+
+
+@query(f"""WITH {_PACKETS}, k AS (SELECT video_id, count(*) AS keyframes, min(gop) AS min_gop, median(gop) AS median_gop, max(gop) AS max_gop FROM (SELECT video_id, pos - lag(pos) OVER (PARTITION BY video_id ORDER BY pos) AS gop FROM packets WHERE is_keyframe) GROUP BY 1)
+    SELECT video_id, packets, reordered, keyframes, min_gop, median_gop, max_gop FROM (SELECT video_id, count(*) AS packets, count(*) FILTER (back) AS reordered FROM (SELECT video_id, pts < lag(pts) OVER (PARTITION BY video_id ORDER BY pos) AS back FROM packets) GROUP BY 1) LEFT JOIN k USING (video_id)""", plain=True)
+def keyframe_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sampling.keyframe_intervals(_packets(spark, sf_dir))
+    return out.select("video_id", "packets", "reordered", "keyframes", F.col("min_gop").cast("long").alias("min_gop"), "median_gop", F.col("max_gop").cast("long").alias("max_gop"))
+
+
+@query(f"WITH {_PACKETS} SELECT video_id, picture, count(*) AS n FROM packets GROUP BY 1, 2", plain=True)
+def picture_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.picture_types(_packets(spark, sf_dir))
+
+
+@query(f"""WITH {_PACKETS}, f AS (SELECT video_id, pos, pts, pts < lag(pts) OVER (PARTITION BY video_id ORDER BY pos) AS back, picture FROM packets)
+    SELECT video_id, count(*) AS frames, count(DISTINCT picture) = 1 AS constant_size, count(*) FILTER (back) = 0 AS monotone, round(greatest(count(*) / 25e0, max(pts) / 1000e0 + 1 / 25e0), 6) AS duration FROM f GROUP BY 1""", plain=True)
+def frame_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _packets(spark, sf_dir).selectExpr("video_id", "pos as frame_no", "cast(pts as double) as pos_ms", "picture as width", "1 as height", "0e0 as fps")
+    return sampling.frame_audit(rows).withColumn("duration", r6("duration"))
+
+
+_TIOU = '(least(g."end", p."end") - greatest(g."start", p."start")) / (greatest(g."end", p."end") - least(g."start", p."start"))'
+
+
+@query(f'SELECT g.video_id, g.label, round(g."start", 6) AS gs, round(p."start", 6) AS ps, round({_TIOU}, 6) AS iou FROM truth g JOIN predicted p ON g.video_id = p.video_id AND g.label = p.label WHERE g."start" < p."end" AND p."start" < g."end" AND {_TIOU} >= 0.3e0')
+def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.truth(spark, sf_dir).select("video_id", "label", F.col("start").alias("gs"), F.col("end").alias("ge"))
+    b = views.predicted(spark, sf_dir).select("video_id", "label", F.col("start").alias("ps"), F.col("end").alias("pe"))
+    both = a.join(b, ["video_id", "label"]).where("gs < pe and ps < ge").withColumn("iou", s.tiou(*map(F.col, ("gs", "ge", "ps", "pe"))))
+    return both.where("iou >= 0.3").select("video_id", "label", r6("gs").alias("gs"), r6("ps").alias("ps"), r6("iou").alias("iou"))
+
+
+@query()
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy one-to-one matching: checked against a loop in the tests."""
+    out = evaluation.class_scores(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), views.videos(spark, sf_dir))
+    return out.select("label", "threshold", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def matched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.matched_listing(views.truth(spark, sf_dir), views.predicted(spark, sf_dir))
+    return out.select("video_id", "label", "kind", r6("start").alias("start"), r6("end").alias("end"), r6("best").alias("best"))
+
+
+@query()
+def agnostic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.agnostic_scores(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), views.videos(spark, sf_dir))
+    return out.select("threshold", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f'SELECT g.video_id, g.label AS true_label, p.label AS pred_label, round(g."start", 6) AS gs, round(p."start", 6) AS ps, round({_TIOU}, 6) AS iou FROM truth g JOIN predicted p ON g.video_id = p.video_id AND g.label <> p.label WHERE g."start" < p."end" AND p."start" < g."end" AND {_TIOU} >= 0.3e0')
+def label_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.confusions(views.truth(spark, sf_dir), views.predicted(spark, sf_dir))
+    return out.select("video_id", "true_label", "pred_label", r6("gs").alias("gs"), r6("ps").alias("ps"), r6("iou").alias("iou"))
+
+
+@query("SELECT video_id, 'missing' AS problem FROM (SELECT DISTINCT video_id FROM truth EXCEPT SELECT DISTINCT video_id FROM predicted) UNION ALL SELECT video_id, 'extra' FROM (SELECT DISTINCT video_id FROM predicted EXCEPT SELECT DISTINCT video_id FROM truth)")
+def missing_and_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.missing_and_extra(views.truth(spark, sf_dir), views.predicted(spark, sf_dir))
+
+
+# accidents and near misses for the risk curves: some of each user's own samples
+_INCIDENTS = """sel AS (SELECT video_id, t_sec, CAST(floor(t_sec) AS BIGINT) AS s FROM risk), accidents AS (SELECT video_id, CAST(s AS DOUBLE) + 4 AS a0, CAST(s AS DOUBLE) + 10 AS a1 FROM sel WHERE s % 17 = 0),
+    misses AS (SELECT video_id, CAST(s AS DOUBLE) + 3 AS a0, CAST(s AS DOUBLE) + 8 AS a1 FROM sel WHERE s % 13 = 0),
+    labelled AS (SELECT r.video_id, r.t_sec, r.score, CASE WHEN EXISTS (SELECT 1 FROM accidents a WHERE a.video_id = r.video_id AND r.t_sec BETWEEN a.a0 AND a.a1) THEN NULL
+      WHEN EXISTS (SELECT 1 FROM accidents a WHERE a.video_id = r.video_id AND r.t_sec >= a.a0 - 5 AND r.t_sec < a.a0) THEN 1
+      WHEN EXISTS (SELECT 1 FROM misses a WHERE a.video_id = r.video_id AND r.t_sec BETWEEN a.a0 - 5 AND a.a1) THEN NULL ELSE 0 END AS y FROM risk r)"""
+
+
+def _incidents(curve: DataFrame) -> DataFrame:
+    rows = curve.select("video_id", F.floor("t_sec").alias("s"))
+    a = rows.where("s % 17 = 0").selectExpr("video_id", "'accident' as label", "cast(s as double) + 4 as start", "cast(s as double) + 10 as end")
+    return a.unionByName(rows.where("s % 13 = 0").selectExpr("video_id", "'near_miss' as label", "cast(s as double) + 3 as start", "cast(s as double) + 8 as end"))
+
+
+@query(_with(_INCIDENTS, "SELECT video_id, t_sec, score, CAST(y AS INT) AS y FROM labelled"))
+def risk_frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = views.risk(spark, sf_dir)
+    gt = _incidents(curve)
+    return evaluation.frame_labels(curve, gt.where("label = 'accident'"), gt.where("label = 'near_miss'")).select("video_id", "t_sec", "score", "y")
+
+
+@query(_with(_INCIDENTS + ", ties AS (SELECT score, sum(y) AS pos, count(*) AS n FROM labelled WHERE y IS NOT NULL GROUP BY score), ran AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER () AS allp, sum(n) OVER () AS alln FROM ties WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))", "SELECT round(sum(pos / allp * (tp / seen)), 6) AS ap_raw, round(max(allp / alln), 6) AS positive_rate, CAST(max(alln) AS BIGINT) AS n, CAST(max(allp) AS BIGINT) AS n_pos FROM ran"))
+def risk_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = views.risk(spark, sf_dir)
+    gt = _incidents(curve)
+    out = evaluation.average_precision(evaluation.frame_labels(curve, gt.where("label = 'accident'"), gt.where("label = 'near_miss'")))
+    return out.select(r6("ap_raw").alias("ap_raw"), r6("positive_rate").alias("positive_rate"), F.col("n").cast("long").alias("n"), F.col("n_pos").cast("long").alias("n_pos"))
+
+
+@query("""SELECT video_id, s AS t_sec FROM (SELECT *, s - lag(e) OVER (PARTITION BY video_id ORDER BY s) AS gap FROM (SELECT video_id, min(t_sec) AS s, max(t_sec) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY t_sec ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT *, CASE WHEN score >= 0.2e0 AND NOT coalesce(lag(score >= 0.2e0) OVER (PARTITION BY video_id ORDER BY t_sec), FALSE) THEN 1 ELSE 0 END AS fresh FROM risk)) WHERE score >= 0.2e0 GROUP BY video_id, run)) WHERE gap IS NULL OR gap >= 86400""")
+def alarm_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.alarm_starts(views.risk(spark, sf_dir), 0.2, 86400.0)
+
+
+@query()
+def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = views.risk(spark, sf_dir)
+    out = evaluation.risk_report(curve, _incidents(curve))
+    return out.select(*[r6(F.col(c).cast("double")).alias(c) for c in out.columns])
+
+
+@query()
+def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = views.risk(spark, sf_dir)
+    a = evaluation.macro_score(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), views.videos(spark, sf_dir))
+    out = evaluation.model_score(a, evaluation.risk_report(curve, _incidents(curve)))
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+_PAIRS = """seen AS (SELECT *, {t_sec: t_sec, gx: gx, gy: gy} AS o FROM tracks WHERE track_id >= 0),
+    old AS (SELECT *, last_value(o) OVER (PARTITION BY video_id, track_id ORDER BY t_sec RANGE BETWEEN 1.5e0 PRECEDING AND 0.4e0 PRECEDING) AS p FROM seen),
+    live AS (SELECT *, (gx - p.gx) / (t_sec - p.t_sec) AS hx, (gy - p.gy) / (t_sec - p.t_sec) AS hy, y2 - y1 AS h FROM old WHERE p IS NOT NULL),
+    pairs AS (SELECT a.video_id, a.frame_idx, b.gx - a.gx AS rx, b.gy - a.gy AS ry, b.hx - a.hx AS wx, b.hy - a.hy AS wy, (a.h + b.h) / 2 AS l FROM live a JOIN live b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.track_id < b.track_id WHERE NOT (a.cls = 0 AND b.cls = 0)),
+    danger AS (SELECT *, -(rx * wx + ry * wy) / nullif(wx * wx + wy * wy, 0) AS t, sqrt(rx * rx + ry * ry) AS d FROM pairs WHERE wx * wx + wy * wy > 1e-9),
+    worst AS (SELECT video_id, frame_idx, max(pow(0.5e0, t / 0.5e0)) AS raw FROM danger WHERE t > 0 AND d > 1e-9 AND sqrt((rx + wx * t)**2 + (ry + wy * t)**2) <= 0.4e0 * l AND -(rx * wx + ry * wy) / d >= 3e0 * l GROUP BY 1, 2),
+    scored AS (SELECT f.video_id, f.frame_idx, f.t_sec, coalesce(raw, 0e0) AS raw FROM (SELECT DISTINCT video_id, frame_idx, t_sec FROM tracks WHERE track_id >= 0) f LEFT JOIN worst USING (video_id, frame_idx))"""
+
+
+@query(_with(_PAIRS, "SELECT video_id, frame_idx, round(CASE WHEN count(*) OVER w >= 3 THEN min(raw) OVER w ELSE 0 END, 6) AS score FROM scored WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"))
+def collision_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair scores per sample and their persistence."""
+    out = risk.persistent_risk(risk.sample_scores(views.tracks(spark, sf_dir)))
+    return out.select("video_id", "frame_idx", r6("score").alias("score"))
+
+
+@query(_with("e AS (SELECT video_id, a, label, \"start\", \"end\", CASE WHEN a % 29 = 0 THEN -1e0 ELSE \"start\" END AS s, CASE WHEN a % 31 = 0 THEN 'parking' ELSE label END AS l FROM predicted), alone AS (SELECT video_id, a AS pos, CASE WHEN NOT (s >= 0 AND s < \"end\") THEN 'need 0 <= start < end' WHEN l = 'parking' THEN 'unknown label' WHEN \"end\" > 90.5e0 THEN 'ends after the video' END AS problem FROM e), late AS (SELECT video_id, a AS pos, s, lag(\"end\") OVER (PARTITION BY video_id, l ORDER BY s, \"end\") AS p FROM e WHERE l <> 'parking')", "SELECT * FROM alone WHERE problem IS NOT NULL UNION ALL SELECT video_id, pos, 'overlaps the one before' FROM late WHERE s < p"))
+def event_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.predicted(spark, sf_dir)
+    rows = rows.select("video_id", F.col("a").alias("pos"), F.when(F.col("a") % 29 == 0, -1.0).otherwise(F.col("start")).alias("start"), "end", F.when(F.col("a") % 31 == 0, "parking").otherwise(F.col("label")).alias("label"))
+    durations = rows.select("video_id").distinct().withColumn("duration", F.lit(90.0))
+    return validation.event_problems(rows, durations)
+
+
+@query("SELECT video_id, min(pos) AS pos, 'score outside [0, 1]' AS problem FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value / 500e0 AS score FROM events) WHERE NOT score BETWEEN 0 AND 1 GROUP BY video_id", plain=True)
+def risk_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "events").selectExpr("'u' || cast(user_id as string) as video_id", "row_number() over (partition by user_id order by ts, event_id) as pos", "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6 as t_sec", "value / 500e0 as score")
+    return validation.risk_problems(rows)
+
+
+@query('SELECT video_id, count(*) AS n, round(sum("start"), 6) AS s, round(sum("end"), 6) AS e FROM predicted GROUP BY video_id')
+def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written as one JSON document per video, read back and unpacked."""
+    rows = views.predicted(spark, sf_dir).drop("a")
+    empty = rows.select("video_id", F.lit(0.0).alias("t_sec"), F.lit(0.0).alias("score")).where("1 = 0")
+    docs = documents.prediction_documents(rows, empty, rows.select("video_id").distinct(), "team")
+    back = documents.events(documents.predictions(docs.select(documents.strict_json(F.col("doc")).alias("doc"))))
+    return back.groupBy("video_id").agg(F.count("*").alias("n"), r6(F.sum("start")).alias("s"), r6(F.sum("end")).alias("e"))
+
+
+_PIXELS = "pixels AS (SELECT 's' || CAST(l_suppkey % 20 AS VARCHAR) AS video_id, CAST(l_orderkey % 40 AS INT) AS frame_idx, 'light' || CAST(l_linenumber % 3 AS VARCHAR) AS light_id, CAST((l_partkey * 3 + (l_suppkey % 20) * 9 + (l_orderkey % 40)) % (20 + (l_orderkey % 7) * 25) AS INT) AS h, CAST(60 + l_partkey % 190 AS INT) AS s, CAST(80 + l_quantity * 3 AS INT) AS v FROM lineitem)"
+
+
+@query(f"""WITH {_PIXELS}, n AS (SELECT video_id, frame_idx, light_id, count(*) FILTER (s >= 90 AND v >= 110) AS lit, count(*) FILTER (s >= 90 AND v >= 110 AND (h BETWEEN 0 AND 10 OR h BETWEEN 170 AND 179)) AS r, count(*) FILTER (s >= 90 AND v >= 110 AND h BETWEEN 11 AND 27) AS a, count(*) FILTER (s >= 90 AND v >= 110 AND h BETWEEN 40 AND 95) AS g FROM pixels GROUP BY 1, 2, 3),
+    b AS (SELECT *, greatest(r, a, g) AS f, r + a + g - greatest(r, a, g) - least(r, a, g) AS z FROM n)
+    SELECT video_id, frame_idx, light_id, CASE WHEN lit < 12 OR f = 0 OR f < 0.5e0 * lit OR (z > 0 AND f / greatest(z, 1) < 1.6e0) THEN 'unknown' WHEN r = f THEN 'red' WHEN a = f THEN 'amber' ELSE 'green' END AS state, lit FROM b""", plain=True)
+def signal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "lineitem").selectExpr("'s' || cast(l_suppkey % 20 as string) as video_id", "cast(l_orderkey % 40 as int) as frame_idx", "'light' || cast(l_linenumber % 3 as string) as light_id", "cast((l_partkey * 3 + (l_suppkey % 20) * 9 + (l_orderkey % 40)) % (20 + (l_orderkey % 7) * 25) as int) as h", "cast(60 + l_partkey % 190 as int) as s", "cast(80 + l_quantity * 3 as int) as v")
+    return signals.signal_votes(rows).select("video_id", "frame_idx", "light_id", "state", "lit")
+
+
+@query()
+def lane_signal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = QUERIES["signal_states"](spark, sf_dir).withColumns({"confidence": F.lit(1.0), "controls_lanes": F.when(F.col("light_id") == "light0", F.array(F.lit("lane0"), F.lit("lane1"))).otherwise(F.array(F.lit("lane1")))})
+    return signals.lane_signals(states)
+
+
+@query("""WITH m AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS video_id, 1e0 + CAST(l_partkey % 5 - 2 AS DOUBLE) / 1000e0 AS m00, CAST(l_linenumber % 3 - 1 AS DOUBLE) / 1000e0 AS m10, CAST(l_orderkey % 5 - 2 AS DOUBLE) AS tx, CAST(l_orderkey % 3 - 1 AS DOUBLE) AS ty, 30 + l_quantity AS inl FROM lineitem)
+    SELECT video_id, count(*) AS frames, count(*) FILTER (inl >= 40 AND inl / 100 >= 0.3e0) AS good_frames, round(median(sqrt(m00 * m00 + m10 * m10)) FILTER (inl >= 40 AND inl / 100 >= 0.3e0), 6) AS scale, round(median(tx) FILTER (inl >= 40 AND inl / 100 >= 0.3e0), 6) AS tx FROM m GROUP BY 1 HAVING count(*) FILTER (inl >= 40 AND inl / 100 >= 0.3e0) >= 1""", plain=True)
+def camera_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "lineitem").selectExpr("'s' || cast(l_suppkey as string) as video_id", "1e0 + cast(l_partkey % 5 - 2 as double) / 1000e0 as m00", "cast(l_linenumber % 3 - 1 as double) / 1000e0 as m10", "cast(l_orderkey % 5 - 2 as double) as m02", "cast(l_orderkey % 3 - 1 as double) as m12", "30 + l_quantity as inliers", "100 as matches", "0e0 as t_sec")
+    out = poses.estimate_poses(rows).select("video_id", "pose.*")
+    return out.where("reason = 'aligned'").select("video_id", F.col("frames").cast("long").alias("frames"), F.col("good_frames").cast("long").alias("good_frames"), r6("scale").alias("scale"), r6("tx").alias("tx"))
+
+
+@query()
+def review_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = review.scan(kinematics.with_kinematics(views.tracks(spark, sf_dir)), views.scene())
+    return out.select("video_id", r6("start").alias("start"), r6("end").alias("end"), "label", "kind", r6("rank").alias("rank"))
+
+
+@query(_with("""rows AS (SELECT video_id, label, "start", "end", 'a' AS source FROM truth UNION ALL SELECT video_id, label, "start", "end", 'b' FROM predicted), before AS (SELECT *, max("end") OVER (PARTITION BY video_id, label ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM rows),
+    grouped AS (SELECT *, sum(CASE WHEN "start" >= m THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, label ORDER BY "start", "end" RANGE UNBOUNDED PRECEDING) AS grp FROM before)""", 'SELECT video_id, label, round(min("start"), 6) AS "start", round(max("end"), 6) AS "end", count(DISTINCT source) AS sources FROM grouped GROUP BY video_id, label, grp'))
+def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<long>")
+    out = review.candidates({"a": views.truth(spark, sf_dir).withColumn("track_ids", none), "b": views.predicted(spark, sf_dir).withColumn("track_ids", none)})
+    return _seg(out).join(out.select("video_id", "label", r6("start").alias("start"), F.size("sources").cast("long").alias("sources")), ["video_id", "label", "start"])
+
+
+@query('SELECT video_id, label, round("start", 6) AS "start", round("end", 6) AS "end" FROM (SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY "end" - "start" DESC, "start") AS r FROM predicted p WHERE NOT EXISTS (SELECT 1 FROM truth g WHERE g.video_id = p.video_id AND g.label = p.label AND g."start" < p."end" AND p."start" < g."end")) WHERE r <= 8')
+def recall_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seg(review.recall_probes(views.predicted(spark, sf_dir).drop("a"), views.truth(spark, sf_dir)))
+
+
+@query('SELECT g.video_id, g.label, round(g."start", 6) AS "start", round(g."end", 6) AS "end", count(DISTINCT p.a) AS ids FROM (SELECT DISTINCT video_id, label, "start", "end" FROM truth) g LEFT JOIN predicted p ON g.video_id = p.video_id AND g.label = p.label AND p."start" < g."end" AND g."start" < p."end" GROUP BY 1, 2, g."start", g."end"')
+def attached_track_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = views.predicted(spark, sf_dir).withColumn("track_ids", F.array("a"))
+    out = review.attached_ids(views.truth(spark, sf_dir).select("video_id", "label", "start", "end").distinct(), raw)
+    return out.select("video_id", "label", r6("start").alias("start"), r6("end").alias("end"), F.size("track_ids").cast("long").alias("ids"))
+
+
+@query("SELECT video_id, track_id, frame_idx, round(conf, 6) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cls ORDER BY conf DESC, track_id, frame_idx) AS r FROM tracks WHERE track_id >= 0) WHERE r <= 3")
+def surest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top three boxes per video and class."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_id", "cls").orderBy(F.desc("conf"), "track_id", "frame_idx")
+    rows = views.tracks(spark, sf_dir).where("track_id >= 0").withColumn("r", F.row_number().over(w)).where("r <= 3")
+    return rows.select("video_id", "track_id", "frame_idx", r6("conf").alias("conf"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS vehicles, count(*) FILTER (value > 100) AS slow FROM (SELECT event_type, CAST(ts AS TIMESTAMP) AS ts, value FROM events) GROUP BY 1, 2", plain=True)
+def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "events").selectExpr("event_type as direction", "'all' as video_id", "cast(ts as timestamp) as ts", "value > 100 as slow")
+    out = windows.sliding_congestion(rows, "1 day", "1 day")
+    return out.select(F.col("direction").alias("event_type"), F.col("window_start").cast("timestamp_ntz").alias("day"), "vehicles", "slow")
+
+
+@query("""SELECT 'u' || CAST(user_id AS VARCHAR) AS video_id, count(*) AS samples, CAST(min(t) AS BIGINT) AS start_us FROM (SELECT user_id, t, sum(f) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g
+    FROM (SELECT user_id, event_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 14400000000 THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, g""", plain=True)
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "events").selectExpr("'u' || cast(user_id as string) as video_id", "cast(ts as timestamp) as ts")
+    out = windows.session_runs(rows, ["video_id"], "4 hours")
+    return out.select("video_id", "samples", F.unix_micros("start").alias("start_us"))
