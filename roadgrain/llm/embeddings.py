@@ -121,10 +121,10 @@ def _open_pairs(tiles: DataFrame, boxes: list[tuple[int, int, list[float]]], thr
     """(lo, hi) for the tile pairs whose bound reaches the threshold, each once."""
     d = np.array([b[0] for b in boxes])
     tile = np.array([b[1] for b in boxes], np.int64)
-    wide = max((len(b[2]) for b in boxes), default=1)
-    box = np.array([b[2][: (len(b[2]) - 1) // 2] + [0.0] * ((wide - len(b[2])) // 2) + b[2][(len(b[2]) - 1) // 2 : -1] + [0.0] * ((wide - len(b[2])) // 2) + b[2][-1:] for b in boxes]).reshape(len(boxes), -1)
-    k = (wide - 1) // 2
-    low, high, suffix = box[:, :k], box[:, k : 2 * k], box[:, -1] if len(boxes) else np.zeros(0)
+    low, high, suffix = np.zeros((len(boxes), BOX)), np.zeros((len(boxes), BOX)), np.zeros(len(boxes))
+    for row, (_, _, values) in enumerate(boxes):
+        k = (len(values) - 1) // 2  # short vectors have fewer leading dimensions
+        low[row, :k], high[row, :k], suffix[row] = values[:k], values[k : 2 * k], values[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

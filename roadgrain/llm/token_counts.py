@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, sections: Column | None = None, tokenizer_path
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = tokenizer_path or public_tokenizers.path(TOKENIZER_FILE)
-    pattern = public_tokenizers.PATTERN
+    pattern, given = public_tokenizers.PATTERN, sections is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -81,7 +81,7 @@ def count_tokens(docs: DataFrame, sections: Column | None = None, tokenizer_path
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc", "start", "end", "n", "crossing", "total")}
             texts, names = batch.column("text").to_pylist(), []
-            if sections is not None:
+            if given:
                 spans = batch.column("sections")
                 flat = spans.flatten()
                 name, start, end = flat.field(0).to_pylist(), flat.field(1).fill_null(0).to_numpy(), flat.field(2).fill_null(0).to_numpy()
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, sections: Column | None = None, tokenizer_path
                 raw = (text or "").encode()
                 points = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) if len(raw) > len(text or "") else np.arange(len(raw))
                 points = np.append(points, len(raw))
-                if sections is not None:
+                if given:
                     k = sizes[doc]
                     a, b = (np.clip(x[at : at + k], 0, len(points) - 1) for x in (start, end))
                     names += name[at : at + k]
