@@ -515,7 +515,7 @@ def collision_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "frame_idx", r6("score").alias("score"))
 
 
-@query(_with("e AS (SELECT video_id, a, label, \"start\", \"end\", CASE WHEN a % 29 = 0 THEN -1e0 ELSE \"start\" END AS s, CASE WHEN a % 31 = 0 THEN 'parking' ELSE label END AS l FROM predicted), alone AS (SELECT video_id, a AS pos, CASE WHEN NOT (s >= 0 AND s < \"end\") THEN 'need 0 <= start < end' WHEN l = 'parking' THEN 'unknown label' WHEN \"end\" > 90.5e0 THEN 'ends after the video' END AS problem FROM e), late AS (SELECT video_id, a AS pos, s, lag(\"end\") OVER (PARTITION BY video_id, l ORDER BY s, \"end\") AS p FROM e WHERE l <> 'parking')", "SELECT * FROM alone WHERE problem IS NOT NULL UNION ALL SELECT video_id, pos, 'overlaps the one before' FROM late WHERE s < p"))
+@query(_with("e AS (SELECT video_id, a, label, \"start\", \"end\", CASE WHEN a % 29 = 0 THEN -1e0 ELSE \"start\" END AS s, CASE WHEN a % 31 = 0 THEN 'parking' ELSE label END AS l FROM predicted), alone AS (SELECT video_id, a AS pos, CASE WHEN NOT (s >= 0 AND s < \"end\") THEN 'need 0 <= start < end' WHEN l = 'parking' THEN 'unknown label' WHEN \"end\" > 90.5e0 THEN 'ends after the video' END AS problem FROM e), late AS (SELECT video_id, a AS pos, s, lag(\"end\") OVER (PARTITION BY video_id, l ORDER BY s, \"end\", a) AS p FROM e WHERE l <> 'parking')", "SELECT * FROM alone WHERE problem IS NOT NULL UNION ALL SELECT video_id, pos, 'overlaps the one before' FROM late WHERE s < p"))
 def event_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.predicted(spark, sf_dir)
     rows = rows.select("video_id", F.col("a").alias("pos"), F.when(F.col("a") % 29 == 0, -1.0).otherwise(F.col("start")).alias("start"), "end", F.when(F.col("a") % 31 == 0, "parking").otherwise(F.col("label")).alias("label"))

@@ -43,8 +43,9 @@ def enforce_no_overlap(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataF
 
 
 def overlaps(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Segments that begin before the one before them (by start) has ended: violations."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
+    """Segments that begin before the one before them (by start, end, and pos where there is
+    one) has ended: violations."""
+    order = Window.partitionBy(*keys).orderBy("start", "end", *[c for c in ("pos",) if c in segments.columns])
     return segments.withColumn("previous_end", F.lag("end").over(order)).where("start < previous_end")
 
 
