@@ -6,9 +6,9 @@ Lines are compared in lower case without outer spaces. A line is the set of its
 with_bands), sorted together with BANDS fixed numbers; the few hashes that
 follow a number are that band's minimum hashes under one permutation, so a pair
 of similarity s shares a given band with a chance of about s to their number,
-and one at the threshold some band with 0.99. Lines of one band are compared
-with its smallest line id, exactly, on their texts; the matches' connected
-components keep their first line.
+and one at the threshold some band with 0.99. Lines of one band are compared,
+exactly, on their texts, every two that no other matches connect yet (see
+matching_components); the matches' connected components keep their first line.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from roadgrain.llm.shared import connected_components, stored
 SHINGLE, BANDS = 8, 12
 #: Shorter lines (in lower case, without outer spaces) are never touched.
 MIN_CHARS = 20
+#: Lines of a band whose pairs are all compared at once.
+SMALL = 8
+#: Leaders of a larger band, and lines of its blocks.
+LEADERS, BLOCK = 16, 256
 #: Beginnings of words that make a signature of their own.
 SPARSE = 8
 _BEGINS = r"(?<![0-9A-Za-z\u00AA-\u2E7F])"
@@ -83,13 +87,53 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return each.select("doc_id", "uid", "pos", F.xxhash64("line").alias("line_id"), "line")
 
 
-def matching_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
-    """(src, dst) line ids whose texts were verified to match."""
+def band_members(distinct: DataFrame) -> DataFrame:
+    """(band, line_id, src, n) for every line of a band of n > 1 lines; src: its smallest line."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = distinct.select("line_id", F.explode("bands").alias("band")).repartition(n, "band")
-    multi = rows.groupBy("band").agg(F.min("line_id").alias("src"), F.max("line_id").alias("top")).where("src <> top").select("band", "src")
-    pairs = rows.join(multi, "band").where("line_id <> src").select("src", F.col("line_id").alias("dst"))
-    pairs = stored(pairs.distinct(), "line-pairs")
+    rows = distinct.select("line_id", F.explode(F.array_distinct("bands")).alias("band")).repartition(n, "band")
+    multi = rows.groupBy("band").agg(F.min("line_id").alias("src"), F.count("*").alias("n")).where("n > 1")
+    return stored(rows.join(multi, "band").select("band", "line_id", "src", "n"), "band-members")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of the bands of up to SMALL lines, and of a larger one each
+    line with the smallest."""
+    ids = members.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("line_id")).alias("ids"))
+    small = ids.select(F.posexplode("ids").alias("at", "src"), "ids").select("src", F.explode(F.slice("ids", F.col("at") + 2, F.lit(SMALL))).alias("dst"))
+    return small.union(members.where((F.col("n") > SMALL) & (F.col("line_id") != F.col("src"))).select("src", F.col("line_id").alias("dst")))
+
+
+def apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines of larger bands that more than one component (of found) meet in, with
+    the component (none: the line itself), the block of about BLOCK lines of the band
+    and whether it is one of the band's about LEADERS leaders."""
+    labels = found.select(F.col("node").alias("line_id"), "component")
+    rows = members.where(F.col("n") > SMALL).join(labels, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+    split = rows.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    deal = F.pmod(F.xxhash64("line_id", F.lit("leader")), F.lit(1 << 40))
+    leads = (F.col("line_id") == F.col("src")) | (deal * F.col("n") < F.lit(LEADERS << 40))
+    return rows.join(split, "band", "left_semi").select("band", "line_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("line_id"), blocks).alias("block"), leads.alias("leads"))
+
+
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    """(src, dst): the leaders of each band with all its lines of other components."""
+    heads = rows.where("leads").select("band", F.col("line_id").alias("head"), F.col("component").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    met = rows.join(heads, ["band", "block"]).where("component <> other")
+    return met.select(F.least("line_id", "head").alias("src"), F.greatest("line_id", "head").alias("dst"))
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(src, dst): all other pairs of lines of a band and of different components. Every
+    two blocks of a band meet under a key of their own, so no key has over about 2 * BLOCK lines."""
+    dealt = rows.where("not leads").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "line_id", "component", "block", F.least("block", "c").alias("lo"), F.greatest("block", "c").alias("hi"))
+    a, b = (dealt.select("band", "lo", "hi", F.col("line_id").alias(i), F.col("component").alias(c), F.col("block").alias(k)) for i, c, k in (("src", "ca", "ka"), ("dst", "cb", "kb")))
+    return a.join(b, ["band", "lo", "hi"]).where("src < dst and ca <> cb and (lo = hi or ka <> kb)").select("src", "dst")
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The (src, dst) of pairs whose texts match."""
     needed = pairs.select(F.col("src").alias("line_id")).union(pairs.select("dst")).distinct()
     texts = lines.select("line_id", "line").join(needed, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line"))
     words = F.array_distinct(F.transform(_found(F.col("line"), *SIGNED[0][:2]), lambda x: F.hash(x)))
@@ -104,6 +148,29 @@ def matching_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     return _once(sets.select("src", "dst", "s"), "n", sizes).where("9 * n.both >= 4 * (n.a + n.b)").select("src", "dst")
 
 
+def matching_components(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, component) of the lines whose texts were verified to match another's.
+
+    Any two lines of a band are compared, unless they are in one component already:
+    small bands and the smallest lines first, then what is left of the larger
+    bands, leaders before the rest, so that groups of near copies are mostly
+    one component before their pairs are listed.
+    """
+    members = band_members(distinct)
+    edges = verified(stored(first_pairs(members).distinct(), "line-pairs"), lines)
+    edges = stored(edges, "line-edges")
+    found = connected_components(edges)
+    for more in (leader_pairs, block_pairs):
+        pairs = stored(more(stored(apart(members, found), "line-bands")).distinct(), "line-pairs")
+        if pairs.isEmpty():
+            continue
+        new = stored(verified(pairs, lines), "line-edges")
+        if not new.isEmpty():
+            edges = edges.union(new)
+            found = connected_components(edges)
+    return found
+
+
 def line_decisions(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, uid, pos, line_id, component, kept) for every line of MIN_CHARS or more.
 
@@ -116,7 +183,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "pos")
     firsts = with_bands(lines.select("line_id", place.alias("place"), "line")).drop("line")
     distinct = stored(firsts.groupBy("line_id").agg(F.min("place").alias("place"), F.first("bands").alias("bands")), "lines")
-    found = connected_components(matching_lines(distinct, lines)).select(F.col("node").alias("line_id"), "component")
+    found = matching_components(distinct, lines).select(F.col("node").alias("line_id"), "component")
     known = distinct.select("line_id", "place").join(found, "line_id", "left")
     heads = known.where("component is not null").groupBy("component").agg(F.min_by("line_id", "place").alias("line_id")).select("line_id", F.lit(True).alias("head"))
     stays = F.col("component").isNull() | F.col("head").isNotNull()

@@ -323,3 +323,23 @@ def test_line_dedup(docs):
             assert r["text"] == "\n".join(left)
     emptied = {r[0] for r in ROWS} - {r["doc_id"] for r in out.collect()}
     assert all(words_of(r[1]) for r in ROWS if r[0] in emptied) and None in emptied
+
+
+@pytest.mark.parametrize("small,leaders,block", [(8, 16, 256), (2, 2, 8)])
+def test_line_dedup_of_half_similar_variants(spark, monkeypatch, small, leaders, block):
+    for name, value in (("SMALL", small), ("LEADERS", leaders), ("BLOCK", block)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    base, lines = [word() for _ in range(48)], []
+    for _ in range(60):  # about 0.7 alike, each with two near copies
+        variant = [*base[:40], *(word() for _ in range(8))]
+        lines += [" ".join([*variant, tail]) for tail in ("", word(), word())]
+    rng.shuffle(lines)
+    sets = {x.strip(" "): {x.strip(" ")[i : i + line_dedup.SHINGLE] for i in range(len(x.strip(" ")) - line_dedup.SHINGLE + 1)} for x in lines}
+    group, first = components(sets, jaccard), {}
+    for doc, x in enumerate(lines):
+        first.setdefault(group[x.strip(" ")], doc)
+    assert len(first) == 60
+    got = line_dedup.line_decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == set(first.values()) and len(got) == 180
