@@ -50,14 +50,14 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _bands(hashes: Column, kind: int) -> Column:
-    """Band keys of sorted hashes: from each of the fixed numbers on, the next ones around."""
+    """64-bit band keys of sorted hashes: from each of the fixed numbers on, the next ones around."""
     rows = SIGNED[kind][2]
     numbers = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in enumerate(_STARTS)])
     ready = F.struct(F.concat(hashes, F.slice(hashes, 1, rows)).alias("ring"), F.sort_array(F.concat(hashes, F.array(*[F.lit(s) for s in _STARTS]))).alias("merged"))
 
     def keys(r: Column) -> Column:
         after = lambda x: F.array_position(r["merged"], x["s"]).cast("int") - x["j"]
-        return F.transform(numbers, lambda x: F.hash(F.lit(kind), x["j"], F.slice(r["ring"], after(x), F.lit(rows))))
+        return F.transform(numbers, lambda x: F.xxhash64(F.lit(kind), x["j"], F.slice(r["ring"], after(x), F.lit(rows))))
 
     return F.transform(F.array(ready), keys)[0]
 
@@ -74,7 +74,7 @@ def with_bands(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     out = _once(lines, "__h0", F.sort_array(shingle_hashes(line, *SIGNED[0][:2])))
     out = _once(out, "__h1", F.when(F.size("__h0") < 2 * SPARSE, F.sort_array(shingle_hashes(line, *SIGNED[1][:2]))).otherwise(none))
-    parts = [F.when(used, _bands(F.col(f"__h{kind}"), kind)).otherwise(F.array().cast("array<int>")) for kind, used in enumerate((F.size("__h0") >= SPARSE, F.size("__h0") < 2 * SPARSE))]
+    parts = [F.when(used, _bands(F.col(f"__h{kind}"), kind)).otherwise(F.array().cast("array<bigint>")) for kind, used in enumerate((F.size("__h0") >= SPARSE, F.size("__h0") < 2 * SPARSE))]
     return out.withColumn("bands", F.concat(*parts)).drop("__h0", "__h1")
 
 

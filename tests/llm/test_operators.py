@@ -343,3 +343,10 @@ def test_line_dedup_of_half_similar_variants(spark, monkeypatch, small, leaders,
     assert len(first) == 60
     got = line_dedup.line_decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got if r["kept"]} == set(first.values()) and len(got) == 180
+
+
+def test_band_keys_have_64_bits(docs):
+    keyed = line_dedup.with_bands(line_dedup.lines_of(docs).select("line_id", "line"))
+    assert dict(keyed.dtypes)["bands"] == "array<bigint>"
+    keys = {k for r in keyed.collect() for k in r["bands"]}
+    assert sum(abs(k) >= 1 << 31 for k in keys) > 0.99 * len(keys) > 0
