@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadgrain.llm.shared import stored
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 CAPACITY = 4096
-#: Documents per packing block: the unit that one task balances.
+#: Pieces per packing block: the unit that one task balances.
 BLOCK_DOCS = 2048
 #: Entries of a worker's word memo before it is emptied.
 MEMO_WORDS = 400_000
@@ -163,24 +165,23 @@ def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return windows
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_docs: int = BLOCK_DOCS, documents: int | None = None) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, start, length, ...).
 
-    Blocks are chosen by a hash of the document, so that no block or task grows
-    with the corpus; each block is balanced by itself and its windows are
-    numbered within its own range of ids. Within a block the pieces are ordered
-    by length, document and start, so a lost task gives the same windows again.
-    ``documents`` is the number of documents, if known.
+    The pieces are numbered and stored, and blocks of about ``block_docs`` pieces
+    chosen by a hash of the number, so that no block or task grows with the
+    corpus, however often a doc_id (null too) repeats; each block is balanced by
+    itself and its windows are numbered within its own range of ids. Within a
+    block the pieces are ordered by length, document, start and number, so a
+    lost task gives the same windows again.
     """
-    total = documents if documents is not None else pieces.select("doc_id").count()
-    blocks = max(1, -(-total // block_docs))
     kinds = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", sequence_id long, offset long"
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("__block")[0].as_py()
         table = table.drop_columns(["__block"])
-        table = table.take(pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
+        table = table.take(pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("__row", "ascending")])).drop_columns(["__row"])
         sizes = table.column("length").to_numpy()
         window = pack_block(sizes, capacity)
         order = np.lexsort((np.arange(len(sizes)), window))
@@ -190,7 +191,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_docs: int = B
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
         return table.append_column("sequence_id", pa.array((block << 24) + window)).append_column("offset", pa.array(offset))
 
-    keyed = pieces.select(*[f.name for f in kinds], F.expr(f"pmod(xxhash64(doc_id), {blocks}L)").alias("__block"))
+    numbered = stored(pieces.select(*[f.name for f in kinds], F.monotonically_increasing_id().alias("__row")), "pieces")
+    blocks = max(1, -(-numbered.count() // block_docs))
+    keyed = numbered.withColumn("__block", F.expr(f"pmod(xxhash64(__row), {blocks}L)"))
     return keyed.groupBy("__block").applyInArrow(run, schema)
 
 
@@ -201,14 +204,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
     little-endian uint32), sequence_id and offset.
     """
     pieces = encode_documents(docs, tokenizer_path or public_tokenizers.path(TOKENIZER_FILE), end_id, capacity)
-    return pack_pieces(pieces, capacity, documents=docs.count())
+    return pack_pieces(pieces, capacity)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
     """pack_documents with a CRC-32 (unsigned, of the little-endian ids) in place of the ids."""
     pieces = encode_documents(docs, public_tokenizers.path(TOKENIZER_FILE))
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return pack_pieces(digest, documents=docs.count())
+    return pack_pieces(digest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,19 @@ def test_packing(docs):
     assert all(p["ids_crc32"] == zlib.crc32(np.array(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for p in digest)
 
 
+@pytest.mark.parametrize("doc_id", ["7", "null"])
+def test_packing_blocks_stay_bounded_for_one_doc_id(spark, doc_id):
+    pieces = spark.range(6400).selectExpr(f"cast({doc_id} as long) as doc_id", "0L as start", "1 + id % 63 as length", "id as mark")
+    got = packing.pack_pieces(pieces, capacity=64, block_docs=64).collect()
+    blocks = collections.Counter(r["sequence_id"] >> 24 for r in got)
+    assert 90 <= len(blocks) <= 100 and max(blocks.values()) < 128
+    assert sorted(r["mark"] for r in got) == list(range(6400)) and set(got[0].asDict()) == {"doc_id", "start", "length", "mark", "sequence_id", "offset"}
+    used = collections.Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 64
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 4096, 700)
