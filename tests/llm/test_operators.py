@@ -256,6 +256,26 @@ def test_quality(docs):
     assert kept.columns == docs.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == sorted((False, r[0]) for r in ROWS if r[0] is not None and got[r[0], len(words_of(r[1])), sum(map(len, words_of(r[1])))]["kept"])
 
 
+def test_quality_limits_act_without_the_base_rule():
+    import pyarrow as pa
+
+    fresh = lambda n, k: " ".join(f"{k}{i:03}" for i in range(n))
+    twice = lambda n, k, gap: f"{fresh(n, k)} {fresh(gap, k + 'x')} {fresh(n, k)} {fresh(gap, k + 'y')}"
+    line = "w" * 100 + " a"
+    texts = [
+        twice(18, "a", 32),  # a third and more in repeated 13-grams
+        " ".join(twice(6, k, 10) for k in "abc"),  # in repeated 5-grams, none of 8 words
+        " ".join(twice(9, k, 16) for k in "ab"),  # in repeated 8-grams, none of 13 words
+        twice(13, "a", 40),  # a fifth in repeated 13-grams
+        "\n".join(f"{line}\n{fresh(20, k)}" for k in "bcd"),  # two of six lines, a third of the characters
+        twice(7, "a", 43),
+        fresh(100, "a"),
+    ]
+    got = dict(zip(quality.FIELDS, (c.to_pylist() for c in quality.measure_texts(pa.array(texts)))))
+    assert not any(got["base_failed"])
+    assert got["kept"] == [False] * 5 + [True] * 2
+
+
 def shingles(t):
     w = words_of((t or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
