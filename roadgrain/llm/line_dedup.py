@@ -1,212 +1,265 @@
 """Fuzzy line deduplication by MinHash. DataFrame functions only.
 
 Lines are compared in lower case without outer spaces. A line is the set of its
-8-character shingles; two lines match when their Jaccard similarity is at least
-0.8. Equal lines collapse first. A line's signature is made of hashed shingles (see
-with_bands), sorted together with BANDS fixed numbers; the few hashes that
-follow a number are that band's minimum hashes under one permutation, so a pair
-of similarity s shares a given band with a chance of about s to their number,
-and one at the threshold some band with 0.99. Lines of one band are compared,
-exactly, on their texts, every two that no other matches connect yet (see
-matching_components); the matches' connected components keep their first line.
+shingles of 8 characters (of 16 bits; a shorter line is one shingle); two lines
+match when the Jaccard similarity of their sets is at least 0.8. Equal lines
+collapse first, by 128 bits of hash. A line's set, hashed and sorted, forms a
+ring; the ROWS hashes that follow each of BANDS fixed numbers are that band's
+minimum hashes under one permutation, so a pair of similarity s shares a given
+band with a chance of about s to the power ROWS, and one at the threshold some
+band with 0.997. The lines of a band are compared with its first line, then any
+two of them that matches do not connect yet. A comparison first bounds the
+similarity by bitmaps, exactly, and then intersects the sets. Components of the
+matches keep their first line.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from roadgrain.llm.shared import connected_components, stored
 
-SHINGLE, BANDS = 8, 12
-#: Shorter lines (in lower case, without outer spaces) are never touched.
+SHINGLE, BANDS, ROWS = 8, 8, 3
+#: Lines with fewer characters (in lower case, without outer spaces) match nothing.
 MIN_CHARS = 20
-#: Lines of a band whose pairs are all compared at once.
-SMALL = 8
-#: Leaders of a larger band, and lines of its blocks.
-LEADERS, BLOCK = 16, 256
-#: Beginnings of words that make a signature of their own.
-SPARSE = 8
-_BEGINS = r"(?<![0-9A-Za-z\u00AA-\u2E7F])"
-#: (lookbehind, characters, ROWS) of the signatures by words' beginnings and by all shingles.
-SIGNED = ((_BEGINS, 12, 3), ("", SHINGLE, 4))
+#: Lines of a band that all its lines are compared with before the rest.
+LEADERS = 8
+#: Lines of a block; every two blocks of a band meet under a key of their own.
+BLOCK = 256
+#: 64-bit words of a line's bitmap in the comparisons with leaders, and in the rest.
+WORDS, WIDE = 16, 32
+#: A line is common when it makes up this share of all lines.
+COMMON = 1000
 _STARTS = [-(1 << 63) + (2 * j + 1) * ((1 << 63) // BANDS) for j in range(BANDS)]
+#: Hashes that are looked through for ROWS different ones.
+_REACH = 4 * ROWS
+PLACE = ("none", "id", "uid", "pos")
 
 
-def _found(line: Column, where: str = "", length: int = SHINGLE) -> Column:
-    """The shingles of a line that begin where the lookbehind holds."""
-    return F.regexp_extract_all(line, F.lit(f"(?s){where}(?=(.{{{length}}}))"), F.lit(1))
+def _units(line: Column) -> Column:
+    """A line's characters, two bytes each: pieces of binary are cut without walking from its start."""
+    return F.encode(line, "UTF-16BE")
 
 
-def shingle_hashes(line: Column, where: str = "", length: int = SHINGLE) -> Column:
-    """Their distinct hashes."""
-    return F.array_distinct(F.transform(_found(line, where, length), lambda s: F.xxhash64(s)))
+def _begins(units: Column) -> Column:
+    """Where a line's shingles begin, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(units) - (2 * SHINGLE - 1)), F.lit(2))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a costly column that the optimizer does not copy to each place of its use:
-    exploding an array of one keeps it where it is."""
-    return df.withColumn(name, F.explode(F.array(value)))
+def _shingle(units: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(units, at, F.lit(2 * SHINGLE)))
 
 
-def _bands(hashes: Column, kind: int) -> Column:
-    """64-bit band keys of sorted hashes: from each of the fixed numbers on, the next ones around."""
-    rows = SIGNED[kind][2]
-    numbers = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in enumerate(_STARTS)])
-    ready = F.struct(F.concat(hashes, F.slice(hashes, 1, rows)).alias("ring"), F.sort_array(F.concat(hashes, F.array(*[F.lit(s) for s in _STARTS]))).alias("merged"))
+def shingle_hashes(line: Column) -> Column:
+    """The hashes of a line's shingles, repeated ones too."""
+    return F.transform(F.array(_units(line)), lambda u: F.transform(_begins(u), lambda at: _shingle(u, at)))[0]
 
-    def keys(r: Column) -> Column:
-        after = lambda x: F.array_position(r["merged"], x["s"]).cast("int") - x["j"]
-        return F.transform(numbers, lambda x: F.xxhash64(F.lit(kind), x["j"], F.slice(r["ring"], after(x), F.lit(rows))))
 
-    return F.transform(F.array(ready), keys)[0]
+def band_rows(distinct: DataFrame) -> DataFrame:
+    """(node, band) for the BANDS band keys (64 bits) of every line of distinct(node, line)."""
+    ring = distinct.select("node", F.sort_array(shingle_hashes(F.col("line"))).alias("h"))
+    starts = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in enumerate(_STARTS)])
+    merged = F.sort_array(F.concat("h", F.array(*[F.lit(s) for s in _STARTS])))
+    rows = ring.select("node", F.concat("h", F.slice("h", 1, _REACH)).alias("ring"), merged.alias("merged")).withColumn("x", F.explode(starts))
+    after = F.array_position("merged", F.col("x.s")).cast("int") - F.col("x.j")
+    return rows.select("node", F.xxhash64("x.j", F.slice(F.array_distinct(F.slice("ring", after, F.lit(_REACH))), 1, ROWS)).alias("band"))
 
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """Adds bands, the MinHash band keys of a line.
+def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(none, id, uid, pos, line) for every line of every whole text (null: none).
 
-    Lines with at least SPARSE words' beginnings are signed by the shingles that
-    begin there (or at any character of a script without spaces), a sixth or so
-    of all; lines with fewer than twice as many by all shingles; those in
-    between by both, so that a matching pair always has one kind in common.
+    uid: a hash of the row's id and text; pos counts lines from 0; none: the
+    row has no id. (none, id, uid, pos) is the place of a line.
     """
-    none = F.array().cast("array<bigint>")
-    line = F.col("line")
-    out = _once(lines, "__h0", F.sort_array(shingle_hashes(line, *SIGNED[0][:2])))
-    out = _once(out, "__h1", F.when(F.size("__h0") < 2 * SPARSE, F.sort_array(shingle_hashes(line, *SIGNED[1][:2]))).otherwise(none))
-    parts = [F.when(used, _bands(F.col(f"__h{kind}"), kind)).otherwise(F.array().cast("array<bigint>")) for kind, used in enumerate((F.size("__h0") >= SPARSE, F.size("__h0") < 2 * SPARSE))]
-    return out.withColumn("bands", F.concat(*parts)).drop("__h0", "__h1")
+    doc_id = F.col(id_col).cast("long")
+    base = docs.select(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), F.xxhash64(doc_id, F.col("text")).alias("uid"), "text")
+    each = base.select("none", "id", "uid", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    return each.select(*PLACE, F.lower(F.trim("raw")).alias("line"))
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, uid, pos, line_id, line) for every line long enough, of whole texts
-    (null: none). uid: a hash of the row's id and text; pos counts from 0."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col("text")).alias("uid"), "text")
-    each = base.select("doc_id", "uid", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    each = each.select("doc_id", "uid", "pos", F.lower(F.trim("raw")).alias("line")).where(F.length("line") >= MIN_CHARS)
-    return each.select("doc_id", "uid", "pos", F.xxhash64("line").alias("line_id"), "line")
+def keyed_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """lines_of with h1 and h2, the 128 bits that tell lines apart."""
+    return lines_of(docs, id_col).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+
+
+def distinct_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(h1, h2, line, first, n, node) of the different lines of MIN_CHARS or more: first is
+    the smallest place (rows without an id last), n the number of places, node a number."""
+    lines = keyed_lines(docs, id_col).where(F.length("line") >= MIN_CHARS)
+    once = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
+    return stored(once.withColumn("node", F.monotonically_increasing_id()), "lines")
 
 
 def band_members(distinct: DataFrame) -> DataFrame:
-    """(band, line_id, src, n) for every line of a band of n > 1 lines; src: its smallest line."""
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = distinct.select("line_id", F.explode(F.array_distinct("bands")).alias("band")).repartition(n, "band")
-    multi = rows.groupBy("band").agg(F.min("line_id").alias("src"), F.count("*").alias("n")).where("n > 1")
-    return stored(rows.join(multi, "band").select("band", "line_id", "src", "n"), "band-members")
-
-
-def first_pairs(members: DataFrame) -> DataFrame:
-    """(src, dst): all pairs of the bands of up to SMALL lines, and of a larger one each
-    line with the smallest."""
-    ids = members.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("line_id")).alias("ids"))
-    small = ids.select(F.posexplode("ids").alias("at", "src"), "ids").select("src", F.explode(F.slice("ids", F.col("at") + 2, F.lit(SMALL))).alias("dst"))
-    return small.union(members.where((F.col("n") > SMALL) & (F.col("line_id") != F.col("src"))).select("src", F.col("line_id").alias("dst")))
-
-
-def apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The lines of larger bands that more than one component (of found) meet in, with
-    the component (none: the line itself), the block of about BLOCK lines of the band
-    and whether it is one of the band's about LEADERS leaders."""
-    labels = found.select(F.col("node").alias("line_id"), "component")
-    rows = members.where(F.col("n") > SMALL).join(labels, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    split = rows.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    deal = F.pmod(F.xxhash64("line_id", F.lit("leader")), F.lit(1 << 40))
-    leads = (F.col("line_id") == F.col("src")) | (deal * F.col("n") < F.lit(LEADERS << 40))
-    return rows.join(split, "band", "left_semi").select("band", "line_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("line_id"), blocks).alias("block"), leads.alias("leads"))
-
-
-def leader_pairs(rows: DataFrame) -> DataFrame:
-    """(src, dst): the leaders of each band with all its lines of other components."""
-    heads = rows.where("leads").select("band", F.col("line_id").alias("head"), F.col("component").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    met = rows.join(heads, ["band", "block"]).where("component <> other")
-    return met.select(F.least("line_id", "head").alias("src"), F.greatest("line_id", "head").alias("dst"))
-
-
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """(src, dst): all other pairs of lines of a band and of different components. Every
-    two blocks of a band meet under a key of their own, so no key has over about 2 * BLOCK lines."""
-    dealt = rows.where("not leads").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "line_id", "component", "block", F.least("block", "c").alias("lo"), F.greatest("block", "c").alias("hi"))
-    a, b = (dealt.select("band", "lo", "hi", F.col("line_id").alias(i), F.col("component").alias(c), F.col("block").alias(k)) for i, c, k in (("src", "ca", "ka"), ("dst", "cb", "kb")))
-    return a.join(b, ["band", "lo", "hi"]).where("src < dst and ca <> cb and (lo = hi or ka <> kb)").select("src", "dst")
-
-
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The (src, dst) of pairs whose texts match."""
-    needed = pairs.select(F.col("src").alias("line_id")).union(pairs.select("dst")).distinct()
-    texts = lines.select("line_id", "line").join(needed, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line"))
-    words = F.array_distinct(F.transform(_found(F.col("line"), *SIGNED[0][:2]), lambda x: F.hash(x)))
-    texts = stored(texts.withColumn("words", words), "line-texts")
-    a, b = (texts.select(F.col("line_id").alias(i), F.col("line").alias(t), F.col("words").alias(w)) for i, t, w in (("src", "a", "wa"), ("dst", "b", "wb")))
-    met = pairs.join(a, "src").join(b, "dst")
-    # the words' shingles first: of a pair at the threshold about 0.7 are shared, by chance hardly any
-    few = (F.size("wa") < SPARSE) | (F.size("wb") < SPARSE)
-    met = _once(met, "__w", F.size(F.array_intersect("wa", "wb"))).where(few | (7 * F.col("__w") >= 2 * (F.size("wa") + F.size("wb"))))
-    sets = _once(met.select("src", "dst", "a", "b"), "s", F.struct(shingle_hashes(F.col("a")).alias("a"), shingle_hashes(F.col("b")).alias("b")))
-    sizes = F.struct(F.size("s.a").alias("a"), F.size("s.b").alias("b"), F.size(F.array_intersect("s.a", "s.b")).alias("both"))
-    return _once(sets.select("src", "dst", "s"), "n", sizes).where("9 * n.both >= 4 * (n.a + n.b)").select("src", "dst")
-
-
-def matching_components(distinct: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, component) of the lines whose texts were verified to match another's.
-
-    Any two lines of a band are compared, unless they are in one component already:
-    small bands and the smallest lines first, then what is left of the larger
-    bands, leaders before the rest, so that groups of near copies are mostly
-    one component before their pairs are listed.
+    """(band, node, src) for every line of a band of two or more; src: its smallest node."""
+    w = Window.partitionBy("band")
+    return stored(band_rows(distinct).select("band", "node", F.min("node").over(w).alias("src"), F.count("*").over(w).alias("n")).where("n > 1").drop("n"), "band-members")
+
+
+def bitmaps(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, shingles, b0, b1, ...): a bitmap of each line's shingles, and how many
+    shingles the line has, repeated ones too."""
+    each = texts.select("node", _units(F.col("line")).alias("units")).select("node", "units", F.explode(_begins(F.col("units"))).alias("at"))
+    bits = each.select("node", F.pmod(_shingle(F.col("units"), F.col("at")), F.lit(64 * words)).cast("int").alias("bit"))
+    word = lambda k: F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
+    return bits.groupBy("node").agg(F.count("*").cast("int").alias("shingles"), *[word(k) for k in range(words)])
+
+
+def _sides(bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(bits.select(F.col("node").alias(end), *[F.col(c).alias(f"{p}_{c}") for c in bits.columns if c != "node"]) for end, p in (("src", "a"), ("dst", "b")))
+
+
+def may_match(words: int = WORDS) -> Column:
+    """An exact bound: every bit in which two bitmaps differ stands for a shingle that one
+    set lacks, and sets that match lack at most a ninth of their sizes' sum."""
+    differ = [F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(words)]
+    return 9 * sum(differ[1:], differ[0]) <= F.col("a_shingles") + F.col("b_shingles")
+
+
+def first_pairs(members: DataFrame, bits: DataFrame) -> DataFrame:
+    """(src, dst): each line of a band with its smallest, where the bound allows a match."""
+    pairs = members.where("node <> src").select("src", F.col("node").alias("dst")).distinct()
+    a, b = _sides(bits)
+    return pairs.join(a, "src").join(b, "dst").where(may_match()).select("src", "dst")
+
+
+def open_rows(members: DataFrame, found: DataFrame, leaders: bool) -> DataFrame:
+    """(band, node, component, block, blocks, leads): the lines, but the smallest, of the bands
+    whose lines lie in different components of found(node, component). About LEADERS of a
+    band lead; without ``leaders``, only the others of larger bands."""
+    rows = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = rows.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
+    split = split.select("band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    leads = (F.col("n") <= LEADERS) | (F.pmod(F.xxhash64("band", "node"), F.col("n")) < LEADERS)
+    rows = rows.where("node <> src").select("band", "node", "component").join(split, "band").withColumn("leads", leads)
+    return stored((rows if leaders else rows.where("not leads")).drop("n"), "band-rest")
+
+
+def open_pairs(rows: DataFrame, bits: DataFrame, leaders: bool) -> DataFrame:
+    """(src, dst): the pairs of open_rows of one band and different components that the
+    bound allows; with ``leaders`` those that hold one. Blocks of about BLOCK lines meet two
+    by two; the bound is part of the join, so that only what may match becomes a row."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    if leaders:
+        first = dealt.where("leads").withColumn("hi", every).withColumn("lo", F.col("hi"))
+        second = dealt.withColumns({"lo": F.col("block"), "hi": F.col("block")})
+    else:
+        first = second = dealt.withColumn("other", every).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    a, b = (
+        side.select("band", "node", "component", "block", "lo", "hi").join(half.withColumnRenamed(end, "node"), "node").withColumnsRenamed({"node": end, "component": f"{end}_in", "block": f"{end}_block"})
+        for side, end, half in zip((first, second), ("src", "dst"), _sides(bits), strict=True)
+    )
+    apart = F.col("src_in") != F.col("dst_in")
+    if not leaders:
+        apart = apart & (F.col("src") < F.col("dst")) & ((F.col("lo") == F.col("hi")) | (F.col("src_block") != F.col("dst_block")))
+    met = a.join(b, ["band", "lo", "hi"]).where(apart & may_match(len(bits.columns) - 2))
+    return met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def merged(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """found(node, component) after joining what edges(src, dst) link."""
+    ends = [found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")) for end in ("src", "dst")]
+    between = edges.join(ends[0], "src", "left").join(ends[1], "dst", "left").select(F.coalesce("src_in", "src").alias("src"), F.coalesce("dst_in", "dst").alias("dst"))
+    joined = connected_components(stored(between, "line-edges")).toDF("inner", "outer")
+    moved = found.join(joined, F.col("component") == F.col("inner"), "left").select("node", F.coalesce("outer", "component").alias("component"))
+    fresh = joined.join(found, F.col("inner") == F.col("node"), "left_anti").select(F.col("inner").alias("node"), F.col("outer").alias("component"))
+    return stored(moved.union(fresh), "line-components")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (src, dst) of pairs whose sets match."""
+    needed = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    texts = stored(texts.join(needed, "node", "left_semi"), "pair-texts")
+    met = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
+    sets = met.select("src", "dst", F.array_distinct(shingle_hashes(F.col("a"))).alias("a"), F.array_distinct(shingle_hashes(F.col("b"))).alias("b"))
+    sizes = F.struct(F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("both"))
+    # a generated column keeps the optimizer from copying the sets into the condition
+    counted = sets.select("src", "dst", F.explode(F.array(sizes)).alias("n"))
+    return counted.where("9 * n.both >= 4 * (n.a + n.b)").select("src", "dst")
+
+
+def matching_components(distinct: DataFrame) -> DataFrame:
+    """(node, component) of the lines that match another's.
+
+    Any two lines of a band are compared, unless they are in one component
+    already: each with the band's smallest line, then with some leaders of the
+    bands that several components meet in, which joins most groups of near
+    copies, and then whatever is left between components.
     """
     members = band_members(distinct)
-    edges = verified(stored(first_pairs(members).distinct(), "line-pairs"), lines)
-    edges = stored(edges, "line-edges")
-    found = connected_components(edges)
-    for more in (leader_pairs, block_pairs):
-        pairs = stored(more(stored(apart(members, found), "line-bands")).distinct(), "line-pairs")
-        if pairs.isEmpty():
-            continue
-        new = stored(verified(pairs, lines), "line-edges")
-        if not new.isEmpty():
-            edges = edges.union(new)
-            found = connected_components(edges)
+    texts = stored(distinct.select("node", "line").join(members.select("node").distinct(), "node", "left_semi"), "line-texts")
+    bits = stored(bitmaps(texts), "line-bitmaps")
+    edges = verified(stored(first_pairs(members, bits), "line-pairs"), texts)
+    found = stored(connected_components(stored(edges, "line-edges")), "line-components")
+    for leaders in (True, False):
+        rows = open_rows(members, found, leaders)
+        if not leaders:
+            bits = stored(bitmaps(texts.join(rows.select("node").distinct(), "node", "left_semi"), WIDE), "line-bitmaps")
+        pairs = stored(open_pairs(rows, bits, leaders), "line-pairs")
+        if not pairs.isEmpty():
+            found = merged(found, verified(pairs, texts))
     return found
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, uid, pos, line_id, component, kept) for every line of MIN_CHARS or more.
+def heads(distinct: DataFrame) -> DataFrame:
+    """(h1, h2, n, head) for the lines that stand in several places or match others; head: the
+    first place of the line's component."""
+    known = distinct.select("h1", "h2", "first", "n", "node").join(matching_components(distinct), "node", "left")
+    firsts = known.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
+    repeated = known.where("component is not null or n > 1").join(firsts, "component", "left")
+    return stored(repeated.select("h1", "h2", "n", F.coalesce("head", "first").alias("head")), "line-heads")
+
 
-    Of each component of matching lines the first occurrence stays: the smallest
-    doc_id (null: last), then uid, then pos. Rows with equal id and text are one
-    document and keep the same lines. Null, empty and blank texts have no such
-    lines; other columns are ignored; an empty table gives no rows.
+def line_decisions(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(none, id, uid, pos, head, kept) for every line of docs; head is the place that the
+    line's component keeps (its own, where nothing matches).
+
+    Of each component of matching lines the first place stays: the smallest id
+    (rows without one last), then uid, then pos. Rows with equal id and text are
+    one document and keep the same lines. Lines under MIN_CHARS, empty ones too,
+    match nothing and stay; a null text has no lines; other columns are ignored;
+    an empty table gives no rows. Lines that make up a thousandth of all or more
+    (at most a thousand) get their heads by broadcast, so that no task holds all
+    places of a common line.
     """
-    lines = lines_of(docs, id_col)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "pos")
-    firsts = with_bands(lines.select("line_id", place.alias("place"), "line")).drop("line")
-    distinct = stored(firsts.groupBy("line_id").agg(F.min("place").alias("place"), F.first("bands").alias("bands")), "lines")
-    found = matching_components(distinct, lines).select(F.col("node").alias("line_id"), "component")
-    known = distinct.select("line_id", "place").join(found, "line_id", "left")
-    heads = known.where("component is not null").groupBy("component").agg(F.min_by("line_id", "place").alias("line_id")).select("line_id", F.lit(True).alias("head"))
-    stays = F.col("component").isNull() | F.col("head").isNotNull()
-    decided = known.join(heads, "line_id", "left").select("line_id", F.coalesce("component", "line_id").alias("component"), "place", stays.alias("stays"))
-    spots = lines.select("doc_id", "uid", "pos", "line_id").join(decided, "line_id")
-    first = (F.col("place.uid") == F.col("uid")) & (F.col("place.pos") == F.col("pos")) & F.col("place.doc_id").eqNullSafe(F.col("doc_id"))
-    return spots.select("doc_id", "uid", "pos", "line_id", "component", (F.col("stays") & first).alias("kept"))
+    distinct = distinct_lines(docs, id_col)
+    head = heads(distinct)
+    least = max(COMMON, (distinct.agg(F.sum("n")).first()[0] or 0) // COMMON)
+    common = F.broadcast(head.where(F.col("n") >= least).select("h1", "h2", F.col("head").alias("common")))
+    places = keyed_lines(docs, id_col).select("h1", "h2", F.struct(*PLACE).alias("place"), (F.length("line") < MIN_CHARS).alias("short")).join(common, ["h1", "h2"], "left")
+    # a line without a head to look for is dealt by its place
+    k1 = F.when(F.col("short") | F.col("common").isNotNull(), F.xxhash64("place")).otherwise(F.col("h1"))
+    rest = head.where(F.col("n") < least).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "head")
+    joined = places.withColumns({"k1": k1, "k2": F.col("h2")}).join(rest, ["k1", "k2"], "left")
+    own = F.when(F.col("short"), F.col("place")).otherwise(F.coalesce("common", "head", "place"))
+    return joined.select("place.*", own.alias("head")).withColumn("kept", F.struct(*PLACE) == F.col("head"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with the matching lines but the first removed from their texts, and n_chars,
     where there is one, counted anew. Documents that lose all their words go;
-    those that had none (null texts too) stay as they are."""
-    gone = line_decisions(docs, id_col).where("not kept").groupBy("uid").agg(F.collect_set("pos").alias("__gone"))
-    keyed = docs.withColumn("__uid", F.xxhash64(F.col(id_col).cast("long"), F.col("text")))
-    joined = keyed.join(gone.withColumnRenamed("uid", "__uid"), "__uid", "left")
-    rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    out = joined.withColumn("text", text).where(F.col("__gone").isNull() | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    those that had none (null texts too) stay as they are. Columns are left as
+    they are, whatever their names."""
+    gone = line_decisions(docs, id_col).where("not kept").groupBy("none", "id", "uid").agg(F.collect_set("pos").alias("gone"))
+    doc_id = F.col(f"row.`{id_col}`").cast("long")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = keyed.withColumns({"none": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0).cast("long")), "uid": F.xxhash64(doc_id, F.col("row.text"))})
+    joined = keyed.join(gone, ["none", "id", "uid"], "left")
+    rest = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(rest, "\n"))
+    out = joined.withColumn("left", text).where(F.col("gone").isNull() | F.rlike("left", F.lit(r"[^\x20\x09-\x0D]")))
+    made = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.col("pos").alias("line_no"), "line_id", "component", "kept")
+    got = line_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    named = lambda none, doc: F.when(~none, doc)
+    return got.select(
+        named(F.col("none"), F.col("id")).alias("doc_id"), F.col("pos").alias("line_no"), named(F.col("head.none"), F.col("head.id")).alias("first_doc_id"), F.col("head.pos").alias("first_line_no"), "kept"
+    )

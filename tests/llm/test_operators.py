@@ -342,9 +342,12 @@ def test_line_dedup(docs):
     first = {}
     for o in sorted(occurrences, key=lambda o: (o[0], o[1] or 0, o[2])):
         first.setdefault(group[o[3]], o)
-    want = {(o[1], o[2]): first[group[o[3]]] == o for o in occurrences}
+    want = {(r[0], pos): True for r in ROWS if r[1] is not None for pos in range(len(r[1].split("\n")))}  # short lines stay
+    want |= {(o[1], o[2]): first[group[o[3]]] == o for o in occurrences}
     got = line_dedup.line_decisions(docs).collect()
-    assert {(r["doc_id"], r["pos"]): r["kept"] for r in got} == want
+    assert {(None if r["none"] else r["id"], r["pos"]): r["kept"] for r in got} == want
+    heads = {(None if r["none"] else r["id"], r["pos"]): (None if r["head"]["none"] else r["head"]["id"], r["head"]["pos"]) for r in got}
+    assert all(heads[o[1], o[2]] == first[group[o[3]]][1:3] for o in occurrences)
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns
     for r in out.collect():
@@ -358,9 +361,13 @@ def test_line_dedup(docs):
     assert all(words_of(r[1]) for r in ROWS if r[0] in emptied) and None in emptied
 
 
-@pytest.mark.parametrize("small,leaders,block", [(8, 16, 256), (2, 2, 8)])
-def test_line_dedup_of_half_similar_variants(spark, monkeypatch, small, leaders, block):
-    for name, value in (("SMALL", small), ("LEADERS", leaders), ("BLOCK", block)):
+def line_sets(lines):
+    return {x: {x[i : i + line_dedup.SHINGLE] for i in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for x in map(str.strip, lines)}
+
+
+@pytest.mark.parametrize("leaders,block", [(8, 256), (2, 8)])
+def test_line_dedup_of_half_similar_variants(spark, monkeypatch, leaders, block):
+    for name, value in (("LEADERS", leaders), ("BLOCK", block)):
         monkeypatch.setattr(line_dedup, name, value)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
@@ -369,17 +376,49 @@ def test_line_dedup_of_half_similar_variants(spark, monkeypatch, small, leaders,
         variant = [*base[:40], *(word() for _ in range(8))]
         lines += [" ".join([*variant, tail]) for tail in ("", word(), word())]
     rng.shuffle(lines)
-    sets = {x.strip(" "): {x.strip(" ")[i : i + line_dedup.SHINGLE] for i in range(len(x.strip(" ")) - line_dedup.SHINGLE + 1)} for x in lines}
-    group, first = components(sets, jaccard), {}
+    group, first = components(line_sets(lines), jaccard), {}
     for doc, x in enumerate(lines):
-        first.setdefault(group[x.strip(" ")], doc)
+        first.setdefault(group[x.strip()], doc)
     assert len(first) == 60
     got = line_dedup.line_decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in got if r["kept"]} == set(first.values()) and len(got) == 180
+    assert {r["id"] for r in got if r["kept"]} == set(first.values()) and len(got) == 180
+
+
+def test_line_dedup_finds_the_links_of_families_of_similar_lines(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(2, 9)))
+    lines = set()
+    for _ in range(30):
+        base = [word() for _ in range(rng.choice((6, 12, 30, 60)))]
+        for _ in range(rng.choice((4, 20, 90))):
+            edited = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 16))):
+                edited[rng.randrange(len(base))] = word()
+            lines.add(" ".join(edited))
+    lines |= {" ".join(word() for _ in range(rng.randint(6, 40))) for _ in range(100)} | {"ab" * 300, "ab" * 400, "-" * 60, "-" * 61}
+    lines = sorted(x for x in lines if len(x) >= line_dedup.MIN_CHARS)
+    sets = line_sets(lines)
+    group = components(sets, jaccard)
+    pairs = [(x, y) for i, x in enumerate(lines) for y in lines[:i] if group[x] == group[y] and jaccard(sets[x], sets[y])]
+    got = {r["id"]: r["head"]["id"] for r in line_dedup.line_decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    at = {x: got[i] for i, x in enumerate(lines)}
+    assert len(pairs) > 4000 and sum(at[x] == at[y] for x, y in pairs) >= 0.99 * len(pairs)
+    assert all(group[x] == group[lines[at[x]]] for x in lines)  # nothing is joined that does not match
+    true, found = len(set(group.values())), len(set(at.values()))
+    assert true <= found <= 1.01 * true
+
+
+def test_a_very_common_line_and_a_very_long_one(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMMON", 10)
+    long = "x1 " + " ".join(str(k * 7919) for k in range(20000))
+    rows = [(i, f"the one line that all documents share\nline number {i * i} of its own kind, {i ** 5}") for i in range(40)] + [(40, long), (41, long + " tail")]
+    got = {(r["id"], r["pos"]): (r["kept"], r["head"]["id"], r["head"]["pos"]) for r in line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i, 0] for i in range(40)] == [(i == 0, 0, 0) for i in range(40)]
+    assert got[40, 0] == (True, 40, 0) and got[41, 0] == (False, 40, 0) and len(got) == 82
 
 
 def test_band_keys_have_64_bits(docs):
-    keyed = line_dedup.with_bands(line_dedup.lines_of(docs).select("line_id", "line"))
-    assert dict(keyed.dtypes)["bands"] == "array<bigint>"
-    keys = {k for r in keyed.collect() for k in r["bands"]}
+    keyed = line_dedup.band_rows(line_dedup.lines_of(docs).select(F.col("uid").alias("node"), "line"))
+    assert dict(keyed.dtypes)["band"] == "bigint"
+    keys = {r["band"] for r in keyed.collect()}
     assert sum(abs(k) >= 1 << 31 for k in keys) > 0.99 * len(keys) > 0
