@@ -24,8 +24,10 @@ from roadgrain.llm.shared import connected_components, stored
 SHINGLE, BANDS, ROWS = 8, 8, 3
 #: Lines with fewer characters (in lower case, without outer spaces) match nothing.
 MIN_CHARS = 20
-#: Lines of a band that all its lines are compared with before the rest.
+#: Lines of a band that all its lines are compared with before the rest, and how often new
+#: ones are chosen.
 LEADERS = 8
+LEADER_TURNS = 3
 #: Lines of a block; every two blocks of a band meet under a key of their own.
 BLOCK = 256
 #: 64-bit words of a line's bitmap in the comparisons with leaders, and in the rest.
@@ -125,16 +127,16 @@ def first_pairs(members: DataFrame, bits: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where(may_match()).select("src", "dst")
 
 
-def open_rows(members: DataFrame, found: DataFrame, leaders: bool) -> DataFrame:
+def open_rows(members: DataFrame, found: DataFrame, turn: int, leaders: bool) -> DataFrame:
     """(band, node, component, block, blocks, leads): the lines, but the smallest, of the bands
     whose lines lie in different components of found(node, component). About LEADERS of a
-    band lead; without ``leaders``, only the others of larger bands."""
+    band lead, others at each turn; without ``leaders``, only bands larger than that."""
     rows = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = rows.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
     split = split.select("band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    leads = (F.col("n") <= LEADERS) | (F.pmod(F.xxhash64("band", "node"), F.col("n")) < LEADERS)
+    leads = (F.col("n") <= LEADERS) | (F.pmod(F.xxhash64(F.lit(turn), "band", "node"), F.col("n")) < LEADERS)
     rows = rows.where("node <> src").select("band", "node", "component").join(split, "band").withColumn("leads", leads)
-    return stored((rows if leaders else rows.where("not leads")).drop("n"), "band-rest")
+    return stored((rows if leaders else rows.where(F.col("n") > LEADERS)).drop("n"), "band-rest")
 
 
 def open_pairs(rows: DataFrame, bits: DataFrame, leaders: bool) -> DataFrame:
@@ -194,9 +196,10 @@ def matching_components(distinct: DataFrame) -> DataFrame:
     bits = stored(bitmaps(texts), "line-bitmaps")
     edges = verified(stored(first_pairs(members, bits), "line-pairs"), texts)
     found = stored(connected_components(stored(edges, "line-edges")), "line-components")
-    for leaders in (True, False):
-        rows = open_rows(members, found, leaders)
-        if not leaders:
+    for turn in range(LEADER_TURNS + 1):
+        leaders = turn < LEADER_TURNS
+        rows = open_rows(members, found, turn, leaders)
+        if turn == 1:
             bits = stored(bitmaps(texts.join(rows.select("node").distinct(), "node", "left_semi"), WIDE), "line-bitmaps")
         pairs = stored(open_pairs(rows, bits, leaders), "line-pairs")
         if not pairs.isEmpty():
