@@ -232,10 +232,52 @@ def test_secrets(docs):
     assert extra == {"assign", "access", "hex", "github", "bearer"}
 
 
-def test_trigram_queries():
+PLANTED = {
+    "assign": ['Password = "abcdefgh12"', "api_key:ABCDEFGH", "apikey'=x1x2x3x4x5", "TOKEN: 12345678"], "access": ["AKIA" + "Z9" * 8], "hex": ["0123456789abcdef" * 2], "github": ["ghs_" + "aB3" * 12],
+    "slack": ["xoxb-" + "123-abc-" * 3], "google": ["AIza" + "x_-Y1" * 7], "stripe": ["sk_live_" + "4eC39Hq" * 3, "rk_live_" + "a" * 16], "jwt": ["eyJhbGci.eyJzdWIi.c2ln-X_"],
+    "pem": ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"], "bearer": ["Bearer   " + "t.~+/-" * 5 + "=="],
+}
+
+
+def test_trigram_queries_are_derived_and_mandatory():
     by = {r.kind: r for r in secrets.RULES}
-    assert by["hex"].trigram_query() == [] and by["access"].trigram_query() == [["aki", "kia"]]
-    assert ["oke", "ken", "tok"] != by["assign"].trigram_query()[3] and set(by["assign"].trigram_query()[3]) == {"tok", "oke", "ken"}
+    assert set(PLANTED) == set(by)
+    assert secrets.trigram_query(by["hex"].pattern) == secrets.ALWAYS and secrets.trigram_query(by["access"].pattern) == {frozenset(["aki", "kia"])}
+    assert {frozenset(["tok", "oke", "ken"]), frozenset(["api", "pik", "ike", "key"])} < secrets.trigram_query(by["assign"].pattern)
+    for kind, texts in PLANTED.items():
+        for text in texts:
+            m = re.search(by[kind].pattern, text)
+            assert m and any(all(t in m[0].lower() for t in conjunction) for conjunction in secrets.trigram_query(by[kind].pattern))
+    rng = random.Random(3)
+    for pattern in ("ab(cd|ef)+gh", "a?bcde*f", "(abc|xyz)?def", "[ab]cd{2}[xyz]q", "x{3}y{2,4}z", "(ab|c)(de|f)(gh|i)", "(?:abcd|ab)+", "a.bcd|efg"):
+        query = secrets.trigram_query(pattern)
+        for _ in range(4000):
+            text = "".join(rng.choice("abcdefghixyzq") for _ in range(3)) + rng.choice(["abcdgh", "abefcdgh", "bcdeef", "abcdef", "xyzdef", "acddxq", "xxxyyyz", "abdegh", "cfi", "abdei", "abab", "axbcd", "efg"]) + rng.choice("abcdefghixyzq")
+            for m in re.finditer(pattern, text):
+                assert any(all(t in m[0] for t in conjunction) for conjunction in query), (pattern, m[0])
+    assert secrets.trigram_query("(abc|xyz)?def") == {frozenset(["def"])}
+
+
+def test_every_kind_of_secret_in_long_and_repeated_texts(spark):
+    rng = random.Random(4)
+    texts = [None, ""]
+    for k in range(60):
+        some = [rng.choice(PLANTED[kind]) for kind in rng.sample(sorted(PLANTED), rng.randint(0, 6))]
+        texts.append(rng.choice(["", "🙂 é "]) + rng.choice([" ", "\n", "x "]).join(x for y in some for x in (y, "token ret sec api", "deadbeef" * rng.randint(1, 5))))
+    texts += [texts[5], texts[5], "filler words " * 20000 + PLANTED["github"][0]]
+    docs = spark.createDataFrame([(i % 60, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
+    scanned = secrets.scan_secrets(docs)
+    assert "Exchange" not in scanned._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, t in enumerate(texts):
+        found = [(m.start(), k, r.kind, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, t or "") if len(m[r.value]) >= r.min_chars]
+        want.append((i % 60, t or "", ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(found))))
+    got = scanned.select("doc_id", "text", secrets._listed(F.col("found")).alias("spans")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {s.split(":")[0] for w in want for s in w[2].split(",") if s} == set(PLANTED)
+    keyed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kinds = {r["doc_id"]: set(r["kinds"]) for r in secrets.candidates(secrets.postings(keyed)).collect()}
+    for i, (_, _, spans) in enumerate(want):
+        assert {s.split(":")[0] for s in spans.split(",") if s} - {"hex"} <= kinds.get(i, set())
 
 
 def test_quality(docs):
@@ -252,6 +294,20 @@ def test_quality(docs):
         covered = {k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
         assert (r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered))
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r["base_failed"] or not r["kept"])
+        lines, held, dup_chars = [x for x in t.split("\n")], set(), 0
+        for line in lines:
+            dup_chars += len(line) if words_of(line) and line in held else 0
+            held.add(line)
+        n_lines, line_chars = sum(bool(words_of(x)) for x in lines), sum(map(len, lines))
+        assert (r["n_lines"], r["line_chars"], r["dup_line_chars"]) == (n_lines, line_chars, dup_chars)
+        bad = r["base_failed"] or dup > quality.DUP_LINES * n_lines or dup_chars > quality.DUP_LINE_CHARS * line_chars
+        for n, most in quality.COVERAGE.items():
+            grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+            often = collections.Counter(grams)
+            inside = {i + j for i, x in enumerate(grams) if often[x] > 1 for j in range(n)}
+            assert r[f"dup_{n}_gram_chars"] == sum(len(w[i]) for i in inside)
+            bad = bad or r[f"dup_{n}_gram_chars"] > most * r["word_chars"]
+        assert r["kept"] == (not bad)
     kept = quality.filter_quality(docs)
     assert kept.columns == docs.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == sorted((False, r[0]) for r in ROWS if r[0] is not None and got[r[0], len(words_of(r[1])), sum(map(len, words_of(r[1])))]["kept"])
 
