@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from roadgrain.llm.shared import stored
 
-#: Histogram cells per pass over all nodes of a level: bounds what the driver sees.
-CELLS = 16384
+#: Histogram cells per pass over all nodes of a level (two a node where there are more nodes
+#: than half of this), and the most shards: they bound what the driver sees.
+CELLS, MAX_SHARDS = 16384, 1 << 20
 #: Rows per slot-numbering group.
 SLOT_GROUP = 65536
-_TIE_BITS = 40
+#: Bits of a row's tie breaker: first those of its content's hash, then those of its number,
+#: which only tells equal rows apart.
+_TIE_BITS, _CONTENT_BITS = 52, 32
 
 
 def ordered_number(column: Column) -> Column:
@@ -82,24 +85,29 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], weight: Column, carry: d
     Give the number of shards (a power of two) or a target weight per leaf, from
     which the depth follows. dims: numeric expressions (null: below all others);
     spread is measured against the range of all rows, ties go to the first
-    dimension. Equal values are told apart by a hash of the row, so no value is
-    too frequent to split; each split is within ``slack`` of the half, plus one
-    row. slot is gapless from 0 in each shard. Repeated rows are rows of their
-    own; an empty table gives no rows.
+    dimension. Equal values are told apart by a hash of the row's content, and
+    equal rows by their number, so no value is too frequent to split, and where
+    the table's files begin does not matter; each split is within ``slack`` of
+    the half, plus one row. slot is gapless from 0 in each shard, in no
+    particular order. Every level is written out, so none is computed twice.
+    Repeated rows are rows of their own; an empty table gives no rows.
     """
     spark, names = docs.sparkSession, list(dims)
     plain = [F.coalesce(e.cast("double"), F.lit(-1.0)).alias(f"d{i}") for i, e in enumerate(dims.values())]
     rows = docs.select(*[e.alias(k) for k, e in carry.items()], weight.cast("double").alias("weight"), *plain)
-    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "shard-rows")
-    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("__row"), 64 - _TIE_BITS).cast("double"))
+    # the node is read back from storage: as a constant it would turn joins into nested loops
+    rows = stored(rows.withColumns({"__row": F.monotonically_increasing_id(), "node": F.lit(0)}), "shard-rows")
+    content = F.shiftrightunsigned(F.xxhash64(*carry, "weight", *[f"d{i}" for i in range(len(names))]), 64 - _CONTENT_BITS)
+    copy = F.shiftrightunsigned(F.xxhash64("__row"), 64 - _TIE_BITS + _CONTENT_BITS)
+    rows = rows.withColumn("tie", (F.shiftleft(content, _TIE_BITS - _CONTENT_BITS) + copy).cast("double"))
     ranges = [x for i in range(len(names)) for x in (F.min(f"d{i}").alias(f"lo{i}"), F.max(f"d{i}").alias(f"hi{i}"))]
     whole = rows.agg(F.sum("weight").alias("w"), F.count("*").alias("n"), *ranges).first()
     if shards is None:
         shards = 1 << max(0, math.ceil(math.log2(max(1.0, (whole["w"] or 0) / target))))
-    if shards & (shards - 1) or shards > CELLS:
-        raise ValueError(f"shards must be a power of two up to {CELLS}")
+    if shards & (shards - 1) or shards > MAX_SHARDS:
+        raise ValueError(f"shards must be a power of two up to {MAX_SHARDS}")
     span = [max((whole[f"hi{i}"] or 0) - (whole[f"lo{i}"] or 0), 1e-300) for i in range(len(names))]
-    placed = rows.withColumn("node", F.lit(0))
+    placed = rows
     for _ in range(shards.bit_length() - 1 if whole["n"] else 0):
         stats = placed.groupBy("node").agg(F.sum("weight").alias("w"), *ranges).collect()
         half = {r["node"]: r["w"] / 2 for r in stats}
@@ -117,6 +125,7 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], weight: Column, carry: d
         placed = _table(chosen, splits, "node int, value double, upto double")
         right = (F.col("at") > F.col("value")) | ((F.col("at") == F.col("value")) & (F.col("tie") > F.col("upto")))
         placed = placed.withColumn("node", (F.col("node") * 2 + right.cast("int")).cast("int")).drop("value", "upto", "at")
+        placed = stored(placed, "shard-level")
     groups = max(1, -(-int(whole["n"]) // SLOT_GROUP))
     return numbered(placed.withColumnRenamed("node", "shard"), "shard", groups).select(*carry, "weight", "shard", "slot")
 

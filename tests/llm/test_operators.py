@@ -197,6 +197,30 @@ def test_shards_are_near_equal(spark):
     assert len(counts) == 8 and max(counts) - min(counts) <= 4
 
 
+def test_splits_lie_at_weighted_medians_of_the_widest_dimension(spark):
+    rng = np.random.default_rng(2)
+    n = 2000
+    x, y, w = rng.normal(size=n), rng.exponential(size=n), rng.integers(1, 50, n)
+    df = spark.createDataFrame([(i, float(x[i]), float(y[i]), int(w[i])) for i in range(n)], "id long, x double, y double, w int")
+    placed = sharding.kd_shards(df, {"x": F.col("x"), "y": F.col("y")}, F.col("w"), {"id": F.col("id")}, shards=8)
+    assert "NestedLoop" not in placed._jdf.queryExecution().executedPlan().toString()
+    shard = np.empty(n, int)
+    for r in placed.collect():
+        shard[r["id"]] = r["shard"]
+    span = np.ptp(x), np.ptp(y)
+    for depth in range(3):
+        node = shard >> (3 - depth)
+        for k in np.unique(node):
+            mine = np.flatnonzero(node == k)
+            right = (shard[mine] >> (2 - depth)) & 1 == 1
+            along = (x, y)[int(np.ptp(y[mine]) / span[1] > np.ptp(x[mine]) / span[0])][mine]
+            assert along[~right].max() < along[right].min()
+            assert abs(w[mine][right].sum() - w[mine].sum() / 2) <= 0.001 * w[mine].sum() + 50
+    again = sharding.kd_shards(df.repartition(7, "w"), {"x": F.round("x"), "y": F.lit(1)}, F.col("w"), {"id": F.col("id")}, shards=4)
+    other = sharding.kd_shards(df.coalesce(1), {"x": F.round("x"), "y": F.lit(1)}, F.col("w"), {"id": F.col("id")}, shards=4)
+    assert {(r["id"], r["shard"]) for r in again.collect()} == {(r["id"], r["shard"]) for r in other.collect()}
+
+
 def test_mixing(docs, spark):
     got = mixing.mix_sources(docs, {"src0": 3.0, "src1": 1.0, "none": 9.0}, total=200)
     rows = got.collect()
