@@ -61,15 +61,20 @@ def point_in_polygon(x: Column | str, y: Column | str, polygon: Column | Vertice
             slack = 1 - TOLERANCE  # an upright rectangle needs no edges
             return x.between(low_x + slack, high_x - slack) & y.between(low_y + slack, high_y - slack)
         near = x.between(low_x, high_x) & y.between(low_y, high_y)
-        edge, odd = F.lit(False), F.lit(0)
-        for s in sides:
-            edge = edge | _on_edge(x, y, *s)
-            odd = odd + _crossed(x, y, *s).cast("int")
-        return near & (edge | (odd % 2 == 1))
-    ring = edges(polygon)
+        return near & _inside(x, y, _listed(sides))
+    return F.coalesce((F.size(polygon) >= 3) & _inside(x, y, edges(polygon)), F.lit(False))
+
+
+def _listed(sides: Sequence[tuple[Column, ...]]) -> Column:
+    """Known edges as one literal array: written out term by term, a polygon of a few dozen
+    vertices would outgrow what the JVM compiles."""
+    return F.array(*[F.struct(*[v.alias(k) for v, k in zip(e, ("ax", "ay", "bx", "by"), strict=True)]) for e in sides])
+
+
+def _inside(x: Column, y: Column, ring: Column) -> Column:
+    """On an edge, or an odd number of edges to the right."""
     parts = lambda e: (e["ax"], e["ay"], e["bx"], e["by"])
-    inside = F.exists(ring, lambda e: _on_edge(x, y, *parts(e))) | (F.size(F.filter(ring, lambda e: _crossed(x, y, *parts(e)))) % 2 == 1)
-    return F.coalesce((F.size(polygon) >= 3) & inside, F.lit(False))
+    return F.exists(ring, lambda e: _on_edge(x, y, *parts(e))) | (F.size(F.filter(ring, lambda e: _crossed(x, y, *parts(e)))) % 2 == 1)
 
 
 def distance_to_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -91,8 +96,10 @@ def boundary_distance(x: Column | str, y: Column | str, polygon: Column | Vertic
     """Distance to the nearest real edge; infinite if there is none. skip: per edge."""
     x, y = _d(x), _d(y)
     if not isinstance(polygon, Column):
-        found = [distance_to_segment(x, y, *map(F.lit, map(float, (*a, *b)))) for a, b in real_edges([tuple(p) for p in polygon], skip)]
-        return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(float("inf"))
+        found = [tuple(map(F.lit, map(float, (*a, *b)))) for a, b in real_edges([tuple(p) for p in polygon], skip)]
+        if not found:
+            return F.lit(float("inf"))
+        return F.array_min(F.transform(_listed(found), lambda e: distance_to_segment(x, y, e["ax"], e["ay"], e["bx"], e["by"])))
     ring = edges(polygon)
     used = ring if not isinstance(skip, Column) else F.filter(F.zip_with(ring, skip, lambda e, s: F.when(~F.coalesce(s, F.lit(False)), e)), lambda e: e.isNotNull())
     reverse = lambda e, o: (o["ax"] == e["bx"]) & (o["ay"] == e["by"]) & (o["bx"] == e["ax"]) & (o["by"] == e["ay"])

@@ -293,17 +293,19 @@ def stopped_vehicle(tracks: DataFrame, scene: Scene, th: Stopped | None = None)
     long_enough = (F.col("last") - F.col("first") + step) / s.frame_rate() >= th.min_sec
     covered = F.col("frames") >= th.min_coverage * (F.floor((F.col("last") - F.col("first")) / step) + 1)
     stops = stops.where(long_enough & covered)
-    seen = vehicles(tracks).select("video_id", F.col("track_id").alias("id"), "gx", "gy").where("id >= 0")
-    reach = stops.withColumn("id", F.explode("ids")).join(seen, ["video_id", "id"]).groupBy("video_id", "stop").agg(F.max(F.hypot(F.col("gx") - F.col("x"), F.col("gy") - F.col("y"))).alias("reach"))
-    moved = stops.join(reach, ["video_id", "stop"]).where(F.col("reach") >= th.motion_evidence * F.col("size"))
+    # one line of joins, each grouped back to stops, so that the clustering runs once
+    held = [F.first(c).alias(c) for c in stops.columns if c not in ("video_id", "stop")]
+    seen = vehicles(tracks).select("video_id", F.col("track_id").alias("id"), F.col("gx").alias("px"), F.col("gy").alias("py")).where("id >= 0")
+    reach = F.max(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).alias("reach")
+    moved = stops.withColumn("id", F.explode("ids")).join(seen, ["video_id", "id"]).groupBy("video_id", "stop").agg(*held, reach)
+    moved = moved.where(F.col("reach") >= th.motion_evidence * F.col("size"))
     calm = kinematics.with_sustained_speed(vehicles(tracks)).where((F.col("track_id") >= 0) & (F.col("sustained_speed") <= th.max_speed * s.box_height()))
-    beside = calm.select("video_id", "frame_idx", F.col("track_id").alias("other"), "gx", "gy")
     width = 600  # frames a bucket
+    beside = calm.select(F.col("video_id").alias("v"), F.floor(F.col("frame_idx") / width).alias("b"), F.col("frame_idx").alias("f"), F.col("track_id").alias("other"), F.col("gx").alias("px"), F.col("gy").alias("py"))
     spread = moved.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    pairs = spread.join(beside.withColumn("bucket", F.floor(F.col("frame_idx") / width)), ["video_id", "bucket"])
-    near = F.col("frame_idx").between(F.col("first"), F.col("last")) & ~F.array_contains("ids", F.col("other")) & (F.hypot(F.col("gx") - F.col("x"), F.col("gy") - F.col("y")) <= th.neighbour * F.col("size"))
-    queued = pairs.where(near).groupBy("video_id", "stop").agg(F.count_distinct("frame_idx").alias("beside"))
-    lonely = moved.join(queued, ["video_id", "stop"], "left").where(F.coalesce("beside", F.lit(0)) < th.queue_share * F.col("frames"))
+    near = F.col("f").between(F.col("first"), F.col("last")) & ~F.array_contains("ids", F.col("other")) & (F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= th.neighbour * F.col("size"))
+    met = spread.join(beside, (F.col("video_id") == F.col("v")) & (F.col("bucket") == F.col("b")) & near, "left")
+    lonely = met.groupBy("video_id", "stop").agg(*held, F.count_distinct("f").alias("beside")).where(F.col("beside") < th.queue_share * F.col("frames"))
     seconds = (F.col("last") - F.col("first") + step) / s.frame_rate()
     scored = lonely.withColumn("strength", F.least(F.lit(1.0), seconds / F.lit(max(th.min_sec, 1e-6))))
     named = _named(scored.withColumnsRenamed({"first": "start_frame", "last": "end_frame"}), "stopped_vehicle", F.col("strength"), F.filter("ids", lambda i: i >= 0))

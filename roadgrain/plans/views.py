@@ -45,7 +45,12 @@ _SEGMENTS = (
     "CAST((a * 7) % 100 AS DOUBLE) + CAST(a % 10 AS DOUBLE) / 10e0 AS start_sec", "CAST(3 + a % 9 AS DOUBLE) AS seconds", "a",
 )
 _TRUTH = ("video_id", "label", 'start_sec AS "start"', 'start_sec + seconds AS "end"', "a")
-_PREDICTED = ("video_id", "CASE WHEN a % 17 = 0 THEN 'wrong_way' ELSE label END AS label", 'greatest(0e0, start_sec + CAST(a % 7 - 3 AS DOUBLE) / 2e0) AS "start"', 'start_sec + CAST(a % 7 - 3 AS DOUBLE) / 2e0 + seconds + CAST(a % 3 AS DOUBLE) AS "end"', "a")
+_LATE = "CAST(a % 7 - 3 AS DOUBLE) / 2e0 + CASE WHEN a % 5 = 0 THEN 40e0 ELSE 0e0 END"
+_PREDICTED = (
+    # one video in fifty goes by another name, one segment in five comes much too late, some have another label
+    "CASE WHEN CAST(substr(video_id, 2) AS BIGINT) % 200 = 0 THEN 'w' || substr(video_id, 2) ELSE video_id END AS video_id", "CASE WHEN a % 17 = 0 THEN 'wrong_way' ELSE label END AS label",
+    f'greatest(0e0, start_sec + {_LATE}) AS "start"', f'start_sec + {_LATE} + seconds + CAST(a % 3 AS DOUBLE) AS "end"', "a",
+)
 
 
 def _spark(expressions: tuple[str, ...]) -> list[str]:
@@ -72,12 +77,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments video_id, label, start, end, a."""
-    return actors(spark, sf_dir).where("a % 3 = 0").selectExpr(*_spark(_SEGMENTS)).selectExpr(*_spark(_TRUTH))
+    return actors(spark, sf_dir).selectExpr(*_spark(_SEGMENTS)).selectExpr(*_spark(_TRUTH))
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifted, lengthened and relabelled truth with some left out and some made up."""
-    return actors(spark, sf_dir).where("(a % 3 = 0 AND a % 5 <> 0) OR a % 11 = 0").selectExpr(*_spark(_SEGMENTS)).selectExpr(*_spark(_PREDICTED))
+    """The truth shifted and lengthened, some of it much, with some other labels and videos."""
+    return actors(spark, sf_dir).selectExpr(*_spark(_SEGMENTS)).selectExpr(*_spark(_PREDICTED))
 
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +116,8 @@ def duckdb(sql: str) -> str:
         steps.append(f"{name} AS (SELECT {', '.join(layer)} FROM {source}{where})")
         source = name
     seg = ", ".join(_SEGMENTS)
-    steps.append(f"truth AS (SELECT {', '.join(_TRUTH)} FROM (SELECT {seg} FROM actors WHERE a % 3 = 0))")
-    steps.append(f"predicted AS (SELECT {', '.join(_PREDICTED)} FROM (SELECT {seg} FROM actors WHERE (a % 3 = 0 AND a % 5 <> 0) OR a % 11 = 0))")
+    steps.append(f"truth AS (SELECT {', '.join(_TRUTH)} FROM (SELECT {seg} FROM actors))")
+    steps.append(f"predicted AS (SELECT {', '.join(_PREDICTED)} FROM (SELECT {seg} FROM actors))")
     steps.append("risk AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS video_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS t_sec, max(least(1e0, greatest(0e0, value / 500e0))) AS score FROM events GROUP BY 1, 2)")
     steps.append("videos AS (SELECT video_id, max(\"end\") + 5e0 AS duration FROM truth GROUP BY video_id)")
     return f"WITH {', '.join(steps)} {sql}"

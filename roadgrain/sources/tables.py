@@ -6,15 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_tracks(tracks: DataFrame, path: str, mode: str = "overwrite") -> None:
+#: Columns that every table of tracks has.
+TRACK_COLUMNS = ("video_id", "frame_idx", "t_sec", "track_id", "cls", "conf", "x1", "y1", "x2", "y2")
+
+
+def with_track_columns(tracks: DataFrame) -> DataFrame:
+    """tracks, if it has all TRACK_COLUMNS; a table of another layout is refused by name."""
+    missing = [c for c in TRACK_COLUMNS if c not in tracks.columns]
+    if missing:
+        raise ValueError(f"not a table of tracks: no {', '.join(missing)}")
+    return tracks
+
+
+def write_tracks(tracks: DataFrame, path: str, mode: str = "overwrite", complete: DataFrame | None = None) -> None:
     """Parquet by camera and configuration, rows of a track together within a file: readers
-    prune by camera_id, and by the statistics of video_id and frame_idx."""
+    prune by camera_id, and by the statistics of video_id and frame_idx. Overwriting replaces
+    only the partitions that tracks has rows of. Of videos that complete(video_id, ...) does
+    not list, nothing is written."""
+    rows = with_track_columns(tracks)
+    if complete is not None:
+        rows = rows.join(complete.select("video_id"), "video_id", "left_semi")
     keys = [c for c in ("camera_id", "config_key") if c in tracks.columns]
-    tracks.repartition(*keys, "video_id").sortWithinPartitions("video_id", "track_id", "frame_idx").write.mode(mode).partitionBy(*keys).parquet(path)
+    sorted_rows = rows.repartition(*keys, "video_id").sortWithinPartitions("video_id", "track_id", "frame_idx")
+    sorted_rows.write.mode(mode).option("partitionOverwriteMode", "dynamic" if keys else "static").partitionBy(*keys).parquet(path)
 
 
 def read_tracks(spark: SparkSession, path: str, camera_id: str | None = None, config_key: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    rows = with_track_columns(spark.read.option("mergeSchema", "true").parquet(path))
     for c, v in (("camera_id", camera_id), ("config_key", config_key)):
         rows = rows.where(F.col(c) == v) if v is not None else rows
     return rows
@@ -36,8 +54,8 @@ def config_key(columns: dict[str, Column]) -> Column:
 
 
 def write_series(series: DataFrame, path: str, key: str = "video_id", mode: str = "overwrite") -> None:
-    """JSON lines in one folder per key."""
-    series.write.mode(mode).partitionBy(key).json(path)
+    """JSON lines in one folder per key; overwriting replaces only the keys that series has."""
+    series.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
 
 
 def site_assets(events: DataFrame, risk: DataFrame, counts: DataFrame, density: DataFrame) -> DataFrame:
