@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Columns that every table of tracks has.
-TRACK_COLUMNS = ("video_id", "frame_idx", "t_sec", "track_id", "cls", "conf", "x1", "y1", "x2", "y2")
+TRACK_KEYS = ("video_id", "track_id", "frame_idx")
 
 
-def with_track_columns(tracks: DataFrame) -> DataFrame:
-    """tracks, if it has all TRACK_COLUMNS; a table of another layout is refused by name."""
-    missing = [c for c in TRACK_COLUMNS if c not in tracks.columns]
+def with_columns(tracks: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """tracks, if it has the columns; a table of another layout is refused by their names."""
+    missing = [c for c in columns if c not in tracks.columns]
     if missing:
-        raise ValueError(f"not a table of tracks: no {', '.join(missing)}")
+        raise ValueError(f"not such a table of tracks: no {', '.join(missing)}")
     return tracks
 
 
@@ -23,7 +25,7 @@ def write_tracks(tracks: DataFrame, path: str, mode: str = "overwrite", complete
     prune by camera_id, and by the statistics of video_id and frame_idx. Overwriting replaces
     only the partitions that tracks has rows of. Of videos that complete(video_id, ...) does
     not list, nothing is written."""
-    rows = with_track_columns(tracks)
+    rows = with_columns(tracks, TRACK_KEYS)
     if complete is not None:
         rows = rows.join(complete.select("video_id"), "video_id", "left_semi")
     keys = [c for c in ("camera_id", "config_key") if c in tracks.columns]
@@ -31,8 +33,9 @@ def write_tracks(tracks: DataFrame, path: str, mode: str = "overwrite", complete
     sorted_rows.write.mode(mode).option("partitionOverwriteMode", "dynamic" if keys else "static").partitionBy(*keys).parquet(path)
 
 
-def read_tracks(spark: SparkSession, path: str, camera_id: str | None = None, config_key: str | None = None) -> DataFrame:
-    rows = with_track_columns(spark.read.option("mergeSchema", "true").parquet(path))
+def read_tracks(spark: SparkSession, path: str, camera_id: str | None = None, config_key: str | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """The tracks of all or one camera and configuration; columns: others that must be there."""
+    rows = with_columns(spark.read.parquet(path), (*TRACK_KEYS, *columns))
     for c, v in (("camera_id", camera_id), ("config_key", config_key)):
         rows = rows.where(F.col(c) == v) if v is not None else rows
     return rows

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadgrain.operators import eda, poses, review, sampling, signals, validation, zones
@@ -116,3 +117,26 @@ def test_sampling_and_review(spark):
     assert sorted(r["name"] for r in validation.filename_problems(names).collect()) == ["../a.mp4", "a\tb.mov", "a.exe"]
     tie = eda.longest_per_group(windows.withColumn("len", F.col("end") - F.col("start")), ["label"], "len", 2)
     assert sorted(r["start"] for r in tie.collect()) == [0.0, 1.0]
+
+
+def test_documents_are_escaped(spark):
+    seg = spark.createDataFrame([('v"1\\', 'jay"walking\n', 0.5, 2.0), ('v"1\\', "null", None, 3.0)], "video_id string, label string, start double, end double")
+    curve = spark.createDataFrame([('v"1\\', 0.0, 0.5), ('v"1\\', 1.0, float("nan"))], "video_id string, t_sec double, score double")
+    videos = spark.createDataFrame([('v"1\\',)], "video_id string")
+    doc = json.loads(documents.prediction_documents(seg, curve, videos, 'the "team"').first()["doc"])
+    assert doc == {"team": 'the "team"', "videos": {'v"1\\': {"events": [[None, 3.0, "null"], [0.5, 2.0, 'jay"walking\n']], "risk": [[0.0, 0.5], [1.0, None]]}}}
+
+
+def test_writes_keep_other_partitions_and_leave_out_incomplete_videos(spark, tmp_path):
+    row = lambda camera, video, frame: (camera, video, frame, frame / 30, 1, 2, 0.5, 0.0, 0.0, 1.0, 1.0)
+    schema = "camera_id string, video_id string, frame_idx int, t_sec double, track_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
+    path = str(tmp_path / "tracks")
+    tables.write_tracks(spark.createDataFrame([row("a", "v1", 0), row("b", "v2", 0)], schema), path)
+    complete = spark.createDataFrame([("v3",)], "video_id string")
+    tables.write_tracks(spark.createDataFrame([row("b", "v3", 5), row("b", "v4", 6)], schema), path, complete=complete)
+    assert {(r["camera_id"], r["video_id"], r["frame_idx"]) for r in tables.read_tracks(spark, path).collect()} == {("a", "v1", 0), ("b", "v3", 5)}
+    assert tables.read_tracks(spark, path, "a").count() == 1
+    with pytest.raises(ValueError, match="track_id"):
+        tables.write_tracks(spark.createDataFrame([("v", 1)], "video_id string, frame_idx int"), path)
+    with pytest.raises(ValueError, match="speed"):
+        tables.read_tracks(spark, path, columns=("conf", "speed"))
