@@ -49,8 +49,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         parent = stored(parent, "parents")
         while True:
             over = parent.selectExpr("node as up", "up as over")
-            jumped = parent.join(over, "up").selectExpr("node", "over as up", "up <> over as moved")
-            jumped = stored(jumped, "parents")
+            two = parent.join(over, "up").selectExpr("node", "over as up")
+            over = two.selectExpr("node as up", "up as over")
+            # two doublings a table: pointers are seldom deeper
+            jumped = stored(two.join(over, "up").selectExpr("node", "over as up", "up <> over as moved"), "parents")
             parent = jumped.select("node", "up")
             if jumped.where("moved").isEmpty():
                 break
