@@ -72,6 +72,8 @@ def test_blocks():
     got = [b.text for b in html_text.blocks_of(PAGE)]
     assert got == ["Menu", "We use cookies", "The & title", "First paragraphbold of some length, with words.", "More", "Second one here, also with some length.", "A reader says hello there.", "Mail", "© us"]
     assert html_text.blocks_of("") == [] and html_text.blocks_of("<<p>a<b") != []
+    for tag in ("<p class=it's>", '<p class="it\'s">', "<p title=\"a > 'b'\" id='x>y'>", '<p data-x=5">', "<p class=a'b id=c'd>", "<p class = 'q>r'>"):
+        assert [b.text for b in html_text.blocks_of(f"<div>{tag}hello world</p></div>")] == ["hello world"], tag
 
 
 def test_labeller_on_held_out_pages(spark):
