@@ -194,16 +194,21 @@ def matching_components(distinct: DataFrame) -> DataFrame:
     members = band_members(distinct)
     texts = stored(distinct.select("node", "line").join(members.select("node").distinct(), "node", "left_semi"), "line-texts")
     bits = stored(bitmaps(texts), "line-bitmaps")
-    edges = verified(stored(first_pairs(members, bits), "line-pairs"), texts)
+    tested = stored(first_pairs(members, bits), "line-pairs")
+    edges = verified(tested, texts)
     found = stored(connected_components(stored(edges, "line-edges")), "line-components")
     for turn in range(LEADER_TURNS + 1):
         leaders = turn < LEADER_TURNS
         rows = open_rows(members, found, turn, leaders)
         if turn == 1:
             bits = stored(bitmaps(texts.join(rows.select("node").distinct(), "node", "left_semi"), WIDE), "line-bitmaps")
+        # a pair compared before lies in two components because it does not match; stored first,
+        # so that the bound's code stays small enough to be compiled
         pairs = stored(open_pairs(rows, bits, leaders), "line-pairs")
+        pairs = stored(pairs.join(tested, ["src", "dst"], "left_anti"), "line-pairs")
         if not pairs.isEmpty():
             found = merged(found, verified(pairs, texts))
+            tested = tested.union(pairs)
     return found
 
 
