@@ -419,20 +419,54 @@ def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("iou >= 0.3").select("video_id", "label", r6("gs").alias("gs"), r6("ps").alias("ps"), r6("iou").alias("iou"))
 
 
-@query()
+# greedy one-to-one matching per key and threshold: the pairs in order, each with the lists of what earlier ones took
+def _matching_sql(keys: tuple[str, ...], thresholds: tuple[float, ...] = evaluation.THRESHOLDS) -> str:
+    by = ", ".join(keys)
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in (*keys, "threshold"))
+    both = "(g_end - g_start) + (p_end - p_start) - (least(g_end, p_end) - greatest(g_start, p_start))"
+    return f"""levels AS (SELECT unnest([{", ".join(f"{t}e0" for t in thresholds)}]) AS threshold),
+    scored AS (SELECT * FROM predicted WHERE video_id IN (SELECT video_id FROM videos)),
+    gn AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY "start", "end") - 1 AS g FROM truth), pn AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY "start", "end") - 1 AS p FROM scored),
+    met AS (SELECT {", ".join(f"gn.{k}" for k in keys)}, g, p, gn."start" AS g_start, gn."end" AS g_end, pn."start" AS p_start, pn."end" AS p_end FROM gn JOIN pn ON {" AND ".join(f"gn.{k} = pn.{k}" for k in keys)} WHERE gn."start" < pn."end" AND pn."start" < gn."end"),
+    able AS (SELECT * FROM (SELECT *, (least(g_end, p_end) - greatest(g_start, p_start)) / ({both}) AS iou FROM met), levels WHERE iou >= threshold),
+    queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by}, threshold ORDER BY iou DESC, g DESC, p DESC) AS turn FROM able),
+    walk AS (SELECT {by}, threshold, turn, g, p, iou, TRUE AS taken, [g] AS gs, [p] AS ps FROM queue WHERE turn = 1 UNION ALL
+      SELECT {", ".join(f"q.{k}" for k in keys)}, q.threshold, q.turn, q.g, q.p, q.iou, NOT (list_contains(w.gs, q.g) OR list_contains(w.ps, q.p)),
+        CASE WHEN list_contains(w.gs, q.g) OR list_contains(w.ps, q.p) THEN w.gs ELSE list_append(w.gs, q.g) END, CASE WHEN list_contains(w.gs, q.g) OR list_contains(w.ps, q.p) THEN w.ps ELSE list_append(w.ps, q.p) END
+      FROM walk w JOIN queue q ON {on("w", "q")} AND q.turn = w.turn + 1),
+    hits AS (SELECT {by}, threshold, g, p, iou FROM walk WHERE taken)"""
+
+
+_PRF = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS re"""
+_ROUNDED_PRF = 'round(pr, 6) AS "precision", round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0e0 END, 6) AS f1'
+_CLASS_COUNTS = _matching_sql(("video_id", "label")) + """,
+    names AS (SELECT label FROM truth UNION SELECT label FROM predicted), grid AS (SELECT label, threshold FROM names, levels),
+    ng AS (SELECT label, count(*) AS n FROM truth GROUP BY 1), np AS (SELECT label, count(*) AS n FROM scored GROUP BY 1), nt AS (SELECT label, threshold, count(*) AS n FROM hits GROUP BY 1, 2),
+    per AS (SELECT label, threshold, coalesce(nt.n, 0) AS tp, coalesce(np.n, 0) - coalesce(nt.n, 0) AS fp, coalesce(ng.n, 0) - coalesce(nt.n, 0) AS fn FROM grid LEFT JOIN ng USING (label) LEFT JOIN np USING (label) LEFT JOIN nt USING (label, threshold)),
+    sums AS (SELECT label, threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM per GROUP BY GROUPING SETS ((label, threshold), (threshold)))"""
+
+
+@query(_with(_CLASS_COUNTS, f"SELECT label, threshold, tp, fp, fn, {_ROUNDED_PRF} FROM (SELECT *, {_PRF} FROM sums)"))
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching: checked against a loop in the tests."""
+    """Greedy one-to-one matching, pooled per class and over all classes."""
     out = evaluation.class_scores(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), views.videos(spark, sf_dir))
     return out.select("label", "threshold", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+_BEST = 'coalesce((SELECT max((least(x."end", o."end") - greatest(x."start", o."start")) / (greatest(x."end", o."end") - least(x."start", o."start"))) FROM {other} o WHERE o.video_id = x.video_id AND o.label = x.label AND x."start" < o."end" AND o."start" < x."end"), 0e0)'
+_LISTED = _matching_sql(("video_id", "label"), (0.5,)).replace("WHERE video_id IN (SELECT video_id FROM videos)", "")
+
+
+@query(_with(_LISTED, f"""SELECT video_id, label, kind, round("start", 6) AS "start", round("end", 6) AS "end", round(best, 6) AS best FROM (
+    SELECT video_id, label, 'tp' AS kind, "start", "end", iou AS best FROM hits JOIN gn USING (video_id, label, g)
+    UNION ALL SELECT video_id, label, 'missed', "start", "end", {_BEST.format(other="predicted")} FROM (SELECT * FROM gn ANTI JOIN hits USING (video_id, label, g)) x
+    UNION ALL SELECT video_id, label, 'false', "start", "end", {_BEST.format(other="truth")} FROM (SELECT * FROM pn ANTI JOIN hits USING (video_id, label, p)) x)"""))
 def matched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.matched_listing(views.truth(spark, sf_dir), views.predicted(spark, sf_dir))
     return out.select("video_id", "label", "kind", r6("start").alias("start"), r6("end").alias("end"), r6("best").alias("best"))
 
 
-@query()
+@query(_with(_matching_sql(("video_id",)), f"SELECT threshold, tp, fp, fn, {_ROUNDED_PRF} FROM (SELECT *, {_PRF} FROM (SELECT threshold, tp, (SELECT count(*) FROM scored) - tp AS fp, (SELECT count(*) FROM truth) - tp AS fn FROM (SELECT threshold, count(hits.threshold) AS tp FROM levels LEFT JOIN hits USING (threshold) GROUP BY threshold)))"))
 def agnostic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.agnostic_scores(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), views.videos(spark, sf_dir))
     return out.select("threshold", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
@@ -550,7 +584,9 @@ def signal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.signal_votes(rows).select("video_id", "frame_idx", "light_id", "state", "lit")
 
 
-@query()
+@query(f"""WITH {_PIXELS}, lights AS (SELECT video_id, frame_idx, light_id, state FROM ({ORACLE_SQL["signal_states"].replace("WITH " + _PIXELS, "WITH again AS (SELECT 1)")})),
+    lanes AS (SELECT *, unnest(CASE WHEN light_id = 'light0' THEN ['lane0', 'lane1'] ELSE ['lane1'] END) AS lane FROM lights)
+    SELECT video_id, frame_idx, lane, CASE WHEN count(DISTINCT nullif(state, 'unknown')) = 1 THEN max(nullif(state, 'unknown')) ELSE 'unknown' END AS state, CASE WHEN count(DISTINCT nullif(state, 'unknown')) = 1 THEN 1e0 ELSE 0e0 END AS confidence FROM lanes GROUP BY 1, 2, 3""", plain=True)
 def lane_signal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = QUERIES["signal_states"](spark, sf_dir).withColumns({"confidence": F.lit(1.0), "controls_lanes": F.when(F.col("light_id") == "light0", F.array(F.lit("lane0"), F.lit("lane1"))).otherwise(F.array(F.lit("lane1")))})
     return signals.lane_signals(states)

@@ -120,4 +120,4 @@ def duckdb(sql: str) -> str:
     steps.append(f"predicted AS (SELECT {', '.join(_PREDICTED)} FROM (SELECT {seg} FROM actors))")
     steps.append("risk AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS video_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS t_sec, max(least(1e0, greatest(0e0, value / 500e0))) AS score FROM events GROUP BY 1, 2)")
     steps.append("videos AS (SELECT video_id, max(\"end\") + 5e0 AS duration FROM truth GROUP BY video_id)")
-    return f"WITH {', '.join(steps)} {sql}"
+    return f"WITH RECURSIVE {', '.join(steps)} {sql}"
