@@ -518,14 +518,33 @@ def alarm_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.alarm_starts(views.risk(spark, sf_dir), 0.2, 86400.0)
 
 
-@query()
+# alarms at 0.5 that begin outside ignored spans, and accidents in order, each with the earliest alarm still free
+_REPORT = _INCIDENTS + """, ties AS (SELECT score, sum(y) AS pos, count(*) AS n FROM labelled WHERE y IS NOT NULL GROUP BY score), ran AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER () AS allp, sum(n) OVER () AS alln FROM ties WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    curve AS (SELECT coalesce(sum(pos / allp * (tp / seen)), 0e0) AS ap_raw, coalesce(max(allp / alln), 0e0) AS positive_rate, sum(n) AS n, sum(pos) AS n_pos FROM ran),
+    highs AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY t_sec ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN score >= 0.5e0 AND NOT coalesce(lag(score >= 0.5e0) OVER (PARTITION BY video_id ORDER BY t_sec), FALSE) THEN 1 ELSE 0 END AS fresh FROM risk)),
+    spans AS (SELECT video_id, min(t_sec) AS s, max(t_sec) AS e FROM highs WHERE score >= 0.5e0 GROUP BY video_id, run),
+    begun AS (SELECT video_id, s AS t_sec FROM (SELECT *, s - lag(e) OVER (PARTITION BY video_id ORDER BY s) AS gap FROM spans) WHERE gap IS NULL OR gap >= 2),
+    alarms AS (SELECT video_id, t_sec FROM begun JOIN labelled USING (video_id, t_sec) WHERE y IS NOT NULL),
+    pool AS (SELECT video_id, list(t_sec ORDER BY t_sec) AS ts FROM alarms GROUP BY video_id),
+    lined AS MATERIALIZED (SELECT a.video_id, a0, coalesce(ts, []) AS ts, row_number() OVER (PARTITION BY a.video_id ORDER BY a0) AS turn FROM accidents a LEFT JOIN pool ON pool.video_id = a.video_id),
+    took AS (SELECT video_id, turn, a0, ts AS free, [x for x in ts if x >= a0 - 10 AND x < a0][1] AS alarm FROM lined WHERE turn = 1
+      UNION ALL SELECT l.video_id, l.turn, l.a0, [x for x in t.free if x <> coalesce(t.alarm, -1e0)], [x for x in t.free if x <> coalesce(t.alarm, -1e0) AND x >= l.a0 - 10 AND x < l.a0][1] FROM took t JOIN lined l ON l.video_id = t.video_id AND l.turn = t.turn + 1),
+    counted AS (SELECT count(*) AS n_accidents, count(alarm) AS n_matched, coalesce(sum(a0 - alarm), 0e0) AS tta, (SELECT count(*) FROM alarms) AS n_alarms FROM took),
+    rated AS (SELECT *, CASE WHEN positive_rate < 1 THEN greatest(0e0, (ap_raw - positive_rate) / (1 - positive_rate)) ELSE 0e0 END AS ap, CASE WHEN n_alarms > 0 THEN n_matched / n_alarms ELSE 0e0 END AS alarm_precision, CASE WHEN n_accidents > 0 THEN n_matched / n_accidents ELSE 0e0 END AS alarm_recall, CASE WHEN n_accidents > 0 THEN tta / n_accidents ELSE 0e0 END AS mtta FROM curve, counted),
+    joint AS (SELECT *, CASE WHEN alarm_precision + alarm_recall > 0 THEN 2 * alarm_precision * alarm_recall / (alarm_precision + alarm_recall) ELSE 0e0 END AS f1_alarm FROM rated),
+    report AS (SELECT *, CASE WHEN n_accidents > 0 THEN 0.4e0 * ap + 0.4e0 * f1_alarm + 0.2e0 * least(1e0, mtta / 10e0) END AS score_b FROM joint)"""
+_REPORTED = ("ap_raw", "positive_rate", "n", "n_pos", "n_accidents", "n_matched", "n_alarms", "ap", "alarm_precision", "alarm_recall", "mtta", "f1_alarm", "score_b")
+
+
+@query(_with(_REPORT, "SELECT " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _REPORTED) + " FROM report"))
 def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = views.risk(spark, sf_dir)
     out = evaluation.risk_report(curve, _incidents(curve))
     return out.select(*[r6(F.col(c).cast("double")).alias(c) for c in out.columns])
 
 
-@query()
+@query(_with(_CLASS_COUNTS + ", " + _REPORT, f"""SELECT round(score_a, 6) AS score_a, round(score_b, 6) AS score_b, round(coalesce(0.7e0 * score_a + 0.3e0 * score_b, score_a), 6) AS model_score
+    FROM (SELECT coalesce(avg(f1), 0e0) AS score_a FROM (SELECT label, avg(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0e0 END) AS f1 FROM (SELECT *, {_PRF} FROM sums WHERE label IS NOT NULL) GROUP BY label)), report"""))
 def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = views.risk(spark, sf_dir)
     a = evaluation.macro_score(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), views.videos(spark, sf_dir))
