@@ -107,3 +107,27 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_metrics(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``query``: n-grams as joined words, without hashes."""
+    grams, marks, sums = [], [], []
+    for n in (3, *COVERAGE):
+        grams.append(f"CASE WHEN i + {n - 1} <= max(i) OVER (PARTITION BY r) THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) END AS g{n}")
+        marks.append(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{n}) > 1 AS t{n}")
+        sums.append(f"bool_or(t{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}")
+    word = r"[^\x20\x09-\x0D]"
+    covered = ", ".join(f"coalesce(sum(length(word)) FILTER (c{n}), 0) AS dup_{n}_gram_chars" for n in COVERAGE)
+    names = ["n_words", "word_chars", "n_repeat_words", *(f"dup_{n}_gram_chars" for n in COVERAGE)]
+    whole = ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in names)
+    limits = " OR ".join(f"dup_{n}_gram_chars > {most}e0 * word_chars" for n, most in COVERAGE.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '{word}+') AS ws FROM d)),
+    g AS (SELECT r, i, word, {", ".join(grams)} FROM w), t AS (SELECT r, i, word, {", ".join(marks)} FROM g), c AS (SELECT r, word, {", ".join(sums)} FROM t),
+    by_words AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (c3) AS n_repeat_words, {covered} FROM c GROUP BY r),
+    l AS (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d)),
+    again AS (SELECT *, regexp_matches(line, '{word}') AS has_word, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS seen FROM l),
+    by_lines AS (SELECT r, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (has_word AND seen) AS n_dup_lines, CAST(sum(length(line)) AS BIGINT) AS line_chars, CAST(coalesce(sum(length(line)) FILTER (has_word AND seen), 0) AS BIGINT) AS dup_line_chars FROM again GROUP BY r),
+    m AS (SELECT doc_id, {whole}, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, n_lines, n_dup_lines, line_chars, dup_line_chars FROM d LEFT JOIN by_words USING (r) LEFT JOIN by_lines USING (r)),
+    b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m)
+    SELECT *, NOT (base_failed OR n_dup_lines > {DUP_LINES}e0 * n_lines OR dup_line_chars > {DUP_LINE_CHARS}e0 * line_chars OR {limits}) AS kept FROM b"""
