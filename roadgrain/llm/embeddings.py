@@ -226,3 +226,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors.select("vec_id", F.expr(NODE).alias("node")).join(got, "node", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``query``: every pair by its full cosine."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    whole AS MATERIALIZED (SELECT vec_id, v FROM e WHERE len(v) > 0 AND len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in v if x <> 0]) > 0),
+    p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM whole a JOIN whole b ON a.vec_id <> b.vec_id AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= {THRESHOLD}e0 ELSE FALSE END),
+    reach(i, j) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.i, p.j FROM reach r JOIN p ON p.i = r.j),
+    c AS (SELECT i AS vec_id, min(j) AS component_id FROM reach GROUP BY i), n AS (SELECT i AS vec_id, count(*) AS n_links FROM p GROUP BY i)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""

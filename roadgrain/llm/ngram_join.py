@@ -310,3 +310,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     none = F.col("component") >= F.lit(1 << 62)
     return got.select("doc_id", "n_shingles", F.when(~none, F.col("component")).alias("component_id"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``query``: the sets as joined words, every pair that shares one."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n
+      FROM (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+    g AS (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM w),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, gram FROM g WHERE i + 4 <= n OR i = 1), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    p AS MATERIALIZED (SELECT i, j FROM met JOIN size x ON x.doc_id = i JOIN size y ON y.doc_id = j WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+    reach(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, p.j FROM reach r JOIN p ON p.i = r.j),
+    c AS (SELECT i AS doc_id, min(j) AS component_id FROM reach GROUP BY i)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN size USING (doc_id)"""

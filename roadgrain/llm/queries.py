@@ -16,4 +16,4 @@ QUERIES = {
     "op9_embeddings": embeddings.query,
     "op10_html_text": html_text.query,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle(), "op8_quality": quality.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_join": ngram_join.oracle(), "op6_mixing": mixing.oracle(), "op8_quality": quality.oracle(), "op9_embeddings": embeddings.oracle()}
