@@ -16,7 +16,7 @@ from roadgrain.functions import geometry as g
 from roadgrain.functions import scalars as s
 from roadgrain.operators import eda, evaluation, intervals, kinematics, poses, review, risk, rules, runs, sampling, signals, validation, zones
 from roadgrain.plans import views
-from roadgrain.sources import documents
+from roadgrain.sources import documents, plugins
 from roadgrain.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,11 +45,15 @@ def _seg(df: DataFrame) -> DataFrame:
 
 
 # SQL for runs of the rows of a table `flagged`(keys, frame_idx)
-def _runs_sql(keys: str, gap_sec: float, min_sec: float, label: str) -> str:
+def _islands_sql(keys: str, gap_sec: float) -> str:
     return f"""
     , stepped AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY {keys} ORDER BY frame_idx) > {gap_sec}e0 * 30e0 + 15 THEN 1 ELSE 0 END AS fresh FROM flagged),
     islands AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS island FROM stepped),
-    runs AS (SELECT {keys}, min(frame_idx) AS s, max(frame_idx) AS e FROM islands GROUP BY {keys}, island)
+    runs AS (SELECT {keys}, min(frame_idx) AS s, max(frame_idx) AS e FROM islands GROUP BY {keys}, island)"""
+
+
+def _runs_sql(keys: str, gap_sec: float, min_sec: float, label: str) -> str:
+    return f"""{_islands_sql(keys, gap_sec)}
     SELECT video_id, '{label}' AS label, round(s / 30e0, 6) AS "start", round((e + 15) / 30e0, 6) AS "end" FROM runs WHERE (e - s + 15) / 30e0 >= {min_sec}e0"""
 
 
@@ -136,21 +140,56 @@ def persistent_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), F.count_if("persistent").alias("persistent"))
 
 
-@query(_with(
-    _SLOW + f""", placed AS (SELECT *, {_LANE} AS lane, {_QUEUE} AS queued FROM held),
+_JAMS = _SLOW + f""", placed AS (SELECT *, {_LANE} AS lane, {_QUEUE} AS queued FROM held),
     grid AS (SELECT video_id, frame_idx, direction FROM (SELECT DISTINCT video_id, frame_idx FROM cars), (VALUES ('east'), ('west')) d(direction)),
     n AS (SELECT video_id, frame_idx, CASE WHEN lane < 4 THEN 'east' ELSE 'west' END AS direction, count(*) AS total, count(*) FILTER (persistent) AS slow FROM placed WHERE lane >= 0 AND NOT queued GROUP BY 1, 2, 3),
     filled AS (SELECT g.video_id, g.frame_idx, g.direction, coalesce(total, 0) AS total, coalesce(slow, 0) AS slow FROM grid g LEFT JOIN n USING (video_id, frame_idx, direction)),
     summed AS (SELECT *, count(*) OVER w AS frames, sum(total) OVER w AS w_total, sum(slow) OVER w AS w_slow FROM filled WINDOW w AS (PARTITION BY video_id, direction ORDER BY frame_idx RANGE BETWEEN 75 PRECEDING AND 75 FOLLOWING)),
     dense AS (SELECT s.*, (SELECT count(DISTINCT track_id) FROM placed p WHERE p.video_id = s.video_id AND p.lane >= 0 AND NOT p.queued AND p.persistent AND (CASE WHEN p.lane < 4 THEN 'east' ELSE 'west' END) = s.direction AND p.frame_idx BETWEEN s.frame_idx - 75 AND s.frame_idx + 75) AS ids
       FROM summed s WHERE w_total >= 3 * frames AND w_total > 0 AND w_slow >= 0.6e0 * w_total),
-    flagged AS (SELECT * FROM dense WHERE ids >= 4)""",
-    _runs_sql("video_id, direction", 3.0, 15.0, "congestion"),
-))
+    flagged AS (SELECT * FROM dense WHERE ids >= 4)"""
+
+
+@query(_with(_JAMS, _runs_sql("video_id, direction", 3.0, 15.0, "congestion")))
 def congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seg(rules.to_segments(rules.congestion(views.tracks(spark, sf_dir), views.scene(), rules.RELAXED_CONGESTION)))
 
 
+@query(_with(_JAMS, _islands_sql("video_id, direction", 3.0) + " SELECT r.video_id, r.direction, s AS start_frame, e AS end_frame, max(total) AS peak_vehicles FROM runs r JOIN filled f ON f.video_id = r.video_id AND f.direction = r.direction AND f.frame_idx BETWEEN s AND e WHERE (e - s + 15) / 30e0 >= 15e0 GROUP BY 1, 2, 3, 4"))
+def congestion_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most vehicles at one sample of each jam."""
+    found = rules.congestion(views.tracks(spark, sf_dir), views.scene(), rules.RELAXED_CONGESTION)
+    return found.select("video_id", "direction", "start_frame", "end_frame", F.col("peak_vehicles").cast("long").alias("peak_vehicles"))
+
+
+@query("SELECT video_id, frame_idx, track_id, round(x1 * 1280 / 1920e0, 6) AS x1, round(y1 * 720 / 1080e0, 6) AS y1, round(x2 * 1280 / 1920e0, 6) AS x2, round(y2 * 720 / 1080e0, 6) AS y2 FROM tracks")
+def rescaled_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in the pixels of smaller frames, lost ids as -1."""
+    rows = views.tracks(spark, sf_dir).withColumn("track_id", F.when(F.col("track_id") >= 0, F.col("track_id")))
+    out = kinematics.rescaled(rows, (1920, 1080), (1280, 720))
+    return out.select("video_id", "frame_idx", "track_id", *[r6(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+_OTHER_LABELS = "CASE WHEN a % 31 = 0 THEN 'parking' WHEN a % 37 = 0 THEN NULL ELSE label END"
+
+
+@query(f"SELECT label, count(*) AS events, coalesce(label <> 'parking', FALSE) AS kept, CASE WHEN coalesce(label, 'parking') = 'parking' THEN 'not an official label: its events are left out' END AS problem FROM (SELECT {_OTHER_LABELS} AS label FROM predicted) GROUP BY 1")
+def class_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that occur, and which of them count."""
+    return validation.class_check(views.predicted(spark, sf_dir).withColumn("label", F.expr(_OTHER_LABELS)))
+
+
+@plugins.event_source("orders")
+def _orders_source(spark: SparkSession, path: str) -> DataFrame:
+    return views.predicted(spark, path).withColumn("label", F.expr(_OTHER_LABELS))
+
+
+@query(f"SELECT 'orders' AS source, video_id, label, round(\"start\", 6) AS \"start\", round(\"end\", 6) AS \"end\" FROM (SELECT * REPLACE ({_OTHER_LABELS} AS label) FROM predicted) WHERE label <> 'parking'")
+def plugged_in_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a plug-in source, official labels only."""
+    return plugins.detected(spark, sf_dir, ["orders"]).select("source", "video_id", "label", r6("start").alias("start"), r6("end").alias("end"))
+
+
 @query()
 def stopped_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent clustering: checked against a sequential version in the tests."""

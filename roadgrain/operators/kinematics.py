@@ -29,6 +29,14 @@ def with_ground_point(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({"gx": (F.col("x1") + F.col("x2")) / 2, "gy": F.col("y2").cast("double")})
 
 
+def rescaled(detections: DataFrame, size: tuple[float, float], to: tuple[float, float]) -> DataFrame:
+    """Boxes of frames of ``size`` (width, height) in the pixels of frames of ``to``; a
+    missing track_id becomes -1."""
+    sx, sy = to[0] / size[0], to[1] / size[1]
+    scaled = {c: F.col(c) * F.lit(sx if c[0] == "x" else sy) for c in ("x1", "y1", "x2", "y2")}
+    return detections.withColumns(scaled | {"track_id": F.coalesce("track_id", F.lit(-1).cast("long"))})
+
+
 def with_kinematics(tracks: DataFrame, half: int = 1) -> DataFrame:
     """Adds vx, vy, speed, heading: centred differences over up to ``half`` rows to either
     side, over the whole track where those do not span any time. Untracked rows

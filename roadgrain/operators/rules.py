@@ -209,14 +209,17 @@ def congestion_grid(tracks: DataFrame, scene: Scene, th: Congestion) -> DataFram
 @rule("congestion")
 def congestion(tracks: DataFrame, scene: Scene, th: Congestion | None = None) -> DataFrame:
     """Directions on which, over a sliding window, enough vehicles are present, almost all
-    crawl, and enough different ones do. Vehicles waiting at a signal do not count."""
+    crawl, and enough different ones do. Vehicles waiting at a signal do not count.
+    peak_vehicles: the most at one sample between a jam's ends."""
     th = th or Congestion()
     grid = congestion_grid(tracks, scene, th)
     jam = (F.col("w_total") / F.col("frames") >= th.min_vehicles) & (F.col("w_slow") >= th.slow_share * F.col("w_total")) & (F.col("w_total") > 0)
     if th.min_distinct > 1:
         jam = jam & (F.col("distinct") >= th.min_distinct)
-    found = runs.flag_runs(grid, ["video_id", "direction"], jam, th.min_sec, th.gap_sec)
-    return _named(found, "congestion", F.lit(1.0), F.array()).select(*SEGMENT, "direction")
+    keys = ["video_id", "direction"]
+    spans = runs.bridged(grid, keys, jam, th.gap_sec)
+    found = runs.flag_runs(spans, keys, F.lit(True), th.min_sec, th.gap_sec, [F.max("total").alias("peak_vehicles")])
+    return _named(found, "congestion", F.lit(1.0), F.array()).select(*SEGMENT, "direction", "peak_vehicles")
 
 
 def stop_candidates(tracks: DataFrame, scene: Scene, th: Stopped) -> DataFrame:

@@ -30,6 +30,19 @@ def event_problems(events: DataFrame, durations: DataFrame | None = None, labels
     return alone.unionByName(double)
 
 
+def class_check(segments: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """(label, events, kept, problem) of every label that occurs in segments; those outside
+    ``labels`` (null too) are not kept, and the problem says so."""
+    known = F.coalesce(F.col("label").isin(list(labels)), F.lit(False))
+    seen = segments.groupBy("label").agg(F.count("*").alias("events")).withColumn("kept", known)
+    return seen.withColumn("problem", F.when(~F.col("kept"), "not an official label: its events are left out"))
+
+
+def official(segments: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """The segments of class_check's kept labels."""
+    return segments.where(F.col("label").isin(list(labels)))
+
+
 def risk_problems(risk: DataFrame) -> DataFrame:
     """(video_id, pos, problem): the first problem of each video's curve(video_id, pos, t_sec, score)."""
     w = Window.partitionBy("video_id").orderBy("pos")
