@@ -6,8 +6,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from roadgrain.operators import kinematics, rules, runs
+from roadgrain.operators import kinematics, rules, runs, validation
 from roadgrain.operators.zones import Lane, Scene
+from roadgrain.sources import plugins
 
 BOX = {0: (46, 150), 2: (170, 130)}
 SCENE = Scene(
@@ -130,3 +131,32 @@ def test_a_broken_rule_is_skipped(spark):
         assert skipped == ["broken"] and [r["label"] for r in got.collect()] == ["jaywalking"]
     finally:
         del rules.RULES["broken"]
+
+
+def test_bridged_keeps_the_rows_between_a_runs_flagged_ones(spark):
+    rows = spark.createDataFrame([("v", i * 15, i in (2, 4, 20, 21), 30.0, 15, 10 * i) for i in range(24)], "video_id string, frame_idx int, f boolean, fps double, frame_stride int, total int")
+    kept = runs.bridged(rows, ["video_id"], F.col("f"), 3.0)
+    assert sorted(r.frame_idx // 15 for r in kept.collect()) == [2, 3, 4, 20, 21]
+    found = runs.flag_runs(kept, ["video_id"], F.lit(True), 0.5, 3.0, [F.max("total").alias("peak")]).collect()
+    assert sorted((r.start_frame, r.end_frame, r.peak) for r in found) == [(30, 60, 40), (300, 315, 210)]
+    assert runs.bridged(rows.where("false"), ["video_id"], F.col("f"), 3.0).count() == 0
+
+
+def test_sources_and_labels(spark):
+    @plugins.event_source("wrong_way")
+    def source(session, path):
+        return session.createDataFrame([(path, 1.0, 2.0)], "video_id string, start double, end double")
+
+    try:
+        assert [(r.source, r.video_id, r.label, r.score) for r in plugins.detected(spark, "p", ["wrong_way"]).collect()] == [("wrong_way", "p", "wrong_way", 1.0)]
+    finally:
+        del plugins.EVENT_SOURCES["wrong_way"]
+    assert plugins.detected(spark, "p", []).count() == 0
+    labels = spark.createDataFrame([("parking",), (None,), ("congestion",), ("congestion",)], "label string")
+    assert {(r.label, r.events, r.kept, r.problem is None) for r in validation.class_check(labels).collect()} == {("parking", 1, False, False), (None, 1, False, False), ("congestion", 2, True, True)}
+    assert validation.official(labels).count() == 2
+
+
+def test_rescaled_boxes(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, None), (0.0, 0.0, 8.0, 8.0, 5)], "x1 double, y1 double, x2 double, y2 double, track_id long")
+    assert [tuple(r) for r in kinematics.rescaled(rows, (100, 200), (50, 400)).collect()] == [(0.5, 4.0, 1.5, 8.0, -1), (0.0, 0.0, 4.0, 16.0, 5)]
