@@ -30,7 +30,7 @@ LEADERS = 8
 LEADER_TURNS = 3
 #: Lines of a block; every two blocks of a band meet under a key of their own.
 BLOCK = 256
-#: 64-bit words of a line's bitmap in the comparisons with leaders, and in the rest.
+#: 64-bit words of a line's bitmap in the comparisons with a band's smallest line, and in the rest.
 WORDS, WIDE = 16, 32
 #: A line is common when it makes up this share of all lines.
 COMMON = 1000
@@ -200,7 +200,7 @@ def matching_components(distinct: DataFrame) -> DataFrame:
     for turn in range(LEADER_TURNS + 1):
         leaders = turn < LEADER_TURNS
         rows = open_rows(members, found, turn, leaders)
-        if turn == 1:
+        if turn == 0:
             bits = stored(bitmaps(texts.join(rows.select("node").distinct(), "node", "left_semi"), WIDE), "line-bitmaps")
         # a pair compared before lies in two components because it does not match; stored first,
         # so that the bound's code stays small enough to be compiled
