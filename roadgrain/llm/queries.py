@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import embeddings, html_text, line_dedup, mixing, ngram_join, packing, quality, secrets, sharding, token_counts
+from roadgrain.llm import embeddings, html_text, line_dedup, mixing, ngram_join, packing, quality, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_embeddings": embeddings.query,
     "op10_html_text": html_text.query,
+    "op12_warc": warc.query,
 }
-ORACLE_SQL: dict[str, str] = {"op5_ngram_join": ngram_join.oracle(), "op6_mixing": mixing.oracle(), "op8_quality": quality.oracle(), "op9_embeddings": embeddings.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_join": ngram_join.oracle(), "op6_mixing": mixing.oracle(), "op8_quality": quality.oracle(), "op9_embeddings": embeddings.oracle(), "op12_warc": warc.oracle()}
