@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadgrain.llm import embeddings, html_text, line_dedup, merkle, mixing, ngram_join, packing, quality, secrets, sharding, token_counts, warc
+from roadgrain.llm import embeddings, html_text, line_dedup, merkle, mixing, ngram_join, packing, phrases, quality, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_html_text": html_text.query,
     "op11_merkle": merkle.query,
     "op12_warc": warc.query,
+    "op13_phrases": phrases.query,
 }
-ORACLE_SQL: dict[str, str] = {"op5_ngram_join": ngram_join.oracle(), "op6_mixing": mixing.oracle(), "op8_quality": quality.oracle(), "op9_embeddings": embeddings.oracle(), "op11_merkle": merkle.oracle(), "op12_warc": warc.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_join": ngram_join.oracle(), "op6_mixing": mixing.oracle(), "op8_quality": quality.oracle(), "op9_embeddings": embeddings.oracle(), "op11_merkle": merkle.oracle(), "op12_warc": warc.oracle(), "op13_phrases": phrases.oracle()}
