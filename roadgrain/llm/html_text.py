@@ -36,7 +36,9 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fie
 
 _SCAN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(HIDDEN_TEXT)})\b(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</\1\s*>|\Z)"
+    # an element that closes itself is empty; one that never closes ends at its tag, scripts and styles apart
+    rf"|<({'|'.join(HIDDEN_TEXT)})\b(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+(?<!/)>.*?</\1\s*>"
+    r"|<(?:script|style)\b(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+(?<!/)>.*\Z"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"
     r"|(<?[^<]+|<)",
@@ -108,6 +110,11 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=100000)
+def _word_slot(word: str) -> int:
+    return zlib.crc32(word.lower().encode()) % WORD_DIM
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     """One row of DIM numbers per block."""
     x = np.zeros((len(blocks), DIM), np.float32)
@@ -115,8 +122,8 @@ def features(blocks: list[Block]) -> np.ndarray:
         x[k, list(b.path)] = 1
         x[k, PATH_DIM + zlib.crc32(b.leaf.encode()) % LEAF_DIM] = 1
         words = b.text.split(" ")
-        for w in words[:: max(1, len(words) // 16)]:  # up to about 16 words spread over the whole block
-            x[k, PATH_DIM + LEAF_DIM + zlib.crc32(w.lower().encode()) % WORD_DIM] += 1.0 / 16
+        at = np.fromiter((_word_slot(w) for w in words), np.int64, len(words))
+        x[k, PATH_DIM + LEAF_DIM : PATH_DIM + LEAF_DIM + WORD_DIM] = np.bincount(at, minlength=WORD_DIM) / max(16, len(words))
         n = len(b.text)
         x[k, -SHAPE_DIM:] = [math.log1p(n) / 8, b.linked / n, sum(map(b.text.count, ".,;:!?")) / (len(words) + 1), b.depth / 10, k / len(blocks), math.log1p(len(words)) / 6, b.text[-1] in ".!?", 1]
     return x
@@ -322,17 +329,18 @@ def train(words: list[str], seed: int = SEED, pages: int = TRAIN_PAGES, epochs:
 
 
 def sample_words(pages: DataFrame, bound: int = SAMPLE_PAGES) -> list[str]:
-    """Words of at most ``bound`` pages, chosen by a hash of the id."""
+    """All words of at most ``bound`` pages, chosen by a hash of the id."""
     # ids first: a top-k of whole pages would send k of them from every task
     ids = [r[0] for r in pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(bound).collect()]
     rows = pages.where(F.col("page_id").isin(ids)).select("page_id", "html").dropDuplicates(["page_id"]).orderBy("page_id").collect()
-    return sorted({w for r in rows for b in blocks_of(r["html"] or "")[:40] for w in b.text.split(" ")[:40]})
+    return sorted({w for r in rows for b in blocks_of(r["html"] or "") for w in b.text.split(" ")})
 
 
 def extract_main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """(page_id, url, text) for every row of pages: its main-text blocks joined by spaces.
 
-    Null and empty pages, and pages without main text, give an empty text.
+    Null and empty pages, and pages without main text, give an empty text. All
+    words of a block are hashed, however long it is.
     Repeated rows are labelled alike; other columns are ignored; an empty table
     gives no rows. Pages are read whole; no shuffle takes place.
     """

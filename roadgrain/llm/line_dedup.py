@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from roadgrain.llm.shared import connected_components, stored
 
@@ -35,8 +34,6 @@ WORDS, WIDE = 16, 32
 #: A line is common when it makes up this share of all lines.
 COMMON = 1000
 _STARTS = [-(1 << 63) + (2 * j + 1) * ((1 << 63) // BANDS) for j in range(BANDS)]
-#: Hashes that are looked through for ROWS different ones.
-_REACH = 4 * ROWS
 PLACE = ("none", "id", "uid", "pos")
 
 
@@ -60,13 +57,14 @@ def shingle_hashes(line: Column) -> Column:
 
 
 def band_rows(distinct: DataFrame) -> DataFrame:
-    """(node, band) for the BANDS band keys (64 bits) of every line of distinct(node, line)."""
-    ring = distinct.select("node", F.sort_array(shingle_hashes(F.col("line"))).alias("h"))
+    """(node, band) for the BANDS band keys (64 bits) of every line of distinct(node, line). The
+    ring holds a repeated shingle once, so that lines of equal sets get equal keys."""
+    ring = distinct.select("node", F.sort_array(F.array_distinct(shingle_hashes(F.col("line")))).alias("h"))
     starts = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in enumerate(_STARTS)])
     merged = F.sort_array(F.concat("h", F.array(*[F.lit(s) for s in _STARTS])))
-    rows = ring.select("node", F.concat("h", F.slice("h", 1, _REACH)).alias("ring"), merged.alias("merged")).withColumn("x", F.explode(starts))
+    rows = ring.select("node", F.concat("h", F.slice("h", 1, ROWS)).alias("ring"), merged.alias("merged")).withColumn("x", F.explode(starts))
     after = F.array_position("merged", F.col("x.s")).cast("int") - F.col("x.j")
-    return rows.select("node", F.xxhash64("x.j", F.slice(F.array_distinct(F.slice("ring", after, F.lit(_REACH))), 1, ROWS)).alias("band"))
+    return rows.select("node", F.xxhash64("x.j", F.array_distinct(F.slice("ring", after, F.lit(ROWS)))).alias("band"))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -96,8 +94,9 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def band_members(distinct: DataFrame) -> DataFrame:
     """(band, node, src) for every line of a band of two or more; src: its smallest node."""
-    w = Window.partitionBy("band")
-    return stored(band_rows(distinct).select("band", "node", F.min("node").over(w).alias("src"), F.count("*").over(w).alias("n")).where("n > 1").drop("n"), "band-members")
+    rows = stored(band_rows(distinct), "band-rows")
+    least = rows.groupBy("band").agg(F.min("node").alias("src"), F.count("*").alias("n")).where("n > 1")
+    return stored(rows.join(least.drop("n"), "band"), "band-members")
 
 
 def bitmaps(texts: DataFrame, words: int = WORDS) -> DataFrame:

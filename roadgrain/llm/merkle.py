@@ -136,43 +136,45 @@ def depth(size: int) -> int:
     return levels
 
 
-def _subtree(table: pa.Table, done: int) -> Subtree:
-    return Subtree([d.encode() for d in table.column("digest").to_pylist()], max(0, min(LEVELS, depth(table.column("size")[0].as_py()) - done)))
+def _subtree(table: pa.Table, done: int, levels: int) -> Subtree:
+    return Subtree([d.encode() for d in table.column("digest").to_pylist()], max(0, min(levels, depth(table.column("size")[0].as_py()) - done)))
 
 
 def _in_order(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, [("pos", "ascending")]))
 
 
-def _chunk(pos: str = "pos") -> Column:
-    return F.floor(F.col(pos) / CHUNK).cast("long")
+def _chunk(levels: int) -> Column:
+    return F.expr(f"pos div {FANOUT**levels}")
 
 
 def tops(nodes: DataFrame, done: int = 0) -> DataFrame:
     """(group, pos, size, digest) one row for each CHUNK of nodes(group, pos, size, digest):
     the digest LEVELS higher, or the group's single one. size stays that of the leaves."""
+    levels = LEVELS
 
     def build(table: pa.Table) -> pa.Table:
         table = _in_order(table)
-        top = _subtree(table, done).levels[-1]
+        top = _subtree(table, done, levels).levels[-1]
         return pa.table({"group": table.column("group")[:1], "pos": table.column("chunk")[:1], "size": table.column("size")[:1], "digest": [top[0].decode()]})
 
-    return nodes.select("group", "pos", "size", "digest", _chunk().alias("chunk")).groupBy("group", "chunk").applyInArrow(build, "group string, pos long, size long, digest string")
+    return nodes.select("group", "pos", "size", "digest", _chunk(levels).alias("chunk")).groupBy("group", "chunk").applyInArrow(build, "group string, pos long, size long, digest string")
 
 
 def paths(nodes: DataFrame, above: DataFrame, done: int) -> DataFrame:
     """(group, pos, path, top): for nodes(group, pos, size, digest), the siblings at the levels
     of their chunk's subtree and then those of ``above`` (group, pos, path, top) for the chunk."""
+    levels = LEVELS
 
     def climb(table: pa.Table, upper: pa.Table) -> pa.Table:
-        table, tree = _in_order(table), None
-        tree = _subtree(table, done)
+        table = _in_order(table)
+        tree = _subtree(table, done, levels)
         rest, top = upper.column("path")[0].as_py(), upper.column("top")[0].as_py()
         rows = [[{"slot": s, "left": a.decode(), "right": b.decode()} for s, a, b in tree.siblings(at)] + rest for at in range(table.num_rows)]
         kind = pa.list_(pa.struct([("slot", pa.int32()), ("left", pa.string()), ("right", pa.string())]))
         return pa.table({"group": table.column("group"), "pos": table.column("pos"), "path": pa.array(rows, kind), "top": pa.array([top] * table.num_rows, pa.string())})
 
-    low = nodes.withColumn("chunk", _chunk()).groupBy("group", "chunk")
+    low = nodes.withColumn("chunk", _chunk(levels)).groupBy("group", "chunk")
     return low.cogroup(above.groupBy("group", "pos")).applyInArrow(climb, f"group string, pos long, path {PATH}, top string")
 
 
@@ -223,11 +225,12 @@ def folded(leaves: DataFrame, chunks: DataFrame) -> DataFrame:
     """The rows of FOLDED for leaves(group, id, pos, size, leaf, tampered): the digest of each
     leaf's siblings up to the root, and the root with tampered, where it is not null, in the
     leaf's place."""
+    levels = LEVELS
 
     def fold(table: pa.Table, upper: pa.Table) -> pa.Table:
         table = _in_order(table)
         leaf = [x.encode() for x in table.column("leaf").to_pylist()]
-        tree, above = Subtree(leaf, min(LEVELS, depth(table.column("size")[0].as_py()))), UpperPath(upper.column("path")[0].as_py())
+        tree, above = Subtree(leaf, min(levels, depth(table.column("size")[0].as_py()))), UpperPath(upper.column("path")[0].as_py())
         proofs, roots = [], []
         for at, other in enumerate(table.column("tampered").to_pylist()):
             proof = hashlib.sha256()
@@ -240,7 +243,7 @@ def folded(leaves: DataFrame, chunks: DataFrame) -> DataFrame:
         same = {c: pa.array([upper.column(c)[0].as_py()] * table.num_rows, pa.string()) for c in ("subroot", "root")}
         return pa.table({**{c: table.column(c) for c in ("group", "id", "pos", "leaf")}, **same, "proof_sha256": pa.array(proofs, pa.string()), "folded_root": pa.array(roots, pa.string())})
 
-    low = leaves.select("group", "id", "pos", "size", "leaf", "tampered", _chunk().alias("chunk")).groupBy("group", "chunk")
+    low = leaves.select("group", "id", "pos", "size", "leaf", "tampered", _chunk(levels).alias("chunk")).groupBy("group", "chunk")
     return low.cogroup(chunks.groupBy("group", "pos")).applyInArrow(fold, FOLDED)
 
 

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 17
+#: A larger rate is cut into equal parts that are drawn by themselves: a sum of Poisson numbers
+#: is one. This bounds the tables of probabilities, and so what is broadcast.
+MAX_RATE = 64.0
+#: Copy numbers of one part; no table has as many entries.
+STRIDE = 256
 #: Production weights: twenty sources, each twice as heavy as the one four steps on.
 WEIGHTS = {f"src{i}": 2.0 ** -(i // 4) for i in range(20)}
 
@@ -42,7 +47,7 @@ def target_rates(docs: DataFrame, weights: dict[str, float], source: str = "sour
 
 def poisson_cdf(rate: float) -> list[float]:
     """Cumulative Poisson probabilities of 0, 1, ... far into the tail; the terms come
-    from their logarithms, so that large rates do not underflow."""
+    from their logarithms."""
     last = math.ceil(rate + 12 * math.sqrt(rate) + 20)
     return list(accumulate(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(last + 1)))
 
@@ -52,25 +57,31 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = SEED, to
 
     The count of a row inverts the Poisson distribution whose mean is its
     source's rate at a number hashed from its id and the seed; a row with
-    count 0 goes. Adds copy (0, 1, ...) and shuffle_key, by which the rows are
-    spread and sorted: a seeded random global order. Columns of those names are
+    count 0 goes. A rate over MAX_RATE is cut into parts, each with a number of
+    its own. Adds copy (0, 1, ..., and from STRIDE * p on for part p) and
+    shuffle_key, by which the rows are spread and sorted: a seeded random global
+    order. Columns of those names are
     replaced. Repeated rows have equal ids, so equal counts. A null id hashes
     as an empty string. Rows of sources without a weight (null sources among
     them) go, or stay once with ``keep_unweighted``. Empty tables stay empty.
     """
     plain = docs.drop("copy", "shuffle_key")
     spark, rates = docs.sparkSession, target_rates(docs, weights, source, total)
-    # one row per weighted source: len(weights) bounds the broadcast side
-    small = spark.createDataFrame([(s, poisson_cdf(r)) for s, r in rates.items()], "__source string, __cdf array<double>")
-    name = F.col(source).cast("string")
-    joined = plain.join(F.broadcast(small), name == F.col("__source"), "left").withColumn("__u", uniform(F.col(id_col), seed))
-    drawn = F.size(F.filter("__cdf", lambda p: p < F.col("__u")))
-    unlisted = name.isNull() | ~name.isin(list(weights)) if weights else F.lit(True)
-    count = F.when(F.col("__cdf").isNotNull(), drawn).when(F.lit(keep_unweighted) & unlisted, 1).otherwise(0)
-    counted = joined.withColumn("__n", count).where("__n > 0")
-    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    key = _md5_number(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.col("copy").cast("string"), F.lit(f"|{seed}"), digits=15)
-    out = out.select(*plain.columns, "copy", key.alias("shuffle_key"))
+    # one row per weighted source with at most STRIDE numbers: len(weights) bounds the broadcast side
+    parts = {s: max(1, math.ceil(r / MAX_RATE)) for s, r in rates.items()}
+    small = spark.createDataFrame([(s, parts[s], poisson_cdf(r / parts[s])) for s, r in rates.items()], "name string, parts int, cdf array<double>")
+    # the row in a struct: its columns may have any name
+    row = F.struct(*[F.col(f"`{c}`") for c in plain.columns])
+    keyed = plain.select(row.alias("row"), F.col(source).cast("string").alias("name"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
+    joined = keyed.join(F.broadcast(small), "name", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    key = F.when(F.col("part") == 0, F.col("id")).otherwise(F.concat("id", F.lit("|part"), F.col("part").cast("string")))
+    drawn = joined.withColumn("u", uniform(key, seed))
+    unlisted = F.col("name").isNull() | ~F.col("name").isin(list(weights)) if weights else F.lit(True)
+    count = F.when(F.col("cdf").isNotNull(), F.size(F.filter("cdf", lambda p: p < F.col("u")))).when(F.lit(keep_unweighted) & unlisted, 1).otherwise(0)
+    counted = drawn.withColumn("n", count).where("n > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    out = counted.withColumn("copy", F.col("part").cast("long") * STRIDE + F.col("at"))
+    key = _md5_number(F.col("id"), F.lit("|"), F.col("copy").cast("string"), F.lit(f"|{seed}"), digits=15)
+    out = out.select("row.*", "copy", key.alias("shuffle_key"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy")
 
@@ -87,11 +98,12 @@ def oracle(weights: dict[str, float] = WEIGHTS, seed: int = SEED, docs: str = "d
     counts AS (SELECT source, count(*) AS n FROM {docs} GROUP BY source),
     live AS (SELECT source, w, n FROM weights JOIN counts USING (source) WHERE w > 0),
     rates AS (SELECT source, w / (SELECT sum(w) FROM live) * (SELECT count(*) FROM {docs}) / n AS rate FROM live),
-    terms AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
-              FROM rates, LATERAL (SELECT unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT) + 1)) AS k)),
-    cdf AS (SELECT source, list(c ORDER BY k) AS c
-            FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source),
-    drawn AS (SELECT d.*, len(list_filter(c, lambda x: x < (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{seed}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS n
-              FROM {docs} d JOIN cdf USING (source)),
-    copies AS (SELECT * EXCLUDE (n), unnest(range(0, n))::INT AS copy FROM drawn WHERE n > 0)
+    terms AS (SELECT source, parts, k, exp(k * ln(rate / parts) - rate / parts - lgamma(k + 1)) AS p
+              FROM (SELECT *, greatest(1, CAST(ceil(rate / {MAX_RATE}) AS BIGINT)) AS parts FROM rates), LATERAL (SELECT unnest(range(0, CAST(ceil(rate / parts + 12 * sqrt(rate / parts) + 20) AS BIGINT) + 1)) AS k)),
+    cdf AS (SELECT source, parts, list(c ORDER BY k) AS c
+            FROM (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source, parts),
+    dealt AS (SELECT d.*, c, unnest(range(0, parts)) AS part FROM {docs} d JOIN cdf USING (source)),
+    drawn AS (SELECT *, len(list_filter(c, lambda x: x < (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN part > 0 THEN '|part' || part ELSE '' END || '|{seed}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS n
+              FROM dealt),
+    copies AS (SELECT * EXCLUDE (n, c, part), part * {STRIDE} + unnest(range(0, n))::BIGINT AS copy FROM drawn WHERE n > 0)
     SELECT *, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy || '|{seed}'), 1, 15))::BIGINT AS shuffle_key FROM copies"""

@@ -302,8 +302,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of docs, columns unchanged, that stand for their group: one row of the
     smallest doc_id of each component."""
-    stay = near_duplicates(docs).where("node = component").select(F.col("node").alias("__node")).distinct()
-    return docs.withColumn("__node", F.expr(NODE)).join(stay, "__node").dropDuplicates(["__node"]).select(*docs.columns)
+    stay = near_duplicates(docs).where("node = component").select("node").distinct()
+    # the row in a struct: its columns may have any name
+    rows = docs.select(F.expr(NODE).alias("node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(stay, "node").dropDuplicates(["node"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

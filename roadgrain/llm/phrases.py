@@ -15,6 +15,7 @@ tasks, tells which are; it may let rarer ones pass, whose exact counts drop them
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,6 @@ TRIGGER = 16
 FILTER_BITS, PROBES = 1 << 27, 2
 #: Bytes of dictionary that are counted at once.
 COUNT_BYTES = 8 << 20
-#: Candidates of one bucket of the first ranking.
-BUCKET = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -52,7 +51,7 @@ def _windows(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def parse(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+def parse(texts: pa.Array, trigger_of: int = TRIGGER) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
     """The chunks of whole texts, in groups of texts: (text number, words joined by spaces,
     whether its piece ends with it)."""
     for part in chunks(texts):
@@ -74,7 +73,7 @@ def parse(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
         # windows that trigger: a chunk ends with them and the next begins there
         window = _windows(span_hashes(data, starts, ends), OVERLAP)
         trigger = np.zeros(n, bool)
-        trigger[: len(window)] = (window % np.uint64(TRIGGER) == 0) & (piece[: len(window)] == piece[OVERLAP - 1 :])
+        trigger[: len(window)] = (window % np.uint64(trigger_of) == 0) & (piece[: len(window)] == piece[OVERLAP - 1 :])
         first = np.flatnonzero(fresh | trigger)
         final = np.concatenate([fresh[first[1:]], [True]])
         last = np.concatenate([first[1:], [n]]) + np.where(final, 0, OVERLAP)
@@ -92,11 +91,12 @@ def parse(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
 def parsed(docs: DataFrame) -> DataFrame:
     """(lang, chunk, final, count): the dictionary of all texts' chunks (null text: none; null
     lang: und), with how often each stands in them."""
+    trigger_of = TRIGGER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column("lang")
-            for owner, chunk, final in parse(batch.column("text")):
+            for owner, chunk, final in parse(batch.column("text"), trigger_of):
                 columns = [pc.take(lang, pa.array(owner)), chunk.cast(pa.string()), pa.array(final)]
                 counted = pa.table(columns, names=["lang", "chunk", "final"]).group_by(["lang", "chunk", "final"]).aggregate([([], "count_all")])
                 yield from counted.select(["lang", "chunk", "final", "count_all"]).rename_columns(["lang", "chunk", "final", "count"]).combine_chunks().to_batches()
@@ -105,8 +105,8 @@ def parsed(docs: DataFrame) -> DataFrame:
     return each.groupBy("lang", "chunk", "final").agg(F.sum("count").alias("count"))
 
 
-def _probes(hashes: np.ndarray) -> list[np.ndarray]:
-    return [mix(hashes + np.uint64(k)) % np.uint64(FILTER_BITS) for k in range(PROBES)]
+def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [mix(hashes + np.uint64(k)) % np.uint64(bits) for k in range(PROBES)]
 
 
 class Phrases:
@@ -143,13 +143,13 @@ def hash_of(text: str) -> int:
     return int(span_hashes(data, np.zeros(1, np.int64), np.array([len(data)], np.int64))[0])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined to about COUNT_BYTES each."""
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Batches joined to about ``least`` bytes each."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= COUNT_BYTES:
+        if size >= least:
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
@@ -161,9 +161,10 @@ def counted(dictionary: DataFrame, width: int, frequent=None) -> DataFrame:
     count), all occurrences, LEAST or more. frequent: a broadcast filter of the shorter ones;
     a phrase goes unless both that it holds pass. Within a task phrases are told apart by 64
     bits of hash, between tasks by their words."""
+    least = COUNT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _gathered(batches):
+        for table in _gathered(batches, least):
             if not table.num_rows:
                 continue
             p = Phrases(table)
@@ -177,7 +178,7 @@ def counted(dictionary: DataFrame, width: int, frequent=None) -> DataFrame:
                 bits = np.frombuffer(frequent.value, np.uint8)
                 short = p.hashes(width - 1)
                 known = np.ones(len(short), bool)
-                for probe in _probes(short):
+                for probe in _probes(short, 8 * len(bits)):
                     known &= (bits[probe >> np.uint64(3)] >> (probe & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
                 keep &= known[:n] & known[1 : n + 1]
             at = np.flatnonzero(keep)
@@ -202,16 +203,17 @@ def counted(dictionary: DataFrame, width: int, frequent=None) -> DataFrame:
 def frequent_filter(phrases: DataFrame, width: int):
     """A broadcast filter of FILTER_BITS bits that holds all of phrases(lang, phrase); its size
     does not depend on their number. Tasks make the words of 64 bits that are not zero."""
+    size = FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p = Phrases(pa.table({"chunk": batch.column("phrase"), "lang": batch.column("lang")}))
-                for probe in _probes(p.hashes(width)[np.searchsorted(p.starts, p.offsets[:-1])]):
+                for probe in _probes(p.hashes(width)[np.searchsorted(p.starts, p.offsets[:-1])], size):
                     yield pa.RecordBatch.from_arrays([pa.array(probe.astype(np.int64))], ["bit"])
 
     words = phrases.mapInArrow(run, "bit long").groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = np.zeros(size // 64, np.int64)
     for batch in words.toArrow().to_batches():
         bits[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
     return phrases.sparkSession.sparkContext.broadcast(bits.tobytes())
@@ -269,11 +271,12 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     und; equal scores go by a, then by the phrase's bytes. Repeated rows count
     each time; other columns are ignored; an empty table gives no rows. The
     first ranking runs in buckets of a language, so that no task orders all
-    of a large one; only their first ``top`` meet.
+    of a large one; only their first ``top`` meet. With c candidates neither
+    ranking gives a task many more than sqrt(c * top).
     """
     counts, totals = phrase_counts(docs)
     kept = stored(without_parts(stored(scored(counts), "phrase-scores")), "phrase-candidates")
-    buckets = max(1, -(-kept.count() // BUCKET))
+    buckets = max(1, math.ceil(math.sqrt(kept.count() / top)))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     first = kept.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*order))).where(F.col("rank") <= top)
     ranks = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)

@@ -186,7 +186,9 @@ class RangeReader(DataSourceReader):
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".warc.gz") and "/_" not in f.path.removeprefix(root))
         return [ByteRange(p, at, min(at + self.split_bytes, n)) for p, n in files for at in range(0, n, self.split_bytes)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files
+            return
         kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in PLACED.split(", "))])
         store, _ = _located(self.uri)
         rows, held = [], 0
