@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions import geometry as g
 from roadgrain.functions import scalars as s
-from roadgrain.operators import eda, evaluation, intervals, kinematics, poses, review, risk, rules, runs, sampling, signals, validation, zones
+from roadgrain.operators import eda, evaluation, intervals, kinematics, poses, review, risk, rules, runs, sampling, scenes, signals, validation, zones
 from roadgrain.plans import views
-from roadgrain.sources import documents, plugins
+from roadgrain.sources import documents, plugins, staging
 from roadgrain.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,12 +196,67 @@ def stopped_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seg(rules.to_segments(rules.stopped_vehicle(views.tracks(spark, sf_dir), views.scene())))
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cameras' scenes, read from their documents and rescaled to their videos."""
+    docs = views.cameras(spark, sf_dir)
+    return scenes.rescaled(documents.scene_rows(documents.scenes(docs)), docs.select("camera_id", "width", "height"))
+
+
+def _by_camera(spark: SparkSession, sf_dir: str, labels: list[str] | None = None) -> DataFrame:
+    """Rules over many cameras in one plan: one table of zones and speeds for all of them."""
+    rows = kinematics.with_kinematics(views.with_camera(views.tracks(spark, sf_dir)))
+    relaxed = {"wrong_way": rules.RELAXED_WRONG_WAY, "congestion": rules.RELAXED_CONGESTION}
+    return rules.run_rules(rows, scenes.SceneTable.of(_drawn(spark, sf_dir)), labels, relaxed, keep=staging.staged)
+
+
 @query()
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule over one set of tracks, finalised per video."""
-    rows = kinematics.with_kinematics(views.tracks(spark, sf_dir))
-    found = rules.run_rules(rows, views.scene(), thresholds={"wrong_way": rules.RELAXED_WRONG_WAY, "congestion": rules.RELAXED_CONGESTION})
-    return _seg(intervals.finalise(found.withColumn("duration", F.lit(100.0))))
+    """Every rule over the cameras' scenes, finalised per video."""
+    return _seg(intervals.finalise(_by_camera(spark, sf_dir).withColumn("duration", F.lit(100.0))))
+
+
+@query(_with(views.CAMERA_SQL, "SELECT video_id, count(*) AS n, " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in ("on_road", "in_crossing", "in_queue", "judged")) + ", CAST(sum(lane) AS BIGINT) AS lanes, count(*) FILTER (direction IN ('east', 'cluster0')) AS east FROM zoned GROUP BY video_id"))
+def zones_by_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of scene documents by their cover of cells."""
+    rows = scenes.SceneTable.of(_drawn(spark, sf_dir)).index(views.with_camera(views.tracks(spark, sf_dir)))
+    counts = [F.count_if(c).alias(n) for c, n in (("on_road", "on_road"), ("in_crossing", "in_crossing"), ("in_queue", "in_queue"), ("lane_judged", "judged"))]
+    return rows.groupBy("video_id").agg(F.count("*").alias("n"), *counts, F.sum("lane_ord").cast("long").alias("lanes"), F.count_if(F.col("direction").isin("east", "cluster0")).alias("east"))
+
+
+_FAR = "NOT EXISTS (SELECT 1 FROM kerbs e WHERE e.camera_id = p.camera_id AND e.kind = '{kind}' AND sqrt((p.gx - ax - (bx - ax) * t) ** 2 + (p.gy - ay - (by_ - ay) * t) ** 2) < {margin} * greatest(p.y2 - p.y1, 1))"
+_FAR = _FAR.replace(" t)", " greatest(0, least(1, ((p.gx - ax) * (bx - ax) + (p.gy - ay) * (by_ - ay)) / greatest((bx - ax) ** 2 + (by_ - ay) ** 2, 1e-9))))")
+_JAYWALKS = f"""walkers AS (SELECT * FROM zoned p WHERE cls = 0 AND track_id >= 0 AND on_road AND NOT in_crossing AND conf >= 0.45e0 AND NOT (x1 <= 2 OR x2 >= 1918 OR y2 >= 1078)
+      AND {_FAR.format(kind="carriageway", margin="0.75e0")} AND {_FAR.format(kind="crossings", margin="0.25e0")}),
+    flagged AS (SELECT * FROM walkers p WHERE NOT EXISTS (SELECT 1 FROM tracks v WHERE v.cls IN (2, 3, 5, 7) AND v.video_id = p.video_id AND v.frame_idx = p.frame_idx
+      AND greatest(0, least(v.x2, p.x2) - greatest(v.x1, p.x1)) * greatest(0, least(v.y2, p.y2) - greatest(v.y1, p.y1)) / greatest((p.x2 - p.x1) * (p.y2 - p.y1), 1e-6) >= 0.5e0))"""
+_ASTRAY = _KINEMATICS.replace("FROM tracks", "FROM zoned") + """, opposed AS (SELECT *, CASE WHEN lane < 4 THEN 1e0 ELSE -1e0 END AS dx FROM moving WHERE cls IN (2, 3, 5, 7) AND judged AND conf >= 0.30e0 AND sqrt(vx*vx + vy*vy) >= 0.3e0 * greatest(y2 - y1, 1)
+      AND degrees(acos(greatest(-1, least(1, vx * (CASE WHEN lane < 4 THEN 1e0 ELSE -1e0 END) / greatest(sqrt(vx*vx + vy*vy), 1e-9))))) >= 120)"""
+_BY_CAMERA_JAMS = (
+    _JAMS.replace("cars AS (SELECT * FROM tracks", "cars AS (SELECT * FROM zoned").replace(f", placed AS (SELECT *, {_LANE} AS lane, {_QUEUE} AS queued FROM held)", ", placed AS (SELECT *, in_queue AS queued FROM crawled)").replace("held AS", "crawled AS")
+    .replace("(VALUES ('east'), ('west')) d(direction)", "(VALUES (0), (1)) d(side)").replace("SELECT video_id, frame_idx, direction FROM (SELECT DISTINCT video_id, frame_idx FROM cars)", "SELECT video_id, frame_idx, CASE WHEN CAST(substr(camera_id, 2) AS INT) % 2 = 0 THEN CASE side WHEN 0 THEN 'east' ELSE 'west' END ELSE CASE side WHEN 0 THEN 'cluster0' ELSE 'cluster1' END END AS direction FROM (SELECT DISTINCT video_id, frame_idx, camera_id FROM cars)")
+    .replace("CASE WHEN lane < 4 THEN 'east' ELSE 'west' END AS direction", "direction").replace("(CASE WHEN p.lane < 4 THEN 'east' ELSE 'west' END)", "p.direction")
+)
+
+
+@query(_with(views.CAMERA_SQL + ", " + _JAYWALKS, _runs_sql("video_id, track_id", 1.0, 2.0, "jaywalking")))
+def jaywalking_by_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seg(_by_camera(spark, sf_dir, ["jaywalking"]))
+
+
+@query(_with(
+    views.CAMERA_SQL + ", " + _ASTRAY + """, stepped AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx) > 45 THEN 1 ELSE 0 END AS fresh FROM opposed),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS island FROM stepped),
+    found AS (SELECT video_id, track_id, min(frame_idx) AS s, max(frame_idx) AS e, count(*) AS n, avg(dx) AS ax, min_by(gx, frame_idx) AS g0, max_by(gx, frame_idx) AS g1, median(greatest(y2 - y1, 1)) AS unit FROM islands GROUP BY video_id, track_id, island)""",
+    """SELECT video_id, 'wrong_way' AS label, round(s / 30e0, 6) AS "start", round((e + 15) / 30e0, 6) AS "end" FROM found
+    WHERE (e - s + 15) / 30e0 >= 1.5e0 AND n >= 2 AND abs(ax) >= 1e-6 AND -(g1 - g0) * ax / abs(ax) >= unit""",
+))
+def wrong_way_by_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seg(_by_camera(spark, sf_dir, ["wrong_way"]))
+
+
+@query(_with(views.CAMERA_SQL + ", " + _BY_CAMERA_JAMS, _runs_sql("video_id, direction", 3.0, 15.0, "congestion")))
+def congestion_by_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seg(_by_camera(spark, sf_dir, ["congestion"]))
 
 
 @query(_with("walk AS (SELECT * FROM tracks WHERE cls = 0 AND track_id >= 0 AND gy BETWEEN 290 AND 762), grid AS (SELECT unnest([1e0, 2e0, 4e0]) AS least)", """, stepped AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx) > 30e0 + 15 THEN 1 ELSE 0 END AS fresh FROM walk),

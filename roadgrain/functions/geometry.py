@@ -66,10 +66,13 @@ def point_in_polygon(x: Column | str, y: Column | str, polygon: Column | Vertice
             edge = edge | _on_edge(x, y, *s)
             odd = odd + _crossed(x, y, *s).cast("int")
         return near & (edge | (odd % 2 == 1))
-    ring = edges(polygon)
+    return F.coalesce((F.size(polygon) >= 3) & in_edges(x, y, edges(polygon)), F.lit(False))
+
+
+def in_edges(x: Column, y: Column, ring: Column) -> Column:
+    """Containment by a polygon's edges, or by those of them that a ray to the right may meet."""
     parts = lambda e: (e["ax"], e["ay"], e["bx"], e["by"])
-    inside = F.exists(ring, lambda e: _on_edge(x, y, *parts(e))) | (F.size(F.filter(ring, lambda e: _crossed(x, y, *parts(e)))) % 2 == 1)
-    return F.coalesce((F.size(polygon) >= 3) & inside, F.lit(False))
+    return F.exists(ring, lambda e: _on_edge(x, y, *parts(e))) | (F.size(F.filter(ring, lambda e: _crossed(x, y, *parts(e)))) % 2 == 1)
 
 
 def distance_to_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -62,17 +62,17 @@ def _at(outer: Column, inner: Column, when: Column) -> Column:
     return F.struct(F.when(w.isNull(), inner["t_sec"]).otherwise(when).alias("t_sec"), mid("gx").alias("gx"), mid("gy").alias("gy"))
 
 
-def with_sustained_speed(tracks: DataFrame, window_sec: float = 2.0) -> DataFrame:
+def with_sustained_speed(tracks: DataFrame, window_sec: float = 2.0, also: Sequence[str] = ()) -> DataFrame:
     """Adds sustained_speed: net movement between the interpolated positions half a window
     before and after (cut to the track), by the time between them. Infinite for
-    untracked rows and tracks that span no time.
+    untracked rows and tracks that span no time. also: columns that part a track's rows too.
 
     The later side is a preceding frame over the descending order: frames that
     reach to the end of a partition would take quadratic time.
     """
     half, reach = window_sec / 2, round(window_sec * 500_000)
     point = F.struct("t_sec", "gx", "gy")
-    up, down = Window.partitionBy(*_part()).orderBy("__us"), Window.partitionBy(*_part()).orderBy(F.desc("__us"))
+    up, down = Window.partitionBy(*_part(), *also).orderBy("__us"), Window.partitionBy(*_part(), *also).orderBy(F.desc("__us"))
     found = {}
     for name, w in (("back", up), ("ahead", down)):
         found[f"__{name}_outer"] = F.last(point).over(w.rangeBetween(Window.unboundedPreceding, -reach))

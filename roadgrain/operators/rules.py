@@ -2,6 +2,9 @@
 wrong-way travel, congestion. Every rule returns frame segments
 (video_id, label, start_frame, end_frame, fps, frame_stride, score, track_ids).
 
+A scene is one camera's ``Scene``, or a ``SceneTable`` of many, whose key the tracks carry.
+``prepared`` adds the zones and speeds that rules share; rules take them from there.
+
 tracks: video_id, frame_idx, t_sec, track_id, cls, conf, x1, y1, x2, y2, gx, gy, fps,
 frame_stride (and vx, vy, speed for wrong-way travel).
 """
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from roadgrain.functions import geometry as g
 from roadgrain.functions import scalars as s
 from roadgrain.operators import kinematics, runs
+from roadgrain.operators.scenes import SceneTable
 from roadgrain.operators.zones import Scene, border_distance, zone_index
 
 SEGMENT = ("video_id", "label", "start_frame", "end_frame", "fps", "frame_stride", "score", "track_ids")
@@ -111,21 +115,45 @@ def dense_enough(tracks: DataFrame, max_sample_sec: float) -> DataFrame:
     return tracks.where(F.col("frame_stride") / s.frame_rate() <= max_sample_sec)
 
 
+def _indexed(tracks: DataFrame, scene: Scene | SceneTable) -> DataFrame:
+    if "on_road" in tracks.columns:
+        return tracks
+    return scene.index(tracks) if isinstance(scene, SceneTable) else zone_index(tracks, scene)
+
+
+def _with_speed(rows: DataFrame) -> DataFrame:
+    return rows if "sustained_speed" in rows.columns else kinematics.with_sustained_speed(rows)
+
+
+def _frame(scene: Scene | SceneTable) -> tuple[Column, Column]:
+    return scene.frame() if isinstance(scene, SceneTable) else (F.lit(scene.width), F.lit(scene.height))
+
+
+def _clear_of(rows: DataFrame, scene: Scene | SceneTable, kind: str, margin: Column) -> DataFrame:
+    """The rows that lie ``margin`` or more from the edges of a kind of area."""
+    if isinstance(scene, SceneTable):
+        return scene.clear_of(rows, kind, margin)
+    return rows.where(border_distance(scene, kind) >= margin) if getattr(scene, kind) else rows
+
+
+def prepared(tracks: DataFrame, scene: Scene | SceneTable) -> DataFrame:
+    """tracks with the zone index, and the sustained speeds of vehicles, that the rules share."""
+    moving = F.col("cls").isin(list(s.VEHICLES))
+    return kinematics.with_sustained_speed(_indexed(tracks, scene).withColumn("__vehicle", moving), also=["__vehicle"]).drop("__vehicle")
+
+
 def _named(found: DataFrame, label: str, score: Column, ids: Column) -> DataFrame:
     return found.withColumns({"label": F.lit(label), "score": score.cast("double"), "track_ids": ids.cast("array<long>")})
 
 
 @rule("jaywalking")
-def jaywalking(tracks: DataFrame, scene: Scene, th: Jaywalking | None = None) -> DataFrame:
+def jaywalking(tracks: DataFrame, scene: Scene | SceneTable, th: Jaywalking | None = None) -> DataFrame:
     """Tracked people on the road, off the crossings and clear of kerbs, not riding."""
     th = th or Jaywalking()
-    rows = zone_index(persons(tracks), scene)
+    rows = _indexed(persons(tracks), scene)
     size = s.box_height()
-    cheap = (F.col("track_id") >= 0) & F.col("on_road") & ~F.col("in_crossing") & (F.col("conf") >= th.min_conf) & ~s.cut_by_frame(F.lit(scene.width), F.lit(scene.height))
-    far = border_distance(scene, "carriageway") >= th.kerb_margin * size
-    if scene.crossings:
-        far = far & (border_distance(scene, "crossings") >= th.crossing_margin * size)
-    walking = rows.where(cheap).where(far)
+    cheap = (F.col("track_id") >= 0) & F.col("on_road") & ~F.col("in_crossing") & (F.col("conf") >= th.min_conf) & ~s.cut_by_frame(*_frame(scene))
+    walking = _clear_of(_clear_of(rows.where(cheap), scene, "carriageway", th.kerb_margin * size), scene, "crossings", th.crossing_margin * size)
     box = ("x1", "y1", "x2", "y2")
     v = vehicles(tracks).select(F.col("video_id").alias("v_video"), F.col("frame_idx").alias("v_frame"), *[F.col(c).alias(f"v{c}") for c in box])
     riding = (F.col("video_id") == F.col("v_video")) & (F.col("frame_idx") == F.col("v_frame")) & (g.box_share(box, tuple(f"v{c}" for c in box)) >= th.rider_share)
@@ -135,10 +163,10 @@ def jaywalking(tracks: DataFrame, scene: Scene, th: Jaywalking | None = None) ->
 
 
 @rule("wrong_way")
-def wrong_way(tracks: DataFrame, scene: Scene, th: WrongWay | None = None) -> DataFrame:
+def wrong_way(tracks: DataFrame, scene: Scene | SceneTable, th: WrongWay | None = None) -> DataFrame:
     """Tracks that move against their lane, by angle and by net progress along its axis."""
     th = th or WrongWay()
-    rows = zone_index(vehicles(dense_enough(tracks, th.max_sample_sec)), scene)
+    rows = _indexed(vehicles(dense_enough(tracks, th.max_sample_sec)), scene)
     angle = g.heading_vs_lane(F.col("vx"), F.col("vy"), F.col("lane_dx"), F.col("lane_dy"))
     opposed = (F.col("track_id") >= 0) & (F.col("speed") >= th.min_speed * s.box_height()) & F.col("lane_judged") & (F.col("conf") >= th.min_conf) & (angle >= th.min_angle_deg)
     point = F.struct("gx", "gy")
@@ -174,40 +202,65 @@ def direction_groups(scene: Scene, tolerance_deg: float = 45.0) -> dict[str, str
     return out
 
 
-def with_lane_direction_group(rows: DataFrame, scene: Scene, tolerance_deg: float = 45.0) -> DataFrame:
-    """Adds direction, the group of the row's lane (null: none)."""
+def with_lane_direction_group(rows: DataFrame, scene: Scene | SceneTable, tolerance_deg: float = 45.0) -> DataFrame:
+    """Adds direction, the group of the row's lane (null: none); a table's index has it."""
+    if isinstance(scene, SceneTable):
+        return rows
     pairs = [F.lit(x) for kv in direction_groups(scene, tolerance_deg).items() for x in kv]
     return rows.withColumn("direction", F.create_map(*pairs)[F.col("lane_id")] if pairs else F.lit(None).cast("string"))
 
 
-def congestion_grid(tracks: DataFrame, scene: Scene, th: Congestion) -> DataFrame:
+def _every_direction(frames: DataFrame, scene: Scene | SceneTable, tolerance_deg: float) -> DataFrame:
+    """frames times the direction groups of their scene."""
+    if isinstance(scene, SceneTable):
+        return scene.every_direction(frames, tolerance_deg)
+    groups = sorted(set(direction_groups(scene, tolerance_deg).values()))
+    return frames.withColumn("direction", F.explode(F.array(*[F.lit(x) for x in groups]) if groups else F.array().cast("array<string>")))
+
+
+def congestion_grid(tracks: DataFrame, scene: Scene | SceneTable, th: Congestion) -> DataFrame:
     """Per frame with any vehicle and direction: total and slow countable vehicles, and the
-    window's sums: (video_id, frame_idx, direction, total, slow, frames, w_total, w_slow, distinct)."""
-    rows = vehicles(dense_enough(tracks, th.max_sample_sec))
-    rows = kinematics.with_sustained_speed(rows).withColumn("slow_now", F.col("sustained_speed") <= th.crawl_speed * s.box_height())
+    window's sums: (video_id, frame_idx, direction, total, slow, frames, w_total, w_slow, distinct).
+
+    distinct counts the tracks that are slow somewhere in the window without holding their
+    ids: a track's slow samples, each reaching half a window to both sides, cover intervals;
+    where one opens the count rises, behind its end it falls, and a running sum is the count.
+    """
+    rows = _with_speed(vehicles(dense_enough(tracks, th.max_sample_sec)))
+    rows = rows.withColumn("slow_now", F.col("sustained_speed") <= th.crawl_speed * s.box_height())
     rows = runs.persistent(rows, "slow_now", th.persist_sec)
-    rows = with_lane_direction_group(zone_index(rows, scene), scene, th.group_tolerance_deg)
+    rows = with_lane_direction_group(_indexed(rows, scene), scene, th.group_tolerance_deg)
     countable = F.col("direction").isNotNull() & ~F.col("in_queue") & (F.col("track_id") >= 0)
-    slow = countable & F.col("persistent")
+    # frames in millionths of half a window: its two ends are whole numbers away
+    half, reach = 1_000_000, th.window_sec * s.frame_rate()
+    rows = rows.withColumns({"__at": F.round(2 * half * F.col("frame_idx").cast("double") / reach).cast("long"), "__slow": countable & F.col("persistent")})
+    w = Window.partitionBy("video_id", "track_id", F.when(F.col("track_id") < 0, F.col("frame_idx")).otherwise(-1), "direction", "__slow").orderBy("__at")
+    opens = F.col("__slow") & F.coalesce(F.col("__at") - F.lag("__at").over(w) > 2 * half + 1, F.lit(True))
+    ends = F.col("__slow") & F.coalesce(F.lead("__at").over(w) - F.col("__at") > 2 * half + 1, F.lit(True))
+    rows = rows.withColumns({"__opens": opens, "__ends": ends})
+    key = [F.max(scene.key).alias(scene.key)] if isinstance(scene, SceneTable) and scene.key != "video_id" else []
     per = rows.groupBy("video_id", "frame_idx", F.when(countable, F.col("direction")).alias("direction")).agg(
-        F.count("*").alias("total"), F.count_if(slow).alias("slow"), F.collect_set(F.when(slow, F.col("track_id"))).alias("ids"), F.max("fps").alias("fps"), F.max("frame_stride").alias("frame_stride")
+        F.count("*").alias("total"), F.count_if("__slow").alias("slow"), F.count_if("__opens").alias("opens"), F.count_if("__ends").alias("ends"), F.max("__at").alias("at"), F.max("fps").alias("fps"), F.max("frame_stride").alias("frame_stride"), *key
     )
-    groups = sorted(set(direction_groups(scene, th.group_tolerance_deg).values()))
-    frames = per.groupBy("video_id", "frame_idx").agg(F.max("fps").alias("fps"), F.max("frame_stride").alias("frame_stride"), F.collect_list(F.struct("direction", "total", "slow", "ids")).alias("seen"))
+    more = [F.max(scene.key).alias(scene.key)] if key else []
+    frames = per.groupBy("video_id", "frame_idx").agg(F.max("fps").alias("fps"), F.max("frame_stride").alias("frame_stride"), F.max("at").alias("at"), F.collect_list(F.struct("direction", "total", "slow", "opens", "ends")).alias("seen"), *more)
     # a row per frame and group, also where the group has no vehicle: zero-filled, without a join
-    grid = frames.withColumn("direction", F.explode(F.array(*[F.lit(x) for x in groups]) if groups else F.array().cast("array<string>")))
+    grid = _every_direction(frames, scene, th.group_tolerance_deg)
     mine = F.try_element_at(F.filter("seen", lambda x: x["direction"] == F.col("direction")), F.lit(1))
-    grid = grid.withColumn("__mine", mine).withColumns({"total": F.coalesce(F.col("__mine.total"), F.lit(0)), "slow": F.coalesce(F.col("__mine.slow"), F.lit(0)), "ids": F.coalesce(F.col("__mine.ids"), F.array().cast("array<long>"))}).drop("__mine", "seen")
-    # frames in millionths of half a window: its two ends are whole numbers away
-    reach = th.window_sec * s.frame_rate()
-    w = Window.partitionBy("video_id", "direction").orderBy("__at").rangeBetween(-1_000_000, 1_000_000)
-    grid = grid.withColumn("__at", F.round(2_000_000 * F.col("frame_idx").cast("double") / reach).cast("long"))
-    out = grid.withColumns({"frames": F.count("*").over(w), "w_total": F.sum("total").over(w), "w_slow": F.sum("slow").over(w), "distinct": F.size(F.array_distinct(F.flatten(F.collect_list("ids").over(w))))})
-    return out.drop("__at", "ids")
+    grid = grid.withColumn("__mine", mine).withColumns({c: F.coalesce(F.col(f"__mine.{c}"), F.lit(0)).cast("long") for c in ("total", "slow", "opens", "ends")}).drop("__mine", "seen")
+    zero = F.lit(0).cast("long")
+    shown = F.struct(F.col("at"), F.lit(True).alias("shown"), F.col("total"), F.col("slow"), zero.alias("step"))
+    change = lambda at, step: F.struct(at.alias("at"), F.lit(False).alias("shown"), zero.alias("total"), zero.alias("slow"), step.alias("step"))
+    every = F.filter(F.array(shown, change(F.col("at") - half, F.col("opens")), change(F.col("at") + half + 1, -F.col("ends"))), lambda x: x["shown"] | (x["step"] != 0))
+    dealt = grid.select("video_id", "direction", "frame_idx", "fps", "frame_stride", F.explode(every).alias("x")).select("video_id", "direction", "frame_idx", "fps", "frame_stride", "x.*")
+    order = Window.partitionBy("video_id", "direction").orderBy("at")
+    near = order.rangeBetween(-half, half)
+    sums = {"frames": F.count_if("shown").over(near), "w_total": F.sum("total").over(near), "w_slow": F.sum("slow").over(near), "distinct": F.sum("step").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))}
+    return dealt.withColumns(sums).where("shown").drop("at", "shown", "step")
 
 
 @rule("congestion")
-def congestion(tracks: DataFrame, scene: Scene, th: Congestion | None = None) -> DataFrame:
+def congestion(tracks: DataFrame, scene: Scene | SceneTable, th: Congestion | None = None) -> DataFrame:
     """Directions on which, over a sliding window, enough vehicles are present, almost all
     crawl, and enough different ones do. Vehicles waiting at a signal do not count.
     peak_vehicles: the most at one sample between a jam's ends."""
@@ -222,16 +275,13 @@ def congestion(tracks: DataFrame, scene: Scene, th: Congestion | None = None) ->
     return _named(found, "congestion", F.lit(1.0), F.array()).select(*SEGMENT, "direction", "peak_vehicles")
 
 
-def stop_candidates(tracks: DataFrame, scene: Scene, th: Stopped) -> DataFrame:
+def stop_candidates(tracks: DataFrame, scene: Scene | SceneTable, th: Stopped) -> DataFrame:
     """Vehicle rows that may be part of a stop."""
-    rows = zone_index(kinematics.with_sustained_speed(vehicles(tracks)), scene)
+    rows = _indexed(_with_speed(vehicles(tracks)), scene)
     size = s.box_height()
     rows = rows.withColumns({"size": size, "calm": F.when(F.col("track_id") >= 0, F.col("sustained_speed")).otherwise(0.0)})
-    cheap = F.col("on_road") & ~F.col("in_queue") & ~s.cut_by_frame(F.lit(scene.width), F.lit(scene.height)) & (F.col("size") >= th.min_box_share * scene.height) & (F.col("conf") >= th.min_conf) & (F.col("calm") <= th.max_speed * F.col("size"))
-    far = border_distance(scene, "carriageway") >= th.kerb_margin * F.col("size")
-    if scene.queues:
-        far = far & (border_distance(scene, "queues") >= th.queue_margin * F.col("size"))
-    return rows.where(cheap).where(far)
+    cheap = F.col("on_road") & ~F.col("in_queue") & ~s.cut_by_frame(*_frame(scene)) & (F.col("size") >= th.min_box_share * _frame(scene)[1]) & (F.col("conf") >= th.min_conf) & (F.col("calm") <= th.max_speed * F.col("size"))
+    return _clear_of(_clear_of(rows.where(cheap), scene, "carriageway", th.kerb_margin * F.col("size")), scene, "queues", th.queue_margin * F.col("size"))
 
 
 def cluster_stops(session: dict[str, np.ndarray], gap: float, th: Stopped) -> list[dict]:
@@ -263,7 +313,7 @@ def cluster_stops(session: dict[str, np.ndarray], gap: float, th: Stopped) -> li
 
 
 @rule("stopped_vehicle")
-def stopped_vehicle(tracks: DataFrame, scene: Scene, th: Stopped | None = None) -> DataFrame:
+def stopped_vehicle(tracks: DataFrame, scene: Scene | SceneTable, th: Stopped | None = None) -> DataFrame:
     """Vehicles that stand on the road, outside queues, though they moved before or after.
 
     Only the order-dependent clustering runs in Python, on one session at a time:
@@ -302,7 +352,7 @@ def stopped_vehicle(tracks: DataFrame, scene: Scene, th: Stopped | None = None)
     reach = F.max(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).alias("reach")
     moved = stops.withColumn("id", F.explode("ids")).join(seen, ["video_id", "id"]).groupBy("video_id", "stop").agg(*held, reach)
     moved = moved.where(F.col("reach") >= th.motion_evidence * F.col("size"))
-    calm = kinematics.with_sustained_speed(vehicles(tracks)).where((F.col("track_id") >= 0) & (F.col("sustained_speed") <= th.max_speed * s.box_height()))
+    calm = _with_speed(vehicles(tracks)).where((F.col("track_id") >= 0) & (F.col("sustained_speed") <= th.max_speed * s.box_height()))
     width = 600  # frames a bucket
     beside = calm.select(F.col("video_id").alias("v"), F.floor(F.col("frame_idx") / width).alias("b"), F.col("frame_idx").alias("f"), F.col("track_id").alias("other"), F.col("gx").alias("px"), F.col("gy").alias("py"))
     spread = moved.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
@@ -321,10 +371,13 @@ def to_segments(found: DataFrame) -> DataFrame:
     return found.select("video_id", "label", s.frame_start(F.col("start_frame"), fps).alias("start"), s.frame_end(F.col("end_frame"), fps, stride).alias("end"), "score", "track_ids")
 
 
-def run_rules(tracks: DataFrame, scene: Scene, labels: Sequence[str] | None = None, thresholds: dict[str, object] | None = None, skipped: list[str] | None = None) -> DataFrame:
+def run_rules(tracks: DataFrame, scene: Scene | SceneTable, labels: Sequence[str] | None = None, thresholds: dict[str, object] | None = None, skipped: list[str] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Segments of all (or some) rules. A rule whose plan cannot be made is skipped, its name
-    put into ``skipped``."""
+    put into ``skipped``. With ``keep`` (sources.staging.staged) the zones and speeds are
+    worked out once, kept as a table and shared by all rules."""
     out = None
+    if keep is not None:
+        tracks = keep(prepared(tracks, scene), "rule-tracks")
     for label in labels or list(RULES):
         try:
             found = normalised(RULES[label](tracks, scene, (thresholds or {}).get(label)), label)

@@ -106,6 +106,53 @@ def scene() -> Scene:
     return Scene(WIDTH, HEIGHT, (_rect(0, 290, WIDTH, 762),), (_rect(900, 290, 1020, 762),), (_rect(1100, 290, 1500, 460),), ("queue0",), lanes)
 
 
+# cameras: one for each nation, its zones drawn by formulas in k, the nation's key, and d. Kind,
+# number, corners in the pixels of 1920 x 1080, some bent or slanted
+_D = "CAST((k % 5) * 6 AS DOUBLE)"
+_ZONES = (
+    ("carriageway", 0, (("0e0", "290.25e0 + d"), ("960e0", "302.75e0 + d"), ("1920e0", "290.25e0"), ("1920e0", "761.75e0"), ("1000e0", "745.25e0"), ("0e0", "761.75e0 - d"))),
+    ("crossings", 0, (("900.25e0", "290.25e0"), ("1020.25e0", "290.25e0"), ("1020.25e0 + d", "762.25e0"), ("900.25e0 + d", "762.25e0"))),
+    ("queues", 0, (("1100.25e0", "290.25e0"), ("1500.25e0", "290.25e0"), ("1500.25e0 - d", "460.25e0"), ("1100.25e0", "460.25e0"))),
+    *(("lane", i, (("0e0", f"{290.25 + 59 * i}e0"), ("1920e0", f"{290.25 + 59 * i}e0"), ("1920e0", f"{349.25 + 59 * i}e0 + d / 2e0"), ("0e0", f"{349.25 + 59 * i}e0"))) for i in range(8)),
+)
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(camera_id, doc, width, height): a scene document for each nation, and the size of its
+    videos. Every fourth is drawn on frames of half the size; those with odd keys name no
+    direction groups; every seventh paints a marking between two lanes."""
+    rows = read(spark, sf_dir, "nation").selectExpr("n_nationkey as k", "'c' || n_nationkey as camera_id").selectExpr("*", f"{_D} as d", "if(k % 4 = 3, 0.5d, 1d) as z")
+    ring = lambda corners: "array(" + ", ".join(f"array(({x}) * z, ({y}) * z)".replace("e0", "d") for x, y in corners) + ")"
+    kinds = {kind: [(i, c) for k, i, c in _ZONES if k == kind] for kind in ("carriageway", "crossings", "queues", "lane")}
+    zone = lambda kind: "array(" + ", ".join(f"named_struct('id', '{kind}{i}', 'polygon', {ring(c)})" for i, c in kinds[kind]) + ")"
+    lane = lambda i, c: f"named_struct('id', 'lane{i}', 'polygon', {ring(c)}, 'direction_from', array({0 if i < 4 else 300}d * z, 5d), 'direction_to', array({300 if i < 4 else 0}d * z, 5d), 'direction_group', if(k % 2 = 0, '{'east' if i < 4 else 'west'}', null))"
+    doc = f"""to_json(named_struct('schema_version', 1, 'authored_against', named_struct('image_width', cast(1920 * z as int), 'image_height', cast(1080 * z as int)), 'carriageway', {zone('carriageway')},
+      'crossings', {zone('crossings')}, 'signal_queue_zones', {zone('queues')}, 'lanes', array({', '.join(lane(i, c) for i, c in kinds['lane'])}),
+      'lane_markings', if(k % 7 = 0, array(named_struct('id', 'm', 'segment', array(array(0d, 5d), array(9d, 5d)), 'style', 'solid', 'separates', array('lane1', 'lane5'))), null)))"""
+    return rows.selectExpr("camera_id", f"{doc} as doc", f"{WIDTH} as width", f"{HEIGHT} as height")
+
+
+def with_camera(tracks: DataFrame) -> DataFrame:
+    """Adds camera_id: the videos are dealt to the cameras."""
+    return tracks.withColumn("camera_id", F.expr("'c' || cast(cast(substr(video_id, 2) as bigint) div 4 % 25 as string)"))
+
+
+#: DuckDB tables over the cameras: the edges of their zones, the tracks with their camera and zones.
+CAMERA_SQL = f"""cam AS (SELECT 'c' || n_nationkey AS camera_id, n_nationkey AS k, {_D.replace("k %", "n_nationkey %")} AS d FROM nation),
+    corners AS ({" UNION ALL ".join(f"SELECT camera_id, k, '{kind}' AS kind, {i} AS ord, {n} AS i, {x} AS x, {y} AS y FROM cam" for kind, i, c in _ZONES for n, (x, y) in enumerate(c))}),
+    zone_edges AS MATERIALIZED (SELECT camera_id, k, kind, ord, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by_
+      FROM corners WINDOW w AS (PARTITION BY camera_id, kind, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    kerbs AS (SELECT * FROM zone_edges WHERE kind <> 'carriageway' OR NOT (greatest(ax, bx) <= 2 OR least(ax, bx) >= 1918)),
+    seen AS MATERIALIZED (SELECT *, 'c' || CAST(CAST(substr(video_id, 2) AS BIGINT) // 4 % 25 AS VARCHAR) AS camera_id FROM tracks),
+    held AS (SELECT camera_id, any_value(k) AS k, gx, gy, kind, ord FROM (SELECT DISTINCT camera_id, gx, gy FROM seen) JOIN zone_edges USING (camera_id) GROUP BY camera_id, gx, gy, kind, ord
+      HAVING count(*) FILTER ((by_ > gy) <> (ay > gy) AND gx < (ax - bx) * (gy - by_) / (ay - by_ + 1e-9) + bx) % 2 = 1
+        OR bool_or(abs((bx - ax) * (gy - ay) - (by_ - ay) * (gx - ax)) <= 1e-6 * greatest(1, abs(bx - ax) + abs(by_ - ay)) AND (gx - ax) * (bx - ax) + (gy - ay) * (by_ - ay) BETWEEN -1e-6 AND (bx - ax)**2 + (by_ - ay)**2 + 1e-6)),
+    zone AS MATERIALIZED (SELECT camera_id, gx, gy, bool_or(kind = 'carriageway') AS on_road, bool_or(kind = 'crossings') AS in_crossing, bool_or(kind = 'queues') AS in_queue, min(ord) FILTER (kind = 'lane') AS lane_no, any_value(k) AS k FROM held GROUP BY 1, 2, 3),
+    zoned AS MATERIALIZED (SELECT seen.*, coalesce(on_road, FALSE) AS on_road, coalesce(in_crossing, FALSE) AS in_crossing, coalesce(in_queue, FALSE) AS in_queue, coalesce(lane_no, -1) AS lane,
+      coalesce(lane_no >= 0 AND (k % 7 <> 0 OR lane_no IN (1, 5)), FALSE) AS judged, CASE WHEN lane_no IS NOT NULL THEN CASE WHEN k % 2 = 0 THEN CASE WHEN lane_no < 4 THEN 'east' ELSE 'west' END ELSE CASE WHEN lane_no < 4 THEN 'cluster0' ELSE 'cluster1' END END END AS direction
+      FROM seen LEFT JOIN zone ON zone.camera_id = seen.camera_id AND zone.gx = seen.gx AND zone.gy = seen.gy)"""
+
+
 def duckdb(sql: str) -> str:
     """A DuckDB query over the views: tracks, truth, predicted, risk, videos."""
     steps = ["actors AS (SELECT o_orderkey AS a, o_custkey AS c FROM orders)", f"samples AS (SELECT a, c, k FROM actors, (SELECT CAST(unnest(range(0, {SAMPLES})) AS INT) AS k))"]
