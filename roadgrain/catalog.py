@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions import geometry as g
 from roadgrain.functions import scalars as s
-from roadgrain.operators import eda, evaluation, intervals, kinematics, poses, review, risk, rules, runs, sampling, scenes, signals, validation, zones
+from roadgrain.operators import eda, evaluation, intervals, kinematics, linking, poses, review, risk, rules, runs, sampling, scenes, signals, validation, zones
 from roadgrain.plans import views
 from roadgrain.sources import documents, plugins, staging
 from roadgrain.streaming import windows
@@ -209,6 +209,13 @@ def _by_camera(spark: SparkSession, sf_dir: str, labels: list[str] | None = None
     return rules.run_rules(rows, scenes.SceneTable.of(_drawn(spark, sf_dir)), labels, relaxed, keep=staging.staged)
 
 
+@query()
+def linked_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections linked to tracks; the best assignment is no SQL query: tests/test_linking.py
+    holds it against all matchings and the stream against the batch."""
+    return linking.link(views.detections(spark, sf_dir)).select("video_id", "frame_idx", "det", "track_id")
+
+
 @query()
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule over the cameras' scenes, finalised per video."""

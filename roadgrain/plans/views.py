@@ -75,6 +75,15 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(_KEPT).selectExpr(*_spark(_LAYERS[-1])).repartition("video_id")
 
 
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks' boxes without their ids, numbered within a video by det."""
+    rows = actors(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
+    for layer in _LAYERS[:-1]:
+        rows = rows.selectExpr(*_spark(layer))
+    named = [e for e in _spark(_LAYERS[-1]) if "AS track_id" not in e]
+    return rows.where(_KEPT).selectExpr(*named, "cast(a as bigint) * 64 + k as det")
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments video_id, label, start, end, a."""
     return actors(spark, sf_dir).selectExpr(*_spark(_SEGMENTS)).selectExpr(*_spark(_TRUTH))
