@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions import geometry as g
 from roadgrain.functions import scalars as s
-from roadgrain.operators import eda, evaluation, intervals, kinematics, linking, poses, review, risk, rules, runs, sampling, scenes, signals, validation, zones
+from roadgrain.operators import eda, evaluation, intervals, kinematics, linking, poses, review, risk, rules, runs, sampling, scenes, signals, sweeps, validation, zones
 from roadgrain.plans import views
 from roadgrain.sources import documents, plugins, staging
 from roadgrain.streaming import windows
@@ -278,6 +278,27 @@ def flag_runs_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("least", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)))).where(long_enough).select("video_id", "track_id", "start_frame", "end_frame", "samples", "least")
 
 
+_SWEEP = [{"min_conf": c, "gap_sec": gap, "min_sec": least} for c in (0.45, 0.6) for gap in (0.5, 1.0, 4.0) for least in (1.0, 2.0)]
+
+
+@query(_with(
+    f"""walkers AS (SELECT * FROM tracks WHERE cls = 0 AND track_id >= 0 AND {_ROAD} AND NOT ({_CROSSING})
+        AND NOT (x1 <= 2 OR x2 >= 1918 OR y2 >= 1078) AND {_KERB} >= 0.75e0 * greatest(y2 - y1, 1) AND {_ZEBRA} >= 0.25e0 * greatest(y2 - y1, 1)),
+    afoot AS MATERIALIZED (SELECT * FROM walkers p WHERE NOT EXISTS (SELECT 1 FROM tracks v WHERE v.cls IN (2, 3, 5, 7) AND v.video_id = p.video_id AND v.frame_idx = p.frame_idx
+        AND greatest(0, least(v.x2, p.x2) - greatest(v.x1, p.x1)) * greatest(0, least(v.y2, p.y2) - greatest(v.y1, p.y1)) / greatest((p.x2 - p.x1) * (p.y2 - p.y1), 1e-6) >= 0.5e0)),
+    settings(setting, c, gap, least) AS (VALUES {", ".join(f"({i}, {x['min_conf']}e0, {x['gap_sec']}e0, {x['min_sec']}e0)" for i, x in enumerate(_SWEEP))}),
+    each AS (SELECT a.*, s.* FROM afoot a JOIN settings s ON a.conf >= s.c),
+    stepped AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY setting, video_id, track_id ORDER BY frame_idx) > gap * 30e0 + 15 THEN 1 ELSE 0 END AS fresh FROM each),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY setting, video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS island FROM stepped)""",
+    """SELECT video_id, track_id, setting, round(min(frame_idx) / 30e0, 6) AS "start", round((max(frame_idx) + 15) / 30e0, 6) AS "end" FROM islands
+    GROUP BY video_id, track_id, setting, island, least HAVING (max(frame_idx) - min(frame_idx) + 15) / 30e0 >= least""",
+))
+def swept_jaywalking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve settings read from one tree of merges."""
+    found = sweeps.swept(views.tracks(spark, sf_dir), views.scene(), "jaywalking", _SWEEP)
+    return found.select("video_id", F.col("track_ids")[0].alias("track_id"), "setting", r6("start").alias("start"), r6("end").alias("end"))
+
+
 @query(f"SELECT video_id, count(*) AS n, count(*) FILTER ({_ROAD}) AS on_road, count(*) FILTER ({_CROSSING}) AS in_crossing, count(*) FILTER ({_QUEUE}) AS in_queue, CAST(sum({_LANE}) AS BIGINT) AS lanes FROM tracks GROUP BY video_id")
 def zone_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = zones.zone_index(views.tracks(spark, sf_dir), views.scene())

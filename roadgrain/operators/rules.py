@@ -11,9 +11,8 @@ frame_stride (and vx, vy, speed for wrong-way travel).
 
 from __future__ import annotations
 
-import dataclasses
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -365,10 +364,10 @@ def stopped_vehicle(tracks: DataFrame, scene: Scene | SceneTable, th: Stopped |
     return named.select(*SEGMENT)
 
 
-def to_segments(found: DataFrame) -> DataFrame:
-    """Frame segments in seconds: (video_id, label, start, end, score, track_ids)."""
+def to_segments(found: DataFrame, *more: str) -> DataFrame:
+    """Frame segments in seconds: (video_id, label, start, end, score, track_ids, more)."""
     fps, stride = F.col("fps"), F.col("frame_stride")
-    return found.select("video_id", "label", s.frame_start(F.col("start_frame"), fps).alias("start"), s.frame_end(F.col("end_frame"), fps, stride).alias("end"), "score", "track_ids")
+    return found.select("video_id", "label", s.frame_start(F.col("start_frame"), fps).alias("start"), s.frame_end(F.col("end_frame"), fps, stride).alias("end"), "score", "track_ids", *more)
 
 
 def run_rules(tracks: DataFrame, scene: Scene | SceneTable, labels: Sequence[str] | None = None, thresholds: dict[str, object] | None = None, skipped: list[str] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
@@ -400,13 +399,3 @@ def normalised(found: DataFrame, label: str) -> DataFrame:
         return to_segments(found)
     defaults = {"label": F.lit(label), "score": F.lit(1.0), "track_ids": F.array().cast("array<long>")}
     return found.select("video_id", *[(F.col(c) if c in found.columns else v).alias(c) for c, v in defaults.items() if c == "label"], "start", "end", *[(F.col(c) if c in found.columns else defaults[c]).alias(c) for c in ("score", "track_ids")])
-
-
-def swept(tracks: DataFrame, scene: Scene, label: str, grid: Sequence[dict]) -> DataFrame:
-    """A rule's segments under several thresholds in one job: adds setting, the place in grid."""
-    base = {"jaywalking": Jaywalking, "wrong_way": WrongWay, "congestion": Congestion, "stopped_vehicle": Stopped}[label]()
-    parts: Iterator[DataFrame] = (to_segments(RULES[label](tracks, scene, dataclasses.replace(base, **over))).withColumn("setting", F.lit(i)) for i, over in enumerate(grid))
-    out = next(parts)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
