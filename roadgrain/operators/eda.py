@@ -23,6 +23,14 @@ def object_counts(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("video_id", "t_sec").agg(*[F.count_if(F.col("cls") == c).alias(n) for c, n in names])
 
 
+def object_series(tracks: DataFrame) -> DataFrame:
+    """(video_id, t_sec, class, n): object_counts as rows, without the classes that a video
+    never has."""
+    names = list(s.CLASS_NAMES.values())
+    each = object_counts(tracks).select("video_id", "t_sec", F.explode(F.array(*[F.struct(F.lit(n).alias("class"), F.col(n).alias("n")) for n in names])).alias("x")).select("video_id", "t_sec", "x.*")
+    return each.withColumn("most", F.max("n").over(Window.partitionBy("video_id", "class"))).where("most > 0").drop("most")
+
+
 def density(tracks: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(video_id, t_sec, group..., other): vehicles per time and direction (column direction)."""
     known = F.col("direction").isin(list(groups))
@@ -54,6 +62,21 @@ def tracks_per_bin(tracks: DataFrame, seconds: float = 5.0) -> DataFrame:
     return tracks.where("track_id >= 0").groupBy("video_id", F.floor(F.col("t_sec") / seconds).alias("bin")).agg(F.count_distinct("track_id").alias("n"))
 
 
+def track_sketches(tracks: DataFrame, seconds: float = 5.0, lg_k: int = 12) -> DataFrame:
+    """(video_id, bin, sketch): a mergeable sketch of the different tracks of each bin of time.
+    Sketches add up to any longer span or to several videos; the relative error of what is
+    read from them is about 1 / sqrt(2 ** lg_k), however many tracks there are."""
+    key = F.xxhash64("video_id", "track_id")
+    return tracks.where("track_id >= 0").groupBy("video_id", F.floor(F.col("t_sec") / seconds).alias("bin")).agg(F.hll_sketch_agg(key, lg_k).alias("sketch"))
+
+
+def rolled_up(sketches: DataFrame, factor: int, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """(keys, bin, n, sketch): the sketches of every ``factor`` bins, and of all rows with equal
+    keys, in one, and about how many tracks it has."""
+    out = sketches.groupBy(*keys, F.floor(F.col("bin") / factor).alias("bin")).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return out.withColumn("n", F.hll_sketch_estimate("sketch"))
+
+
 def trajectories(tracks: DataFrame, least: int = 4) -> DataFrame:
     """(video_id, track_id, n, points, net_heading): each track's points in order of time, and
     the direction from its first to its last."""

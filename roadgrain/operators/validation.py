@@ -14,18 +14,18 @@ LABELS = ("jaywalking", "stopped_vehicle", "wrong_way", "congestion")
 
 
 def event_problems(events: DataFrame, durations: DataFrame | None = None, labels: Sequence[str] = LABELS) -> DataFrame:
-    """(video_id, pos, problem) of events(video_id, pos, start, end, label[, width]); with
-    durations(video_id, duration) also ends over half a second late. Then overlaps."""
+    """(video_id, pos, problem), all problems of every one of events(video_id, pos, start, end,
+    label[, width]); with durations(video_id, duration) also ends over half a second late,
+    of events whose label is known. Then overlaps. What is no event, or has no times, has no
+    further problems."""
     rows = events if durations is None else events.join(durations, "video_id", "left")
     finite = F.col("start").isNotNull() & F.col("end").isNotNull() & ~F.isnan("start") & ~F.isnan("end")
     width = (F.col("width") != 3) if "width" in events.columns else F.lit(False)
     known = F.coalesce(F.col("label").isin(list(labels)), F.lit(False))
     late = F.coalesce(F.col("end") > F.col("duration") + 0.5, F.lit(False)) if durations is not None else F.lit(False)
-    problem = (
-        F.when(width, "not [start, end, label]").when(~finite, "times must be numbers").when(~((F.col("start") >= 0) & (F.col("start") < F.col("end"))), "need 0 <= start < end")
-        .when(~known, "unknown label").when(late, "ends after the video")
-    )
-    alone = rows.select("video_id", "pos", problem.alias("problem")).where("problem is not null")
+    whole = [F.when(~((F.col("start") >= 0) & (F.col("start") < F.col("end"))), "start must be 0 or more and before end"), F.when(~known, "unknown label"), F.when(known & late, "ends after the video")]
+    found = F.when(width, F.array(F.lit("an event needs a start, an end and a label"))).when(~finite, F.array(F.lit("times must be numbers"))).otherwise(F.array_compact(F.array(*whole)))
+    alone = rows.select("video_id", "pos", F.explode(found).alias("problem"))
     double = overlaps(events.where(finite & known)).select("video_id", "pos", F.lit("overlaps the one before").alias("problem"))
     return alone.unionByName(double)
 
@@ -59,7 +59,7 @@ def prediction_problems(entries: DataFrame, events: DataFrame, risk: DataFrame,
     their events and risk, and, with truth(video_id, duration), missing and extra videos."""
     error = lambda df: df.select("video_id", F.lit("error").alias("severity"), "problem")
     warning = lambda df, text: df.select("video_id", F.lit("warning").alias("severity"), F.lit(text).alias("problem"))
-    path = entries.where(F.rlike("video_id", F.lit(r"[/\\]"))).withColumn("problem", F.lit("key must be a file name"))
+    path = entries.where(F.rlike("video_id", F.lit(r"[/\\]"))).withColumn("problem", F.lit("a video is named by its file, without folders"))
     shape = entries.where("entry is null or entry.events is null").withColumn("problem", F.lit("events must be a list"))
     out = error(event_problems(events, truth)).unionByName(error(risk_problems(risk))).unionByName(error(path)).unionByName(error(shape))
     out = out.unionByName(warning(entries.where("entry.risk is null or size(entry.risk) = 0"), "no risk curve")).unionByName(warning(entries.where("team is null"), "missing team"))

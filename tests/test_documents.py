@@ -25,8 +25,8 @@ def test_predictions_and_their_problems(spark):
     truth = spark.createDataFrame([("a.mp4", 10.0), ("x/y.mp4", 10.0), ("gone.mp4", 5.0)], "video_id string, duration double")
     got = {(r["video_id"], r["severity"], r["problem"]) for r in validation.prediction_problems(entries, events, risk, truth).collect()}
     assert got == {
-        ("x/y.mp4", "error", "need 0 <= start < end"), ("x/y.mp4", "error", "overlaps the one before"), ("x/y.mp4", "error", "times must be numbers"), ("x/y.mp4", "error", "unknown label"),
-        ("x/y.mp4", "error", "ends after the video"), ("x/y.mp4", "error", "time goes back"), ("x/y.mp4", "error", "key must be a file name"), ("gone.mp4", "error", "missing from predictions"), ("x/y.mp4", "warning", "missing team"),
+        ("x/y.mp4", "error", "start must be 0 or more and before end"), ("x/y.mp4", "error", "overlaps the one before"), ("x/y.mp4", "error", "times must be numbers"), ("x/y.mp4", "error", "unknown label"),
+        ("x/y.mp4", "error", "ends after the video"), ("x/y.mp4", "error", "time goes back"), ("x/y.mp4", "error", "a video is named by its file, without folders"), ("gone.mp4", "error", "missing from predictions"), ("x/y.mp4", "warning", "missing team"),
     }
     assert validation.harness_problems(entries).select("problem").collect() == [("no log",)]
     assert documents.sanitised(entries).schema["entry"].dataType.names == ["events", "risk"]
@@ -127,6 +127,39 @@ def test_documents_are_escaped(spark):
     assert doc == {"team": 'the "team"', "videos": {'v"1\\': {"events": [[None, 3.0, "null"], [0.5, 2.0, 'jay"walking\n']], "risk": [[0.0, 0.5], [1.0, None]]}}}
 
 
+def test_documents_keep_their_log(spark):
+    seg = spark.createDataFrame([("a", "wrong_way", 0.5, 2.0)], "video_id string, label string, start double, end double")
+    curve = spark.createDataFrame([], "video_id string, t_sec double, score double")
+    logs = spark.createDataFrame([("a", 2, 'second "line"'), ("a", 1, "first")], "video_id string, pos int, line string")
+    docs = documents.prediction_documents(seg, curve, spark.createDataFrame([("a",), ("b",)], "video_id string"), "t", logs)
+    got = {r["video_id"]: r["entry"] for r in documents.predictions(docs.select("doc")).collect()}
+    assert got["a"]["log"] == ["first", 'second "line"'] and got["b"]["log"] is None
+    assert [r["entry"]["events"] for r in documents.sanitised(documents.predictions(docs.select("doc"))).orderBy("video_id").collect()] == [[["0.5", "2.0", "wrong_way"]], []]
+
+
+def test_every_problem_of_an_event(spark):
+    rows = [("v", 0, -1.0, -2.0, "parking", 3), ("v", 1, 5.0, 4.0, "congestion", 3), ("v", 2, 1.0, 99.0, "parking", 3), ("v", 3, 1.0, 99.0, "congestion", 3), ("v", 4, None, 2.0, "parking", 3), ("v", 5, 1.0, None, None, 2)]
+    df = spark.createDataFrame(rows, "video_id string, pos int, start double, end double, label string, width int")
+    got = {(r["pos"], r["problem"]) for r in validation.event_problems(df, spark.createDataFrame([("v", 90.0)], "video_id string, duration double")).collect()}
+    assert {g for g in got if g[1] != "overlaps the one before"} == {
+        (0, "start must be 0 or more and before end"), (0, "unknown label"), (1, "start must be 0 or more and before end"), (2, "unknown label"), (3, "ends after the video"), (4, "times must be numbers"), (5, "an event needs a start, an end and a label"),
+    }
+
+
+def test_sketches_roll_up_within_their_bound(spark):
+    tracks = spark.range(60000).selectExpr("concat('v', id % 7) as video_id", "id div 2 as track_id", "cast(id % 3600 as double) as t_sec", "cast(2 * (id % 2) as int) as cls")
+    fine = eda.track_sketches(tracks, 5.0)
+    hour = eda.rolled_up(fine, 720, []).collect()
+    exact = tracks.select("video_id", "track_id").distinct().count()
+    assert len(hour) == 1 and abs(hour[0]["n"] - exact) < 3 * exact / 64
+    by = {r["video_id"]: r["n"] for r in eda.rolled_up(fine, 720).collect()}
+    assert len(by) == 7 and all(abs(n - exact / 7) < 3 * exact / 7 / 64 for n in by.values())
+    again = eda.rolled_up(eda.rolled_up(fine, 12), 60).collect()  # through minutes
+    assert len(again) == 7 and all(abs(r["n"] - exact / 7) < 3 * exact / 7 / 64 for r in again)
+    series = eda.object_series(spark.createDataFrame([("a", 0.0, 2), ("a", 0.5, 2), ("a", 0.5, 0), ("b", 0.0, 0)], "video_id string, t_sec double, cls int")).collect()
+    assert {(r["video_id"], r["t_sec"], r["class"], r["n"]) for r in series} == {("a", 0.0, "car", 1), ("a", 0.5, "car", 1), ("a", 0.0, "person", 0), ("a", 0.5, "person", 1), ("b", 0.0, "person", 1)}
+
+
 def test_writes_keep_other_partitions_and_leave_out_incomplete_videos(spark, tmp_path):
     row = lambda camera, video, frame: (camera, video, frame, frame / 30, 1, 2, 0.5, 0.0, 0.0, 1.0, 1.0)
     schema = "camera_id string, video_id string, frame_idx int, t_sec double, track_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
