@@ -17,7 +17,7 @@ from roadgrain.functions import geometry as g
 from roadgrain.functions import scalars as s
 from roadgrain.operators import eda, evaluation, intervals, kinematics, linking, poses, review, risk, rules, runs, sampling, scenes, signals, sweeps, validation, zones
 from roadgrain.plans import views
-from roadgrain.sources import documents, plugins, staging
+from roadgrain.sources import documents, plugins, staging, tables
 from roadgrain.sources.prediction_source import read_predictions
 from roadgrain.streaming import windows
 
@@ -770,6 +770,23 @@ def prediction_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("video_id", "label").agg(F.count("*").alias("n"), r6(F.sum("start")).alias("s"), r6(F.sum("end")).alias("e"))
 
 
+@query(""", d AS (SELECT video_id, duration FROM videos WHERE CAST(substr(video_id, 2) AS BIGINT) % 44 <> 0), e AS (SELECT video_id, count(*) AS events, bool_or("end" > duration + 0.5e0) AS late FROM predicted LEFT JOIN d USING (video_id) GROUP BY 1),
+    curve AS (SELECT video_id, t_sec, min(conf) AS score FROM tracks GROUP BY 1, 2), every AS (SELECT video_id, greatest(1, CAST(round((count(*) - 1) / nullif(max(t_sec) - min(t_sec), 0) / 0.5e0) AS INT)) AS n FROM curve GROUP BY 1),
+    r AS (SELECT video_id, count(*) AS risk, bool_or(t_sec > duration + 0.5e0) AS late FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_sec) - 1 AS nth FROM curve) JOIN every USING (video_id) LEFT JOIN d USING (video_id) WHERE nth % coalesce(n, 1) = 0 GROUP BY 1),
+    c AS (SELECT video_id, count(DISTINCT t_sec) AS counts, count(DISTINCT t_sec) FILTER (cls IN (2, 3, 5, 7)) AS density, bool_or(t_sec > duration + 0.5e0) AS late, bool_or(t_sec > duration + 0.5e0 AND cls IN (2, 3, 5, 7)) AS far FROM tracks LEFT JOIN d USING (video_id) GROUP BY 1)
+    SELECT video_id, coalesce(events, 0) AS events, coalesce(risk, 0) AS risk, coalesce(counts, 0) AS counts, concat_ws('; ', CASE WHEN d.duration IS NULL THEN 'not in videos' END, CASE WHEN risk IS NULL THEN 'no risk' END, CASE WHEN counts IS NULL THEN 'no counts' END, CASE WHEN coalesce(density, 0) = 0 THEN 'no density' END,
+      CASE WHEN counts > 0 AND density > 0 AND counts <> density THEN 'counts and density differ in length' END, CASE WHEN e.late THEN 'events outside the clip' END, CASE WHEN r.late THEN 'risk outside the clip' END, CASE WHEN c.late THEN 'counts outside the clip' END, CASE WHEN c.far THEN 'density outside the clip' END) AS problems
+    FROM d FULL JOIN e USING (video_id) FULL JOIN r USING (video_id) FULL JOIN c USING (video_id)""")
+def clip_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of each clip, with every fault; one video in eleven has no duration."""
+    rows = views.tracks(spark, sf_dir)
+    known = views.videos(spark, sf_dir).where("cast(substr(video_id, 2) as bigint) % 44 <> 0")
+    density = rules.vehicles(rows).groupBy("video_id", "t_sec").agg(F.count("*").alias("vehicles"))
+    out = tables.clip_bundles(known, views.predicted(spark, sf_dir), rows.groupBy("video_id", "t_sec").agg(F.min("conf").alias("score")), eda.object_counts(rows), density, rate=0.5)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
+    return out.select("video_id", size("events"), size("risk"), size("counts"), F.array_join("problems", "; ").alias("problems"))
+
+
 _PIXELS = "pixels AS (SELECT 's' || CAST(l_suppkey % 20 AS VARCHAR) AS video_id, CAST(l_orderkey % 40 AS INT) AS frame_idx, 'light' || CAST(l_linenumber % 3 AS VARCHAR) AS light_id, CAST((l_partkey * 3 + (l_suppkey % 20) * 9 + (l_orderkey % 40)) % (20 + (l_orderkey % 7) * 25) AS INT) AS h, CAST(60 + l_partkey % 190 AS INT) AS s, CAST(80 + l_quantity * 3 AS INT) AS v FROM lineitem)"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,42 @@ def write_series(series: DataFrame, path: str, key: str = "video_id", mode: str
     series.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
 
 
+def clip_bundles(videos: DataFrame, events: DataFrame, risk: DataFrame, counts: DataFrame, density: DataFrame, alarm_threshold: float = 0.5, rate: float = 5.0) -> DataFrame:
+    """(video_id, duration, alarm_threshold, events, risk, counts, density, problems): all that is
+    shown of a clip in one row, ready to be written as its document.
+
+    videos(video_id, duration); events(video_id, start, end, label); risk(video_id,
+    t_sec, score), thinned to about ``rate`` points a second, the first of every so
+    many; counts and density: video_id, t_sec and numbers. Arrays are in order of
+    time. problems names every fault: a series that is missing or empty, series of
+    different lengths, repeated times, events or points outside the clip, a clip
+    that videos lacks. A row holds one clip, so its size goes with the clip's length.
+    """
+    w = Window.partitionBy("video_id").orderBy("t_sec")
+    whole = Window.partitionBy("video_id")
+    span = F.max("t_sec").over(whole) - F.min("t_sec").over(whole)
+    every = F.greatest(F.lit(1), F.round((F.count("*").over(whole) - 1) / F.nullif(span, F.lit(0.0)) / rate).cast("int"))
+    thin = risk.withColumns({"__every": F.coalesce(every, F.lit(1)), "__row": F.row_number().over(w) - 1}).where("__row % __every = 0").drop("__every", "__row")
+
+    def series(df: DataFrame, name: str, first: str) -> DataFrame:
+        point = F.struct(first, *[c for c in df.columns if c not in ("video_id", first)])
+        return df.groupBy("video_id").agg(F.array_sort(F.collect_list(point)).alias(name))
+
+    out = videos.select("video_id", "duration", F.lit(True).alias("known"))
+    for name, df, first in (("events", events.select("video_id", "start", "end", "label"), "start"), ("risk", thin, "t_sec"), ("counts", counts, "t_sec"), ("density", density, "t_sec")):
+        out = out.join(series(df, name, first), "video_id", "full")
+    sized = lambda c: F.coalesce(F.size(c), F.lit(0))
+    times = lambda c: F.transform(c, lambda x: x["t_sec"])
+    late = lambda c, end: F.exists(c, lambda x: (x[end] > F.col("duration") + 0.5) | (x[end] < 0))
+    faults = [F.when(F.col("known").isNull(), "not in videos")]
+    faults += [F.when(sized(c) == 0, f"no {c}") for c in ("risk", "counts", "density")]
+    faults += [F.when((sized("counts") > 0) & (sized("density") > 0) & (sized("counts") != sized("density")), "counts and density differ in length")]
+    faults += [F.when(sized(c) != F.size(F.array_distinct(times(c))), f"repeated times in {c}") for c in ("risk", "counts", "density")]
+    faults += [F.when(late(c, end), f"{c} outside the clip") for c, end in (("events", "end"), ("risk", "t_sec"), ("counts", "t_sec"), ("density", "t_sec"))]
+    empty = {"events": F.coalesce("events", F.array().cast(out.schema["events"].dataType))}
+    return out.withColumns(empty).select("video_id", "duration", F.lit(alarm_threshold).alias("alarm_threshold"), "events", "risk", "counts", "density", F.array_compact(F.array(*faults)).alias("problems"))
+
+
 def site_assets(events: DataFrame, risk: DataFrame, counts: DataFrame, density: DataFrame) -> DataFrame:
     """Per clip the sizes of its four series and a problem: a missing one, or counts and
     density of different lengths."""

@@ -160,6 +160,20 @@ def test_sketches_roll_up_within_their_bound(spark):
     assert {(r["video_id"], r["t_sec"], r["class"], r["n"]) for r in series} == {("a", 0.0, "car", 1), ("a", 0.5, "car", 1), ("a", 0.0, "person", 0), ("a", 0.5, "person", 1), ("b", 0.0, "person", 1)}
 
 
+def test_bundles_name_every_fault(spark):
+    videos = spark.createDataFrame([("ok", 10.0), ("bare", 5.0), ("odd", 2.0)], "video_id string, duration double")
+    events = spark.createDataFrame([("ok", 4.0, 5.0, "wrong_way"), ("ok", 1.0, 2.0, "congestion"), ("odd", 0.0, 9.0, "congestion"), ("lost", 0.0, 1.0, "congestion")], "video_id string, start double, end double, label string")
+    curve = spark.createDataFrame([("ok", k / 30, 0.5) for k in range(301)] + [("odd", 0.0, 0.1), ("odd", 0.0, 0.2)], "video_id string, t_sec double, score double")
+    counts = spark.createDataFrame([("ok", float(k), k) for k in range(5)] + [("odd", 1.0, 1), ("odd", 2.0, 1)], "video_id string, t_sec double, car int")
+    density = spark.createDataFrame([("ok", float(k), k) for k in range(5)] + [("odd", 1.0, 1)], "video_id string, t_sec double, east int")
+    got = {r["video_id"]: r for r in tables.clip_bundles(videos, events, curve, counts, density).collect()}
+    assert [e["label"] for e in got["ok"]["events"]] == ["congestion", "wrong_way"] and got["ok"]["problems"] == [] and got["ok"]["alarm_threshold"] == 0.5
+    assert [round(p["t_sec"], 6) for p in got["ok"]["risk"]][:3] == [0.0, 0.2, 0.4] and len(got["ok"]["risk"]) == 51
+    assert got["bare"]["problems"] == ["no risk", "no counts", "no density"] and got["bare"]["events"] == []
+    assert got["odd"]["problems"] == ["counts and density differ in length", "repeated times in risk", "events outside the clip"]
+    assert got["lost"]["problems"][:2] == ["not in videos", "no risk"] and set(got) == {"ok", "bare", "odd", "lost"}
+
+
 def test_writes_keep_other_partitions_and_leave_out_incomplete_videos(spark, tmp_path):
     row = lambda camera, video, frame: (camera, video, frame, frame / 30, 1, 2, 0.5, 0.0, 0.0, 1.0, 1.0)
     schema = "camera_id string, video_id string, frame_idx int, t_sec double, track_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
