@@ -130,14 +130,6 @@ def zone_index_by_camera(tracks: DataFrame, scenes: DataFrame) -> DataFrame:
     return out.withColumns(lane).drop("__lane", "carriageway", "crossings", "queues", "lanes")
 
 
-def warp_polygons(zones: DataFrame, poses: DataFrame) -> DataFrame:
-    """zones(camera_id, ..., polygon) moved by each video's pose (scale, angle_deg, tx, ty);
-    a null pose leaves them as they are. Joined on camera_id; adds video_id."""
-    joined = zones.join(poses, "camera_id")
-    moved = F.transform("polygon", lambda p: g.similarity_point(p["x"], p["y"], F.col("pose.scale"), F.col("pose.angle_deg"), F.col("pose.tx"), F.col("pose.ty")))
-    return joined.withColumn("polygon", F.when(F.col("pose").isNull(), F.col("polygon")).otherwise(moved)).drop("pose")
-
-
 def lane_stop_lines(rows: DataFrame, scene: Scene) -> DataFrame:
     """Adds stop_line, that of the row's lane."""
     known = [F.lit(x) for lane in scene.lanes if lane.stop_line for x in (lane.id, lane.stop_line)]

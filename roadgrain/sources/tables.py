@@ -95,14 +95,3 @@ def clip_bundles(videos: DataFrame, events: DataFrame, risk: DataFrame, counts:
     faults += [F.when(late(c, end), f"{c} outside the clip") for c, end in (("events", "end"), ("risk", "t_sec"), ("counts", "t_sec"), ("density", "t_sec"))]
     empty = {"events": F.coalesce("events", F.array().cast(out.schema["events"].dataType))}
     return out.withColumns(empty).select("video_id", "duration", F.lit(alarm_threshold).alias("alarm_threshold"), "events", "risk", "counts", "density", F.array_compact(F.array(*faults)).alias("problems"))
-
-
-def site_assets(events: DataFrame, risk: DataFrame, counts: DataFrame, density: DataFrame) -> DataFrame:
-    """Per clip the sizes of its four series and a problem: a missing one, or counts and
-    density of different lengths."""
-    out = None
-    for name, df in (("events", events), ("risk", risk), ("counts", counts), ("density", density)):
-        n = df.groupBy("video_id").agg(F.count("*").alias(name))
-        out = n if out is None else out.join(n, "video_id", "full")
-    missing = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in ("risk", "counts", "density")]
-    return out.withColumn("problem", F.coalesce(*missing, F.when(F.col("counts") != F.col("density"), "lengths differ")))
