@@ -645,6 +645,38 @@ def label_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "true_label", "pred_label", r6("gs").alias("gs"), r6("ps").alias("ps"), r6("iou").alias("iou"))
 
 
+_ERRORS = f"""{_LISTED}, hit AS (SELECT video_id, label, iou FROM hits WHERE video_id IN (SELECT video_id FROM videos)),
+    lost AS (SELECT video_id, label, {_BEST.format(other="predicted")} AS best FROM (SELECT * FROM gn ANTI JOIN hits USING (video_id, label, g)) x),
+    vain AS (SELECT video_id, label, {_BEST.format(other="truth")} AS best FROM (SELECT * FROM pn ANTI JOIN hits USING (video_id, label, p)) x WHERE video_id IN (SELECT video_id FROM videos)),
+    crossed AS (SELECT g.video_id, g.label, count(*) AS confused FROM truth g JOIN (SELECT * FROM predicted WHERE video_id IN (SELECT video_id FROM videos)) p ON g.video_id = p.video_id AND g.label <> p.label WHERE g."start" < p."end" AND p."start" < g."end" AND {_TIOU} >= 0.3e0 GROUP BY 1, 2)"""
+
+
+@query(_with(_ERRORS, """SELECT video_id, label, CAST(coalesce(h.n, 0) AS BIGINT) AS tp, CAST(coalesce(v.n, 0) AS BIGINT) AS fp, CAST(coalesce(l.n, 0) AS BIGINT) AS fn, h.b AS least_matched, l.b AS best_missed, v.b AS best_false, CAST(coalesce(confused, 0) AS BIGINT) AS confused
+    FROM (SELECT video_id, label, count(*) AS n, round(min(iou), 6) AS b FROM hit GROUP BY ALL) h FULL JOIN (SELECT video_id, label, count(*) AS n, round(max(best), 6) AS b FROM lost GROUP BY ALL) l USING (video_id, label)
+    FULL JOIN (SELECT video_id, label, count(*) AS n, round(max(best), 6) AS b FROM vain GROUP BY ALL) v USING (video_id, label) LEFT JOIN crossed USING (video_id, label)"""))
+def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched, missed, false and confused segments of every label of every video, in figures."""
+    out = evaluation.error_analysis(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), views.videos(spark, sf_dir))
+    best = lambda f, c: r6(f(F.col(c)["best"]))
+    return out.select("video_id", "label", "tp", "fp", "fn", best(F.array_min, "matched").alias("least_matched"), best(F.array_max, "missed").alias("best_missed"), best(F.array_max, "false").alias("best_false"), F.size("confused").cast("long").alias("confused"))
+
+
+_CELLS = _matching_sql(("video_id", "label"), (0.5,)).replace("WHERE video_id IN (SELECT video_id FROM videos)", "") + """,
+    per AS (SELECT video_id, label, coalesce(t, 0) AS tp, coalesce(p, 0) - coalesce(t, 0) AS fp, coalesce(g, 0) - coalesce(t, 0) AS fn FROM (SELECT video_id, label, count(*) AS g FROM truth GROUP BY ALL) a
+      FULL JOIN (SELECT video_id, label, count(*) AS p FROM predicted GROUP BY ALL) b USING (video_id, label) LEFT JOIN (SELECT video_id, label, count(*) AS t FROM hits GROUP BY ALL) c USING (video_id, label))"""
+
+
+@query(_with(_CELLS + ", sums AS (SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM per GROUP BY label)", f"SELECT label, tp, fp, fn, {_ROUNDED_PRF} FROM (SELECT *, {_PRF} FROM sums)"))
+def error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.error_totals(views.truth(spark, sf_dir), views.predicted(spark, sf_dir))
+    return out.select("label", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(_with(_CELLS, "SELECT video_id, " + ", ".join(f"max(tp || '/' || fp || '/' || fn) FILTER (label = '{x}') AS {x}" for x in validation.LABELS) + " FROM per GROUP BY video_id"))
+def video_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.video_cells(views.truth(spark, sf_dir), views.predicted(spark, sf_dir), validation.LABELS)
+
+
 @query("SELECT video_id, 'missing' AS problem FROM (SELECT DISTINCT video_id FROM truth EXCEPT SELECT DISTINCT video_id FROM predicted) UNION ALL SELECT video_id, 'extra' FROM (SELECT DISTINCT video_id FROM predicted EXCEPT SELECT DISTINCT video_id FROM truth)")
 def missing_and_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.missing_and_extra(views.truth(spark, sf_dir), views.predicted(spark, sf_dir))
@@ -843,6 +875,39 @@ def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seg(out).join(out.select("video_id", "label", r6("start").alias("start"), F.size("sources").cast("long").alias("sources")), ["video_id", "label", "start"])
 
 
+# walkers on the road by confidence and distance from kerb and crossing, then runs of theirs
+def _walked_sql(name: str, conf: float, kerb: float, least: float) -> str:
+    keys = "video_id, track_id"
+    return f"""{name}_walkers AS (SELECT * FROM tracks WHERE cls = 0 AND track_id >= 0 AND {_ROAD} AND NOT ({_CROSSING}) AND conf >= {conf}e0
+        AND NOT (x1 <= 2 OR x2 >= 1918 OR y2 >= 1078) AND {_KERB} >= {kerb}e0 * greatest(y2 - y1, 1) AND {_ZEBRA} >= 0.25e0 * greatest(y2 - y1, 1)),
+    {name}_afoot AS (SELECT * FROM {name}_walkers p WHERE NOT EXISTS (SELECT 1 FROM tracks v WHERE v.cls IN (2, 3, 5, 7) AND v.video_id = p.video_id AND v.frame_idx = p.frame_idx
+        AND greatest(0, least(v.x2, p.x2) - greatest(v.x1, p.x1)) * greatest(0, least(v.y2, p.y2) - greatest(v.y1, p.y1)) / greatest((p.x2 - p.x1) * (p.y2 - p.y1), 1e-6) >= 0.5e0)),
+    {name}_steps AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY {keys} ORDER BY frame_idx) > 45 THEN 1 ELSE 0 END AS fresh FROM {name}_afoot),
+    {name}_islands AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS island FROM {name}_steps),
+    {name} AS (SELECT video_id, track_id, min(frame_idx) / 30e0 AS "start", (max(frame_idx) + 15) / 30e0 AS "end" FROM {name}_islands GROUP BY {keys}, island HAVING (max(frame_idx) - min(frame_idx) + 15) / 30e0 >= {least}e0)"""
+
+
+def _unions_sql(name: str, source: str, test: str, more: str = "") -> str:
+    return f"""{name}_before AS (SELECT *, max("end") OVER (PARTITION BY video_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {source}),
+    {name}_groups AS (SELECT *, sum(CASE WHEN "start" {test} THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY "start", "end" RANGE UNBOUNDED PRECEDING) AS grp FROM {name}_before),
+    {name} AS (SELECT video_id, min("start") AS "start", max("end") AS "end"{more} FROM {name}_groups GROUP BY video_id, grp)"""
+
+
+@query(_with(", ".join((
+    _walked_sql("raw", 0.45, 0.75, 2.0), 'cut AS (SELECT video_id, greatest("start", 0) AS "start", least("end", 60e0) AS "end" FROM raw WHERE least("end", 60e0) > greatest("start", 0))',
+    _unions_sql("joined", "cut", "- m > 1"), """shipped AS (SELECT * FROM joined WHERE "end" - "start" >= 0.5e0), seed AS (SELECT video_id, "start", "end" FROM truth WHERE label = 'jaywalking'), known AS (SELECT * FROM shipped UNION ALL SELECT * FROM seed)""",
+    _walked_sql("loose", 0.35, 0.5, 1.0), """probes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "end" - "start" DESC, "start", "end", track_id) AS r FROM loose p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.video_id = p.video_id AND k."start" < p."end" AND p."start" < k."end")) WHERE r <= 8),
+    every AS (SELECT s.video_id, s."start", s."end", 'predicted' AS source, list(DISTINCT r.track_id) AS ids FROM shipped s JOIN raw r ON r.video_id = s.video_id AND r."start" < s."end" AND s."start" < r."end" GROUP BY 1, 2, 3
+      UNION ALL SELECT video_id, "start", "end", 'seed', [] FROM seed UNION ALL SELECT video_id, "start", "end", 'recall probe', [track_id] FROM probes)""",
+    _unions_sql("looks", "every", ">= m", ", array_to_string(list_sort(list_distinct(list(source))), '+') AS sources, len(list_distinct(flatten(list(ids)))) AS ids"),
+)), 'SELECT video_id, \'jaywalking\' AS label, round("start", 6) AS "start", round("end", 6) AS "end", sources, ids FROM looks'))
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pedestrians to look at: what is sent, what was drawn by hand, and the longest new probes."""
+    rows, seed = views.tracks(spark, sf_dir), views.truth(spark, sf_dir).where("label = 'jaywalking'")
+    out = review.review_report(rows, views.scene(), rows.select("video_id").distinct().withColumn("duration", F.lit(60.0)), seed, ["jaywalking"], keep=staging.staged)
+    return out.select("video_id", "label", r6("start").alias("start"), r6("end").alias("end"), F.array_join("sources", "+").alias("sources"), F.size("track_ids").cast("long").alias("ids"))
+
+
 @query('SELECT video_id, label, round("start", 6) AS "start", round("end", 6) AS "end" FROM (SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY "end" - "start" DESC, "start") AS r FROM predicted p WHERE NOT EXISTS (SELECT 1 FROM truth g WHERE g.video_id = p.video_id AND g.label = p.label AND g."start" < p."end" AND p."start" < g."end")) WHERE r <= 8')
 def recall_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seg(review.recall_probes(views.predicted(spark, sf_dir).drop("a"), views.truth(spark, sf_dir)))
@@ -872,6 +937,14 @@ def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("direction").alias("event_type"), F.col("window_start").cast("timestamp_ntz").alias("day"), "vehicles", "slow")
 
 
+@query("""SELECT event_type, to_timestamp(w * 21600)::TIMESTAMP AS window_start, count(*) AS vehicles, count(*) FILTER (value > 100) AS slow FROM (SELECT event_type, value, unnest(generate_series(epoch_us(ts) // 21600000000 - 3, epoch_us(ts) // 21600000000)) AS w FROM (SELECT event_type, value, CAST(ts AS TIMESTAMP) AS ts FROM events)) GROUP BY 1, 2""", plain=True)
+def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day that slide by six hours: every event counts in four."""
+    rows = views.read(spark, sf_dir, "events").selectExpr("event_type as direction", "'all' as video_id", "cast(ts as timestamp) as ts", "value > 100 as slow")
+    out = windows.sliding_congestion(rows, "1 day", "6 hours")
+    return out.select(F.col("direction").alias("event_type"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), "vehicles", "slow")
+
+
 @query("""SELECT 'u' || CAST(user_id AS VARCHAR) AS video_id, count(*) AS samples, CAST(min(t) AS BIGINT) AS start_us FROM (SELECT user_id, t, sum(f) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g
     FROM (SELECT user_id, event_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 14400000000 THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, g""", plain=True)
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions import scalars as s
 from roadgrain.operators import runs
-from roadgrain.operators.intervals import points_in_intervals
+from roadgrain.operators.intervals import overlapping, points_in_intervals
 
 # fixed values: thresholds and weights of the scores
 THRESHOLDS = (0.3, 0.5, 0.7)
@@ -36,7 +36,7 @@ def matches(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = THRESH
     a = numbered(gt, keys).select(*keys, F.col("ord").alias("g"), F.col("start").alias("gs"), F.col("end").alias("ge"))
     b = numbered(pred, keys).select(*keys, F.col("ord").alias("p"), F.col("start").alias("ps"), F.col("end").alias("pe"))
     iou = s.tiou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe"))
-    pairs = a.join(b, list(keys)).where("gs < pe and ps < ge").withColumn("iou", iou)
+    pairs = overlapping(a, b, keys).withColumn("iou", iou)
     pairs = pairs.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where("iou >= threshold")
     grouped = pairs.groupBy(*keys, "threshold").agg(F.reverse(F.array_sort(F.collect_list(F.struct("iou", "g", "p")))).alias("pairs"))
 
@@ -179,31 +179,53 @@ def model_score(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def matched_listing(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(video_id, label, kind, start, end, best): kind tp (best: its IoU), missed or false
-    (best: the largest IoU with the other side, 0 if none)."""
+    """(video_id, label, kind, start, end, best, other_start, other_end): kind tp (best: its IoU;
+    other: the prediction), missed or false (best: the largest IoU with the other side, 0 if none)."""
     keys = ["video_id", "label"]
-    a, b = numbered(gt, keys), numbered(pred, keys)
     m = matches(gt, pred, [threshold])
-    tp = a.join(m.withColumnRenamed("g", "ord"), [*keys, "ord"]).select(*keys, F.lit("tp").alias("kind"), "start", "end", F.col("iou").alias("best"))
+    a = numbered(gt, keys).select(*keys, F.col("ord").alias("g"), F.col("start").alias("gs"), F.col("end").alias("ge"))
+    b = numbered(pred, keys).select(*keys, F.col("ord").alias("p"), F.col("start").alias("ps"), F.col("end").alias("pe"))
+    met = overlapping(a, b, keys).withColumn("iou", s.tiou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")))
+    tp = a.join(m, [*keys, "g"]).join(b, [*keys, "p"]).select(*keys, F.lit("tp").alias("kind"), F.col("gs").alias("start"), F.col("ge").alias("end"), F.col("iou").alias("best"), F.col("ps").alias("other_start"), F.col("pe").alias("other_end"))
 
-    def rest(mine: DataFrame, other: DataFrame, side: str, kind: str) -> DataFrame:
-        left = mine.join(m.withColumnRenamed(side, "ord"), [*keys, "ord"], "left_anti")
-        o = other.select(*keys, F.col("start").alias("os"), F.col("end").alias("oe"))
-        best = F.coalesce(F.max(s.tiou(F.col("start"), F.col("end"), F.col("os"), F.col("oe"))), F.lit(0.0))
-        return left.join(o, keys, "left").groupBy(*keys, "ord", "start", "end").agg(best.alias("best")).select(*keys, F.lit(kind).alias("kind"), "start", "end", "best")
+    def rest(mine: DataFrame, side: str, kind: str, start: str, end: str) -> DataFrame:
+        left = mine.join(m, [*keys, side], "left_anti")
+        nearest = met.groupBy(*keys, side).agg(F.max("iou").alias("best"))
+        none = F.lit(None).cast("double")
+        return left.join(nearest, [*keys, side], "left").select(*keys, F.lit(kind).alias("kind"), F.col(start).alias("start"), F.col(end).alias("end"), F.coalesce("best", F.lit(0.0)).alias("best"), none.alias("other_start"), none.alias("other_end"))
 
-    return tp.unionByName(rest(a, b, "g", "missed")).unionByName(rest(b, a, "p", "false"))
+    return tp.unionByName(rest(a, "g", "missed", "gs", "ge")).unionByName(rest(b, "p", "false", "ps", "pe"))
 
 
 def confusions(gt: DataFrame, pred: DataFrame, least: float = 0.3) -> DataFrame:
     """Pairs of a true and a predicted segment of different labels with IoU >= least."""
     a = gt.select("video_id", F.col("label").alias("true_label"), F.col("start").alias("gs"), F.col("end").alias("ge"))
     b = pred.select("video_id", F.col("label").alias("pred_label"), F.col("start").alias("ps"), F.col("end").alias("pe"))
-    both = a.join(b, "video_id").where("true_label <> pred_label and gs < pe and ps < ge")
+    both = overlapping(a, b, ["video_id"]).where("true_label <> pred_label")
     return both.withColumn("iou", s.tiou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe"))).where(F.col("iou") >= least)
 
 
+def error_analysis(gt: DataFrame, pred: DataFrame, videos: DataFrame, threshold: float = 0.5, least: float = 0.3) -> DataFrame:
+    """(video_id, label, tp, fp, fn, matched, missed, false, confused), a row for each label of
+    each video with truth: what a reader of errors needs of it. matched(start, end, best,
+    other_start, other_end); missed and false (start, end, best) with the largest IoU they
+    reached; confused (start, end, pred_label, pred_start, pred_end, iou): the label's segments
+    that overlap predictions of others. All by time."""
+    scored = scored_videos(pred, videos)
+    listed = matched_listing(gt, scored, threshold)
+
+    def those(kind: str, *columns: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*columns)))).alias({"tp": "matched"}.get(kind, kind))
+
+    n = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    rows = listed.groupBy("video_id", "label").agg(n("tp", "tp"), n("false", "fp"), n("missed", "fn"), those("tp", "start", "end", "best", "other_start", "other_end"), those("missed", "start", "end", "best"), those("false", "start", "end", "best"))
+    pair = F.struct(F.col("gs").alias("start"), F.col("ge").alias("end"), "pred_label", F.col("ps").alias("pred_start"), F.col("pe").alias("pred_end"), "iou")
+    mixed = confusions(gt, scored, least).groupBy("video_id", F.col("true_label").alias("label")).agg(F.array_sort(F.collect_list(pair)).alias("confused"))
+    return rows.join(mixed, ["video_id", "label"], "left").withColumn("confused", F.coalesce("confused", F.array().cast(mixed.schema["confused"].dataType)))
+
+
 def error_totals(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(label, tp, fp, fn, precision, recall, f1) of every label that occurs, over all videos."""
     per = counts(gt, pred, [threshold]).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return per.withColumns(s.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 

@@ -99,6 +99,15 @@ def bucketed(df: DataFrame, start: Column, end: Column, width: float, name: str
     return df.withColumn(name, F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))
 
 
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], width: float = 60.0) -> DataFrame:
+    """Pairs of a(keys, gs, ge) and b(keys, ps, pe) with gs < pe and ps < ge, each once: where
+    both have begun, in the later one's first bucket."""
+    x = bucketed(a, F.col("gs"), F.col("ge"), width, "__bucket")
+    y = bucketed(b, F.col("ps"), F.col("pe"), width, "__bucket")
+    begun = F.greatest(F.floor(F.col("gs") / width), F.floor(F.col("ps") / width))
+    return x.join(y, [*keys, "__bucket"]).where("gs < pe and ps < ge").where(F.col("__bucket") == begun).drop("__bucket")
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, width: float = 60.0, closed: bool = False) -> DataFrame:
     """Pairs of points(video_id, t_sec) and intervals(video_id, start, end) with start <= t < end
     (closed: <= end)."""
