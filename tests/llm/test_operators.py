@@ -399,6 +399,16 @@ def test_ngram_join(docs, monkeypatch, block):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_ngram_join_tells_long_words_apart(spark):
+    order = [bin(i).count("1") % 2 for i in range(1024)]  # Thue-Morse
+    one, two = ("".join(pair[t] for t in order) for pair in ("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"{one} x x x x {two} x x x x"), (4, f"{one} x x x x {one} x x x x")]
+    sets = {i: shingles(t) for i, t in rows}
+    want = components(sets, jaccard)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component"]) for r in got) == [(i, len(sets[i]), want[i]) for i in sorted(sets)]
+
+
 def test_signature_bounds_never_exclude_a_link():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
