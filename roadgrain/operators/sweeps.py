@@ -20,7 +20,7 @@ from roadgrain.functions import geometry as g
 from roadgrain.functions import scalars as s
 from roadgrain.operators import rules, runs
 from roadgrain.operators.scenes import SceneTable
-from roadgrain.operators.zones import Scene, border_distance
+from roadgrain.operators.zones import Scene, border_list
 
 NODE = "start_frame long, end_frame long, samples long, birth double, death double, fps double, frame_stride int"
 
@@ -160,8 +160,9 @@ def wrong_way(tracks: DataFrame, scene: Scene | SceneTable, grid: Sequence[rules
 def _with_distance(rows: DataFrame, scene: Scene | SceneTable, kind: str, name: str) -> DataFrame:
     """Adds the distance to the nearest real edge of a kind of area; infinite without one."""
     if not isinstance(scene, SceneTable):
-        return rows.withColumn(name, border_distance(scene, kind))
-    near = rows.join(scene.scenes.select(scene.key, F.col(f"{kind}_edges").alias("__edges")), scene.key, "left")
+        near = rows.withColumn("__edges", border_list(scene, kind))
+    else:
+        near = rows.join(scene.scenes.select(scene.key, F.col(f"{kind}_edges").alias("__edges")), scene.key, "left")
     x, y = F.col("gx").cast("double"), F.col("gy").cast("double")
     far = F.array_min(F.transform("__edges", lambda e: g.distance_to_segment(x, y, e["ax"], e["ay"], e["bx"], e["by"])))
     return near.withColumn(name, F.coalesce(far, F.lit(float("inf")))).drop("__edges")
