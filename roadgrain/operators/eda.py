@@ -77,6 +77,18 @@ def rolled_up(sketches: DataFrame, factor: int, keys: Sequence[str] = ("video_id
     return out.withColumn("n", F.hll_sketch_estimate("sketch"))
 
 
+def track_marks(tracks: DataFrame, seconds: float = 5.0) -> DataFrame:
+    """(video_id, bin, track_id): the different tracks of each bin of time, a row each. They add
+    up to longer spans exactly, where sketches may be off at any count."""
+    return tracks.where("track_id >= 0").select("video_id", F.floor(F.col("t_sec") / seconds).alias("bin"), "track_id").distinct()
+
+
+def marks_rolled_up(marks: DataFrame, factor: int) -> DataFrame:
+    """(video_id, bin, n): how many different tracks every ``factor`` bins have."""
+    wide = marks.select("video_id", F.floor(F.col("bin") / factor).alias("bin"), "track_id").distinct()
+    return wide.groupBy("video_id", "bin").agg(F.count("*").alias("n"))
+
+
 def trajectories(tracks: DataFrame, least: int = 4) -> DataFrame:
     """(video_id, track_id, n, points, net_heading): each track's points in order of time, and
     the direction from its first to its last."""
