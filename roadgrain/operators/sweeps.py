@@ -116,16 +116,18 @@ def jaywalking(tracks: DataFrame, scene: Scene | SceneTable, grid: Sequence[rule
     measures once, then which settings they meet, then one merge tree."""
     flags, at = _distinct(grid, ("min_conf", "kerb_margin", "crossing_margin", "rider_share"))
     loosest = {f: min(x[f] for x in flags) for f in ("min_conf", "kerb_margin", "crossing_margin")}
-    rows, size = rules._indexed(rules.persons(tracks), scene), s.box_height()
-    rows = rows.where((F.col("track_id") >= 0) & F.col("on_road") & ~F.col("in_crossing") & (F.col("conf") >= loosest["min_conf"]) & ~s.cut_by_frame(*rules._frame(scene)))
+    size = s.box_height()
+    tracked = (F.col("cls") == s.PERSON) & (F.col("track_id") >= 0) & (F.col("conf") >= loosest["min_conf"])
+    on_foot = F.col("on_road") & ~F.col("in_crossing") & ~s.cut_by_frame(*rules._frame(scene))
+    known = not isinstance(scene, SceneTable) or "on_road" in tracks.columns
+    rows = rules._indexed(tracks, scene) if known else tracks
+    rows = rules.with_vehicle_boxes(rows, tracked & on_foot if known else tracked)
+    # least and greatest pass nulls over: a vehicle without a box needs its own case
+    shares = F.transform("vehicles", lambda v: F.when(v["x1"].isNotNull(), rules.vehicle_share(v)).otherwise(0.0))
+    rows = rows.withColumn("share", F.coalesce(F.array_max(shares), F.lit(0.0))).drop("vehicles")
+    rows = rows if known else rules._indexed(rows, scene).where(on_foot)
     rows = _with_distance(rows, scene, "carriageway", "kerb").where(F.col("kerb") >= loosest["kerb_margin"] * size)
-    rows = _with_distance(rows, scene, "crossings", "zebra").where(F.col("zebra") >= loosest["crossing_margin"] * size)
-    box, key = ("x1", "y1", "x2", "y2"), ["video_id", "frame_idx"]
-    people = rows.select(*key, "track_id", "fps", "frame_stride", "conf", "kerb", "zebra", *box)
-    v = rules.vehicles(tracks).select(*key, *[F.col(c).alias(f"v{c}") for c in box])
-    # least and greatest pass nulls over: a frame without vehicles needs its own case
-    share = F.max(F.when(F.col("vx1").isNotNull(), g.box_share(box, tuple(f"v{c}" for c in box))).otherwise(0.0)).alias("share")
-    measured = people.join(v, key, "left").groupBy(*people.columns).agg(share)
+    measured = _with_distance(rows, scene, "crossings", "zebra").where(F.col("zebra") >= loosest["crossing_margin"] * size)
     meets = lambda x: (F.col("conf") >= x["min_conf"]) & (F.col("kerb") >= x["kerb_margin"] * size) & (F.col("zebra") >= x["crossing_margin"] * size) & (F.col("share") < x["rider_share"])
     flagged = measured.select("video_id", "track_id", "frame_idx", "fps", "frame_stride", F.explode(F.filter(_settings(flags), meets)["flag"]).alias("flag"))
     tree = merge_tree(flagged, ["video_id", "track_id", "flag"])
