@@ -370,13 +370,14 @@ def stopped_vehicle(tracks: DataFrame, scene: Scene | SceneTable, th: Stopped |
     stops = stops.where(long_enough & covered)
     # one line of joins, each grouped back to stops, so that the clustering runs once
     held = [F.first(c).alias(c) for c in stops.columns if c not in ("video_id", "stop")]
-    seen = vehicles(tracks).select("video_id", F.col("track_id").alias("id"), F.col("gx").alias("px"), F.col("gy").alias("py")).where("id >= 0")
+    # merge joins: both sides are rows of vehicles, which no driver can hold to broadcast them
+    seen = vehicles(tracks).select("video_id", F.col("track_id").alias("id"), F.col("gx").alias("px"), F.col("gy").alias("py")).where("id >= 0").hint("merge")
     reach = F.max(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).alias("reach")
     moved = stops.withColumn("id", F.explode("ids")).join(seen, ["video_id", "id"]).groupBy("video_id", "stop").agg(*held, reach)
     moved = moved.where(F.col("reach") >= th.motion_evidence * F.col("size"))
     calm = _with_speed(vehicles(tracks)).where((F.col("track_id") >= 0) & (F.col("sustained_speed") <= th.max_speed * s.box_height()))
     width = 600  # frames a bucket
-    beside = calm.select(F.col("video_id").alias("v"), F.floor(F.col("frame_idx") / width).alias("b"), F.col("frame_idx").alias("f"), F.col("track_id").alias("other"), F.col("gx").alias("px"), F.col("gy").alias("py"))
+    beside = calm.select(F.col("video_id").alias("v"), F.floor(F.col("frame_idx") / width).alias("b"), F.col("frame_idx").alias("f"), F.col("track_id").alias("other"), F.col("gx").alias("px"), F.col("gy").alias("py")).hint("merge")
     spread = moved.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
     near = F.col("f").between(F.col("first"), F.col("last")) & ~F.array_contains("ids", F.col("other")) & (F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= th.neighbour * F.col("size"))
     met = spread.join(beside, (F.col("video_id") == F.col("v")) & (F.col("bucket") == F.col("b")) & near, "left")
