@@ -132,9 +132,18 @@ def zone_index_by_camera(tracks: DataFrame, scenes: DataFrame) -> DataFrame:
     """zone_index against scenes(camera_id, carriageway, crossings, queues: array<polygon>,
     lanes: array<struct<id,polygon,dx,dy,grp>> in drawing order); tracks has camera_id.
     Rows of cameras without a scene are in no zone."""
-    joined = tracks.join(scenes, "camera_id", "left")
-    within = lambda c: F.coalesce(F.exists(c, lambda p: g.point_in_polygon("gx", "gy", p)), F.lit(False))
-    hit = F.filter("lanes", lambda z: g.point_in_polygon("gx", "gy", z["polygon"]))
+    # each scene's edges and hulls are worked out once; a point outside a hull tests no edges
+    span = lambda p, n, f: f(F.transform(p, lambda c: c[n]))
+    shape = lambda p: F.struct(span(p, "x", F.array_min).alias("x0"), span(p, "x", F.array_max).alias("x1"), span(p, "y", F.array_min).alias("y0"), span(p, "y", F.array_max).alias("y1"), g.edges(p).alias("edges"))
+    shaped = {k: F.transform(F.filter(k, lambda p: F.size(p) >= 3), shape) for k in ("carriageway", "crossings", "queues")}
+    lane = lambda z: F.struct(z["id"].alias("id"), z["dx"].alias("dx"), z["dy"].alias("dy"), z["grp"].alias("grp"), shape(z["polygon"]).alias("shape"))
+    ready = scenes.withColumns(shaped | {"lanes": F.transform(F.filter("lanes", lambda z: F.size(z["polygon"]) >= 3), lane)})
+    joined = tracks.join(ready, "camera_id", "left")
+    x, y = F.col("gx").cast("double"), F.col("gy").cast("double")
+    # the slack of a pixel covers the tolerance on edges
+    holds = lambda p: F.when((x >= p["x0"] - 1) & (x <= p["x1"] + 1) & (y >= p["y0"] - 1) & (y <= p["y1"] + 1), g.in_edges(x, y, p["edges"])).otherwise(False)
+    within = lambda c: s.settled(F.coalesce(F.exists(c, holds), F.lit(False)))
+    hit = F.filter("lanes", lambda z: holds(z["shape"]))
     out = joined.withColumns({"on_road": within("carriageway"), "in_crossing": within("crossings"), "in_queue": within("queues"), "__lane": s.settled(F.try_element_at(hit, F.lit(1)))})
     lane = {"lane_id": F.col("__lane.id"), "lane_dx": F.coalesce(F.col("__lane.dx"), F.lit(0.0)), "lane_dy": F.coalesce(F.col("__lane.dy"), F.lit(0.0)), "lane_group": F.col("__lane.grp")}
     return out.withColumns(lane).drop("__lane", "carriageway", "crossings", "queues", "lanes")
