@@ -2,7 +2,10 @@
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
+
 from roadgrain import catalog
+from roadgrain.operators import kinematics
 
 
 def longest_method(df):
@@ -25,3 +28,9 @@ def test_rounding_is_that_of_sql(spark):
     odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(catalog.r6("x")).collect()
     assert odd[0][0] is None and odd[1][0] != odd[1][0]
 
+
+def test_line_crossings_has_no_method_too_long_to_be_compiled(spark):
+    rows = spark.range(2000).selectExpr("'v' as video_id", "id % 40 as track_id", "id as frame_idx", "cast(id as double) as t_sec", "cast(id * 7919 % 101 as double) as gx", "cast(id % 3 as double) as gy")
+    crossed = kinematics.line_crossings(rows, (50.0, -5.0, 50.0, 5.0))
+    assert longest_method(crossed) < 8000
+    assert crossed.where(F.col("gx") == 50).count() > 0 and crossed.count() > 500
