@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from roadgrain import catalog
-from roadgrain.operators import kinematics
+from roadgrain.operators import kinematics, runs
 
 
 def longest_method(df):
@@ -34,3 +34,27 @@ def test_line_crossings_has_no_method_too_long_to_be_compiled(spark):
     crossed = kinematics.line_crossings(rows, (50.0, -5.0, 50.0, 5.0))
     assert longest_method(crossed) < 8000
     assert crossed.where(F.col("gx") == 50).count() > 0 and crossed.count() > 500
+
+
+def test_speeds_and_persistence_share_one_sort(spark):
+    rng = np.random.default_rng(5)
+    rows = [("v", k % 7 - 1, int(f), float(f) / 30, float(rng.uniform(0, 40)), float(rng.uniform(0, 40)), 30.0, 15) for k in range(140) for f in rng.choice([15, 30, 45, 47, 120], 1) + 150 * (k // 7)]
+    df = spark.createDataFrame(rows, "video_id string, track_id long, frame_idx int, t_sec double, gx double, gy double, fps double, frame_stride int")
+    speeds = kinematics.with_sustained_speed(df, ordered=True)
+    held = runs.persistent(speeds.withColumn("slow", F.col("sustained_speed") <= 10), "slow", 1.5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = held.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Sort [") == 1
+    plain = runs.persistent(kinematics.with_sustained_speed(df).withColumn("slow", F.col("sustained_speed") <= 10), "slow", 1.5)
+    assert sorted(map(tuple, held.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    # against interpolation
+    for v in {r[1] for r in rows if r[1] >= 0}:
+        mine = sorted((r[3], r[4], r[5]) for r in rows if r[1] == v)
+        t, x, y = map(np.array, zip(*mine, strict=True))
+        a, b = np.maximum(t - 1, t[0]), np.minimum(t + 1, t[-1])
+        wanted = np.hypot(np.interp(b, t, x) - np.interp(a, t, x), np.interp(b, t, y) - np.interp(a, t, y)) / (b - a)
+        got = [r["sustained_speed"] for r in plain.where(F.col("track_id") == v).orderBy("t_sec").collect()]
+        assert np.allclose(got, wanted)
