@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from roadgrain import catalog
-from roadgrain.operators import kinematics, runs
+from roadgrain.operators import kinematics, linking, runs
 
 
 def longest_method(df):
@@ -58,3 +58,41 @@ def test_speeds_and_persistence_share_one_sort(spark):
         wanted = np.hypot(np.interp(b, t, x) - np.interp(a, t, x), np.interp(b, t, y) - np.interp(a, t, y)) / (b - a)
         got = [r["sustained_speed"] for r in plain.where(F.col("track_id") == v).orderBy("t_sec").collect()]
         assert np.allclose(got, wanted)
+
+
+def test_parts_are_linked_side_by_side_as_alone(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows, wanted, th = [], {}, linking.Linking()
+    for v in range(6):
+        live, det = linking.Live(), 0
+        for k in range(int(rng.integers(1, 40))):
+            n = int(rng.integers(1, 14))
+            x, y = np.round(rng.uniform(0, 500, (2, n)), -1)
+            box = np.stack([x, y, x + 60, y + 90], 1)
+            dets, cls, conf = np.arange(det, det + n), rng.choice([0, 2, 5], n), rng.choice([0.9, 0.3, 0.15, 0.05], n)
+            det += n
+            live, ids = linking.link_sample(live, k / 2, dets, cls, conf, box, th)
+            wanted |= {(f"v{v}", int(d)): int(i) for d, i in zip(dets, ids, strict=True)}
+            rows += [(f"v{v}", k * 15, k / 2, int(d), int(c), float(s), *map(float, b)) for d, c, s, b in zip(dets, cls, conf, box, strict=True)]
+    calls = []
+    sample = linking.link_sample
+    monkeypatch.setattr(linking, "link_sample", lambda *a: calls.append(1) or sample(*a))
+    part = np.array([int(r[0][1:]) for r in rows])
+    plain = [np.array([r[k] for r in rows]) for k in (1, 2, 3, 4, 5)]
+    got = linking.link_parts(part, *plain, np.array([r[6:] for r in rows]), th)
+    assert {(r[0], r[3]): int(i) for r, i in zip(rows, got, strict=True)} == wanted and not calls
+    df = spark.createDataFrame(rows, "video_id string, frame_idx long, t_sec double, det long, cls int, conf double, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    for most in (50, 1 << 17):  # parts longer than what is held, too
+        monkeypatch.setattr(linking, "LINK_ROWS", most)
+        assert {(r["video_id"], r["det"]): r["track_id"] for r in linking.link(df).collect()} == wanted
+
+
+def test_small_assignments_equal_large_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 7))
+        cost = np.round(rng.random((n, n + int(rng.integers(0, 5)))), 1)
+        small = linking.least_cost(cost)
+        monkeypatch.setattr(linking, "SMALL", 0)
+        assert (linking.least_cost(cost) == small).all()
+        monkeypatch.undo()
