@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgrain.functions import scalars as s
@@ -17,10 +17,11 @@ def event_counts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def object_counts(tracks: DataFrame) -> DataFrame:
-    """(video_id, t_sec, person, bicycle, ...): boxes per time and class, zeros filled."""
+def object_counts(tracks: DataFrame, *more: Column) -> DataFrame:
+    """(video_id, t_sec, person, bicycle, ..., more): boxes per time and class, zeros filled, and
+    more aggregates of the same rows."""
     names = list(s.CLASS_NAMES.items())
-    return tracks.groupBy("video_id", "t_sec").agg(*[F.count_if(F.col("cls") == c).alias(n) for c, n in names])
+    return tracks.groupBy("video_id", "t_sec").agg(*[F.count_if(F.col("cls") == c).alias(n) for c, n in names], *more)
 
 
 def object_series(tracks: DataFrame) -> DataFrame:
