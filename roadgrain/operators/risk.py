@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgrain.functions import scalars as s
@@ -29,18 +29,19 @@ class Risk:
     persist: int = 3
 
 
-def pair_score(a: str, b: str, th: Risk) -> Column:
-    """The score of columns a.x, a.y, a.vx, a.vy, a.h, a.person and b's; null if the pair is
-    no danger."""
-    c = lambda side, p: F.col(f"{side}.{p}")
-    rx, ry, wx, wy = (c(b, p) - c(a, p) for p in ("x", "y", "vx", "vy"))
-    ww, rw, dist = wx * wx + wy * wy, rx * wx + ry * wy, F.hypot(rx, ry)
-    t = F.when(ww > 1e-9, -rw / ww)
-    closing = F.when(dist > 1e-9, -rw / dist).otherwise(0.0)
-    near = F.hypot(rx + wx * t, ry + wy * t)
-    size = (c(a, "h") + c(b, "h")) / 2
-    danger = (t > 0) & (near <= th.radius * size) & (closing >= th.min_closing * size) & ~(c(a, "person") & c(b, "person"))
-    return F.when(danger, F.pow(F.lit(0.5), t / th.half_life))
+def with_pair_score(pairs: DataFrame, th: Risk) -> DataFrame:
+    """Adds score for the pairs' structs a and b of id, x, y, vx, vy, h, person; null if a pair is no
+    danger. In steps: as one formula it makes a method too long to be compiled."""
+    terms = {f"__{n}": s.settled(F.col(f"b.{p}") - F.col(f"a.{p}")) for n, p in (("rx", "x"), ("ry", "y"), ("wx", "vx"), ("wy", "vy"))}
+    apart = (F.col("a.id") != F.col("b.id")) & ~(F.col("a.person") & F.col("b.person"))
+    out = pairs.withColumns(terms | {"__size": s.settled((F.col("a.h") + F.col("b.h")) / 2), "__apart": s.settled(apart)}).drop("a", "b")
+    rx, ry, wx, wy, size = (F.col(f"__{n}") for n in ("rx", "ry", "wx", "wy", "size"))
+    out = out.withColumns({"__ww": s.settled(wx * wx + wy * wy), "__rw": s.settled(rx * wx + ry * wy), "__dist": s.settled(F.hypot(rx, ry))})
+    out = out.withColumn("__t", s.settled(F.when(F.col("__apart") & (F.col("__ww") > 1e-9), -F.col("__rw") / F.col("__ww"))))
+    t, closing = F.col("__t"), F.when(F.col("__dist") > 1e-9, -F.col("__rw") / F.col("__dist")).otherwise(0.0)
+    danger = (t > 0) & (closing >= th.min_closing * size) & (F.hypot(rx + wx * t, ry + wy * t) <= th.radius * size)
+    out = out.withColumn("score", s.settled(F.when(danger, F.pow(F.lit(0.5), t / th.half_life))))
+    return out.drop(*terms, "__size", "__apart", "__ww", "__rw", "__dist", "__t")
 
 
 def sample_scores(tracks: DataFrame, th: Risk | None = None) -> DataFrame:
@@ -49,12 +50,14 @@ def sample_scores(tracks: DataFrame, th: Risk | None = None) -> DataFrame:
     th = th or Risk()
     rows = kinematics.history_velocity(tracks.where("track_id >= 0"), th.least_span, th.most_span)
     rows = rows.select("video_id", "frame_idx", "t_sec", "track_id", F.struct(F.col("gx").alias("x"), F.col("gy").alias("y"), F.col("hx").alias("vx"), F.col("hy").alias("vy"), (F.col("y2") - F.col("y1")).alias("h"), (F.col("cls") == s.PERSON).alias("person")).alias("o"))
-    live = rows.where("o.vx is not null")
-    a = live.select("video_id", "frame_idx", F.col("track_id").alias("i"), F.col("o").alias("a"))
-    b = live.select("video_id", "frame_idx", F.col("track_id").alias("j"), F.col("o").alias("b"))
-    scores = a.join(b, ["video_id", "frame_idx"]).where("i < j").groupBy("video_id", "frame_idx").agg(F.max(pair_score("a", "b", th)).alias("raw"))
-    frames = rows.groupBy("video_id", "frame_idx").agg(F.min("t_sec").alias("t_sec"))
-    return frames.join(scores, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", "t_sec", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    # a frame's boxes are gathered once and each pair of them is a row: samples and velocities are
+    # worked out once, and no side of a join is held. A pair's score is the same from both sides
+    live = F.when(F.col("o.vx").isNotNull(), F.struct(F.col("track_id").alias("id"), "o.*"))
+    frames = rows.groupBy("video_id", "frame_idx").agg(F.min("t_sec").alias("t_sec"), F.collect_list(live).alias("all"))
+    keys = ["video_id", "frame_idx", "t_sec"]
+    one = frames.select(*keys, "all", F.posexplode_outer("all").alias("i", "a"))
+    two = one.select(*keys, "a", F.explode_outer(F.slice("all", F.col("i") + 2, F.greatest(F.size("all") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    return with_pair_score(two, th).groupBy("video_id", "frame_idx").agg(F.min("t_sec").alias("t_sec"), F.coalesce(F.max("score"), F.lit(0.0)).alias("raw"))
 
 
 def persistent_risk(samples: DataFrame, persist: int = 3) -> DataFrame:
