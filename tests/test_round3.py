@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from roadgrain import catalog
-from roadgrain.operators import kinematics, risk
+from roadgrain.operators import kinematics, review, risk
 from roadgrain.plans import views
 from roadgrain.sources import documents, staging
 from roadgrain.sources.prediction_source import read_predictions
@@ -62,3 +62,11 @@ def test_pairs_of_boxes_are_scored_in_short_methods_and_from_one_pass(spark):
     got = {(r["video_id"], r["frame_idx"]): r["raw"] for r in scores.collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], v, rel_tol=1e-9) for k, v in want.items())
     assert sum(v > 0 for v in want.values()) > 5
+
+
+def test_the_scan_works_out_zones_and_speeds_once(spark):
+    rows = kinematics.with_kinematics(views.tracks(spark, SF))
+    alone, kept = review.scan(rows, views.scene()), review.scan(rows, views.scene(), staging.staged)
+    assert "orders.parquet" not in kept._jdf.queryExecution().executedPlan().toString()
+    show = lambda df: sorted((r["video_id"], r["label"], r["kind"], r["start"], r["end"], r["rank"]) for r in df.collect())
+    assert show(kept) == show(alone) and len(show(kept)) > 20
