@@ -44,6 +44,10 @@ _LAYERS = (
         "CAST(x AS DOUBLE) AS gx", "CAST(y AS DOUBLE) AS gy", "30e0 AS fps", f"{STRIDE} AS frame_stride",
     ),
 )
+#: What depends on the order alone, of the layers' columns and within their formulas: Spark works it out
+#: once an order instead of once a sample.
+_OF_ORDER = ("lane_no", "jam", "cls", "way", "pace")
+_ONCE = {"a7": "(a * 7) % 120", "a31": "a * 31", "a29": "(a * 29) % 1600", "a37": "(a * 37) % 1500", "a5": "a * 5", "a6": "a % 6 = 0", "a2": "a % 2 = 0", "sure": "CAST(30 + a % 60 AS DOUBLE) / 100e0"}
 _KEPT = "x BETWEEN 0 AND 1920 AND (a * 5 + k) % 19 <> 0"
 
 _SEGMENTS = (
@@ -63,6 +67,13 @@ def _spark(expressions: tuple[str, ...]) -> list[str]:
     return [e.replace('"', "`") for e in expressions]
 
 
+def _known(expression: str) -> str:
+    """An expression that reads what is worked out once an order."""
+    for name, e in _ONCE.items():
+        expression = expression.replace(e, name)
+    return expression
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,21 +88,23 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     (video, ...) need no other shuffle. A task gets about ACTORS orders however many there are."""
     rows = actors(spark, sf_dir).selectExpr(f"{_VIDEO} as video_id", "a", "c")
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / ACTORS))
-    rows = rows.repartition(tasks, "video_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
-    rows = rows.selectExpr("video_id", *[e for e in _spark(_LAYERS[0]) if not e.startswith(_VIDEO)])
-    for layer in _LAYERS[1:-1]:
-        rows = rows.selectExpr(*_spark(layer))
-    return rows.withColumn("x", settled("x")).where(_KEPT)
+    rows = rows.repartition(tasks, "video_id")
+    for layer in _LAYERS[:2]:
+        rows = rows.selectExpr("*", *[e for e in _spark(layer) if e.split(" AS ")[-1] in _OF_ORDER and " AS " in e])
+    rows = rows.selectExpr("*", *[f"{e} AS {n}" for n, e in _ONCE.items()]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
+    for layer in _LAYERS[:-1]:
+        rows = rows.selectExpr("video_id", *[_known(e) for e in _spark(layer) if e.split(" AS ")[-1] not in ("video_id", *_OF_ORDER)], *_OF_ORDER, *_ONCE)
+    return rows.withColumn("x", settled("x")).where(_known(_KEPT))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with ground points (see the module), dealt by video."""
-    return _samples(spark, sf_dir).selectExpr(*_spark(_LAYERS[-1]))
+    return _samples(spark, sf_dir).selectExpr(*map(_known, _spark(_LAYERS[-1])))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracks' boxes without their ids, numbered within a video by det."""
-    named = [e for e in _spark(_LAYERS[-1]) if "AS track_id" not in e]
+    named = [_known(e) for e in _spark(_LAYERS[-1]) if "AS track_id" not in e]
     return _samples(spark, sf_dir).selectExpr(*named, "cast(a as bigint) * 64 + k as det")
 
 

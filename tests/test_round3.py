@@ -70,3 +70,9 @@ def test_the_scan_works_out_zones_and_speeds_once(spark):
     assert "orders.parquet" not in kept._jdf.queryExecution().executedPlan().toString()
     show = lambda df: sorted((r["video_id"], r["label"], r["kind"], r["start"], r["end"], r["rank"]) for r in df.collect())
     assert show(kept) == show(alone) and len(show(kept)) > 20
+
+
+def test_formulas_of_an_order_are_worked_out_once_an_order(spark):
+    plan = views.tracks(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert not any(f"% {n})" in above for n in (120, 13, 1600, 1500, 60))
