@@ -82,12 +82,15 @@ def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").selectExpr("o_orderkey as a", "o_custkey as c")
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _samples(spark: SparkSession, sf_dir: str, waves: int | None = None) -> DataFrame:
     """The layers' rows that are kept. Orders are dealt by video before they become samples:
     two numbers an order are shuffled instead of a row a sample, and windows and groups over
-    (video, ...) need no other shuffle. A task gets about ACTORS orders however many there are."""
+    (video, ...) need no other shuffle. A task gets about ACTORS orders however many there are;
+    with waves there are at most that many tasks a core, for tasks that hold little."""
     rows = actors(spark, sf_dir).selectExpr(f"{_VIDEO} as video_id", "a", "c")
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / ACTORS))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(cores, math.ceil(rows.count() / ACTORS))
+    tasks = tasks if waves is None else min(tasks, waves * cores)
     rows = rows.repartition(tasks, "video_id")
     for layer in _LAYERS[:2]:
         rows = rows.selectExpr("*", *[e for e in _spark(layer) if e.split(" AS ")[-1] in _OF_ORDER and " AS " in e])
@@ -102,6 +105,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).selectExpr(*map(_known, _spark(_LAYERS[-1])))
 
 
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gx, gy): the ground points of the tracks, once each. A task sends each of its points once,
+    which for many small tasks would be almost every sample."""
+    return _samples(spark, sf_dir, waves=4).selectExpr("CAST(x AS DOUBLE) AS gx", "CAST(y AS DOUBLE) AS gy").distinct()
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracks' boxes without their ids, numbered within a video by det."""
     named = [_known(e) for e in _spark(_LAYERS[-1]) if "AS track_id" not in e]
