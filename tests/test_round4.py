@@ -4,7 +4,9 @@ import duckdb
 
 import __spark_entry__
 from roadgrain import catalog
+from roadgrain.operators import kinematics, review, rules
 from roadgrain.plans import views
+from roadgrain.sources import staging
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "lineitem", "nation", "events")
@@ -32,3 +34,17 @@ def test_points_of_many_orders_are_dealt_to_few_tasks(spark, monkeypatch):
     tasks = 4 * spark.sparkContext.defaultParallelism
     assert f", {tasks}), REPARTITION_BY_NUM" in plan
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, views.tracks(spark, SF).select("gx", "gy").distinct().collect()))
+
+
+def test_the_scan_stores_only_what_runs_are_made_from(spark):
+    rows, kept = kinematics.with_kinematics(views.tracks(spark, SF)), {}
+
+    def keep(df, name):
+        kept[name] = staging.staged(df, name)
+        return kept[name]
+
+    review.scan(rows, views.scene(), keep)
+    assert set(kept) == {"scan-runs", "scan-jams"}
+    # all vehicles with all their columns were stored before
+    assert kept["scan-runs"].count() < rules.vehicles(rows).count() / 3 and "x1" not in kept["scan-runs"].columns
+    assert kept["scan-jams"].count() < 100
